@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, pii, sharding, urls
+from . import decontamination, mixing, neardup, pii, quality, sharding, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1,
@@ -10,5 +10,7 @@ QUERIES = {
     "op4_mixing": mixing.op4,
     "op5_urls": urls.op5,
     "op6_decontamination": decontamination.op6,
+    "op8_quality": quality.op8,
+    "op10_near_duplicates": neardup.op10,
 }
 ORACLE_SQL: dict[str, str] = {}
