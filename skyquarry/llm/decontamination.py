@@ -26,9 +26,11 @@ SPAN = 10
 GRAM = 5
 WINDOW = SPAN - GRAM + 1
 BROADCAST_HASHES = 500_000
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
+#: ASCII characters that no word has. Listed one by one: a class of single characters is a bit set, one of ranges is a chain of tests.
+_OTHER = [c for c in range(128) if not chr(c).isalnum()]
+SEPARATORS = "[" + "".join(f"\\x{c:02X}" for c in [*_OTHER, *range(65, 91)]) + "]++"
 #: The same words, for counting without lower-casing first.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
+ANY_CASE_WORD = "[^" + "".join(f"\\x{c:02X}" for c in _OTHER) + "]++"
 
 
 def words_of(text: Column) -> Column:
@@ -37,16 +39,19 @@ def words_of(text: Column) -> Column:
 
 def grams(words: Column, k: int) -> Column:
     """Hashes of all runs of k words, in order."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(k))))
-    return F.when(F.size(words) >= k, hashes).otherwise(F.array().cast("array<bigint>"))
+    starts = F.slice(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(0)))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(k))))
 
 
 def winnowed(hashes: Column, w: int) -> Column:
-    """The smallest of every w consecutive hashes."""
-    if w == 1:
-        return F.array_distinct(hashes)
-    least = F.transform(F.sequence(F.lit(1), F.size(hashes) - (w - 1)), lambda i: F.array_min(F.slice(hashes, i, F.lit(w))))
-    return F.when(F.size(hashes) >= w, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
+    """The smallest of every w consecutive hashes, by minima over runs of growing length."""
+    least, width = hashes, 1
+    while width < w:
+        step = min(width, w - width)
+        ahead = F.slice(least, F.lit(step + 1), F.greatest(F.size(hashes) - (width + step - 1), F.lit(0)))
+        least = F.zip_with(F.slice(least, F.lit(1), F.size(ahead)), ahead, lambda x, y: F.least(x, y))
+        width += step
+    return F.array_distinct(least)
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -67,20 +72,21 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for n in lengths:
         k, w = (GRAM, WINDOW) if n == SPAN else (n, 1)
         mine = windows.filter(F.col("n") == n)
-        hashed = texts.filter(F.size("words") >= n).withColumn("grams", grams(F.col("words"), k))
+        hashed = texts.withColumn("grams", grams(F.col("words"), k))
         kept = mine.select(F.explode(winnowed(grams(F.col("words"), k), w)).alias("hash")).distinct()
-        each = hashed.select("*", F.explode(winnowed(F.col("grams"), w)).alias("hash"))
+        # explode() would add a test of the array's size, and with it make the array twice
+        each = hashed.select("*", F.explode_outer(winnowed(F.col("grams"), w)).alias("hash"))
         if kept.count() <= BROADCAST_HASHES:
             met = each.join(F.broadcast(kept), "hash", "left_semi")
             at = F.explode(F.filter(F.sequence(F.lit(1), F.size("grams")), lambda j: F.element_at("grams", j) == F.col("hash"))).alias("j")
             near = met.select("doc_id", "text_key", "words", at)
             last = F.size("words") - (n - 1)
             starts = F.sequence(F.greatest(F.col("j") - (n - k), F.lit(1)), F.least(F.col("j"), last))
-            near = near.select("doc_id", "text_key", "words", F.explode(starts).alias("at"))
+            near = near.filter(last > 0).select("doc_id", "text_key", "words", F.explode(starts).alias("at"))
         else:
             met = each.select("doc_id", "text_key", "hash").join(kept, "hash", "left_semi").select("doc_id", "text_key").distinct()
             same = hashed["doc_id"].eqNullSafe(met["doc_id"]) & (hashed["text_key"] == met["text_key"])
-            near = hashed.join(met, same, "left_semi").dropDuplicates(["doc_id", "text_key"])
+            near = hashed.filter(F.size("words") >= n).join(met, same, "left_semi").dropDuplicates(["doc_id", "text_key"])
             near = near.select("doc_id", "text_key", "words", F.explode(F.sequence(F.lit(1), F.size("words") - (n - 1))).alias("at"))
         near = near.select("doc_id", "text_key", "at", F.array_join(F.slice("words", F.col("at"), F.lit(n)), " ").alias("window"))
         one = near.join(mine.select("window", "items"), "window").select("doc_id", "text_key", F.struct("at", (F.col("at") + n).alias("end")).alias("span"), "items")
