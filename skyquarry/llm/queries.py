@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, neardup, pii, quality, repeats, sharding, urls
+from . import decontamination, html, mixing, neardup, pii, quality, repeats, sharding, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1,
     "op2_pii": pii.op2,
+    "op3_html": html.op3,
     "op4_mixing": mixing.op4,
     "op5_urls": urls.op5,
     "op6_decontamination": decontamination.op6,
