@@ -6,10 +6,12 @@ minhashes serve TABLES ** 2 tables. Documents whose keys of either collection al
 in no table with another and drop out before the pairs are formed.
 
 Documents with equal shingle sets are one node, found by two independent 64-bit sums over the set,
-so copies cost one row. In each table every node is compared with one hub. Where a table then
-still holds nodes of different components, these are compared across the components, with
-a bound on sizes first; so no link between nodes that meet in a table is missed, and groups of near
-copies cost a row for each member and not for each pair. A link of similarity s is missed with
+so copies cost one row. In each table every node is compared with one hub, so groups of near copies
+cost a row for each member and not for each pair. Nodes in tables that then still hold different
+components are compared across components by prefix: with shingles ordered from rare to common,
+sets as similar as asked share one among their first few, at ranks that leave room for the
+intersection. A member far from the others starts with shingles of its own and meets nobody. So no
+link between nodes that meet in a table is missed; one of similarity s meets in none with
 probability 2 * (1 - s ** ROWS) ** TABLES or less: 1 in 100,000 at 0.8.
 
 Edge cases: null, empty and wordless texts have an empty set and are linked with nothing; a text
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -161,6 +163,42 @@ def in_tables(nodes: DataFrame) -> DataFrame:
     return both.select("node", "n", "right", F.explode("left").alias("one")).select("node", "n", F.explode(F.transform("right", lambda r: F.xxhash64("one", r))).alias("key"))
 
 
+def shingle_rows(members: DataFrame) -> DataFrame:
+    """node, shingle of every set."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.diff(np.frombuffer(b["members"].buffers()[1], np.int32)[b["members"].offset :][: b.num_rows + 1]) // 8
+            for first in range(0, b.num_rows, 64):
+                part = b.slice(first, 64)
+                flat = np.frombuffer(b"".join(part["members"].to_pylist()), "<i8")
+                owner = pa.array(np.repeat(np.arange(part.num_rows), sizes[first : first + 64]))
+                yield pa.RecordBatch.from_arrays([part["node"].take(owner), pa.array(flat)], names=["node", "shingle"])
+
+    return members.select("node", "members").mapInArrow(each, "node binary, shingle long")
+
+
+def across(rest: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of nodes of different roots that may be similar enough: a superset of those that are.
+
+    ``rest``: node, n, root. A node keeps the first n - least + 1 of its shingles, rare ones first,
+    where least is the smallest intersection with any partner; a shingle that only it has takes
+    a rank but no row. ``reach`` is the size of the largest partner that a match at this rank allows.
+    """
+    rows = shingle_rows(members)
+    common = rows.groupBy("shingle").count().filter("count > 1")
+    met = rows.join(common, "shingle").join(rest, "node")
+    by_node = Window.partitionBy("node")
+    rank = F.col("n") - F.count(F.lit(1)).over(by_node) + F.row_number().over(by_node.orderBy("count", "shingle"))
+    reach = F.floor((F.col("n") - F.col("rank") + 1) * (100 + percent) / percent + 1e-6) - F.col("n")
+    kept = durable(met.withColumn("rank", rank).withColumn("reach", reach).filter(F.col("reach") * 100 >= F.col("n") * percent).select("node", "n", "root", "shingle", "reach"))
+    mixed = kept.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least")).filter("low != high")
+    kept = kept.join(mixed.select("shingle", "least"), "shingle").filter("reach >= least")
+    one, two = (kept.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "root", "reach")]) for i in (1, 2))
+    fits = (F.col("root_1") < F.col("root_2")) & (F.col("n_1") <= F.col("reach_2")) & (F.col("n_2") <= F.col("reach_1"))
+    return one.join(two, "shingle").filter(fits).select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, links of every row of ``docs``."""
     signs = durable(signatures(docs, k))
@@ -183,10 +221,9 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     stars = roots(links)
     left = tables.join(bounded(stars.withColumnsRenamed({"a": "node", "b": "root"})), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     open_keys = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    rest = durable(left.join(bounded(durable(open_keys)), "key", "left_semi"))
-    one, two = rest.select("key", *[F.col(c).alias(f"{c}_1") for c in ("node", "n", "root")]), rest.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "root")])
-    more = one.join(two, "key").filter((F.col("root_1") < F.col("root_2")) & near_size(F.col("n_1"), F.col("n_2"))).select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
-    more = durable(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = durable(left.join(bounded(durable(open_keys)), "key", "left_semi").select("node", "n", "root").distinct())
+    more = across(rest, members_of(rest.select(F.col("node").alias("a"), F.col("node").alias("b"))), percent)
+    more = durable(more.join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         found = durable(verified(more, members_of(more), percent))
         if found.limit(1).count():
