@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html, mixing, neardup, pii, quality, repeats, sharding, urls
+from . import chat, decontamination, html, mixing, neardup, pii, quality, repeats, sharding, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4,
     "op5_urls": urls.op5,
     "op6_decontamination": decontamination.op6,
+    "op7_chat": chat.op7,
     "op8_quality": quality.op8,
     "op9_repeats": repeats.op9,
     "op10_near_duplicates": neardup.op10,
