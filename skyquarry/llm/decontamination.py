@@ -44,14 +44,9 @@ def grams(words: Column, k: int) -> Column:
 
 
 def winnowed(hashes: Column, w: int) -> Column:
-    """The smallest of every w consecutive hashes, by minima over runs of growing length."""
-    least, width = hashes, 1
-    while width < w:
-        step = min(width, w - width)
-        ahead = F.slice(least, F.lit(step + 1), F.greatest(F.size(hashes) - (width + step - 1), F.lit(0)))
-        least = F.zip_with(F.slice(least, F.lit(1), F.size(ahead)), ahead, lambda x, y: F.least(x, y))
-        width += step
-    return F.array_distinct(least)
+    """The smallest of every w consecutive hashes."""
+    starts = F.slice(F.sequence(F.lit(1), F.greatest(F.size(hashes), F.lit(1))), F.lit(1), F.greatest(F.size(hashes) - (w - 1), F.lit(0)))
+    return F.array_distinct(hashes if w == 1 else F.transform(starts, lambda i: F.array_min(F.slice(hashes, i, F.lit(w)))))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
