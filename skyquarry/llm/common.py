@@ -21,16 +21,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so a lost executor costs no recomputation
-    and later passes reread the small digest instead of the texts.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared folder for what must outlive executors: ``spark.checkpoint.dir``, and only
+    where that is unset (tests on one machine) a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skyquarry-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, so a lost executor costs no recomputation
+    and later passes reread the small digest instead of the texts."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -127,10 +127,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             continue
         if attributes.endswith("/") and tag in ("svg", "math"):
             continue
-        drop = dropped or _unwanted(tag, attributes)
-        if drop and not dropped:
-            flush()
-        stack.append((tag, drop, inside or tag in ("article", "main") or 'role="main"' in attributes))
+        stack.append((tag, dropped or _unwanted(tag, attributes), inside or tag in ("article", "main") or 'role="main"' in attributes))
     flush()
     inside = [b for b in out if b[1]]
     return inside or out

@@ -17,9 +17,10 @@ table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, durable, table
@@ -32,7 +33,7 @@ CELLS = 8192
 SLOT_ROWS = 4096
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, *more: Column) -> DataFrame:
     """Per row: what packing needs to know of the text, so that the text is read once."""
     text = F.col("text")
     return docs.select(
@@ -41,6 +42,7 @@ def digest(docs: DataFrame) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
         F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"null")).alias("group"),
+        *more,
     )
 
 
@@ -60,8 +62,8 @@ def _sums() -> list:
     return [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")]
 
 
-def assign(items: DataFrame, shards: int) -> DataFrame:
-    """``items`` (doc_id, size, tokens, group, ...) with ``shard``."""
+def planned(items: DataFrame, shards: int) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """What gives ``items`` (doc_id, size, tokens, group, ...) their ``shard``, and how many they are."""
     spark = items.sparkSession
     total = items.agg(*_sums()).first()
     full = [max(1, total[d] or 0) for d in DIMENSIONS]
@@ -81,7 +83,7 @@ def assign(items: DataFrame, shards: int) -> DataFrame:
         n = math.ceil(max(r[d] / x for d, x in zip(DIMENSIONS, full)) * shards - 1e-9)
         if r["group"] is not None and n > 1:
             pieces[bytes(r["group"])] = n
-    rows = [(bytes(r["group"]), 1, 0, r["cell"], *(r[d] for d in DIMENSIONS)) if r["group"] is not None else (None, 1, 0, r["cell"], *(r[d] for d in DIMENSIONS)) for r in found]
+    rows = [(None if r["group"] is None else bytes(r["group"]), 1, 0, r["cell"], *(r[d] for d in DIMENSIONS)) for r in found]
     if pieces:  # at most 3 * shards such groups, and twice as many pieces
         heavy = F.broadcast(spark.createDataFrame([(bytearray(g), n) for g, n in pieces.items()], "group binary, pieces int"))
         parts = items.join(heavy, "group").groupBy("group", "pieces", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int").alias("piece")).agg(*_sums()).collect()
@@ -92,12 +94,14 @@ def assign(items: DataFrame, shards: int) -> DataFrame:
     cells = [(r[3], int(s)) for r, s in zip(rows, where) if r[0] is None]
     single = F.broadcast(spark.createDataFrame(single, "group binary, of int, piece int, single_shard int"))
     cells = F.broadcast(spark.createDataFrame(cells, "cell int, cell_shard int"))
-    return (
-        items.alias("i")
-        .join(single.alias("s"), (F.col("i.group") == F.col("s.group")) & (F.pmod(F.xxhash64("i.doc_id"), F.col("s.of")).cast("int") == F.col("s.piece")), "left")
-        .join(cells.alias("c"), F.pmod(F.xxhash64("i.group"), F.lit(CELLS)).cast("int") == F.col("c.cell"), "left")
-        .select("i.*", F.coalesce("single_shard", "cell_shard").alias("shard"), F.lit(total["rows"]).alias("all_rows"))
-    )
+    piece = F.pmod(F.xxhash64("i.doc_id"), F.col("s.of")).cast("int")
+
+    def placed(some: DataFrame) -> DataFrame:
+        with_single = some.alias("i").join(single.alias("s"), (F.col("i.group") == F.col("s.group")) & (piece == F.col("s.piece")), "left")
+        with_both = with_single.join(cells.alias("c"), F.pmod(F.xxhash64("i.group"), F.lit(CELLS)).cast("int") == F.col("c.cell"), "left")
+        return with_both.select("i.*", F.coalesce("single_shard", "cell_shard").alias("shard"))
+
+    return placed, total["rows"]
 
 
 def number(items: DataFrame, shards: int, rows: int) -> DataFrame:
@@ -115,8 +119,15 @@ def number(items: DataFrame, shards: int, rows: int) -> DataFrame:
 def vector_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, tokens, group, shard, slot of every row of ``docs``."""
     items = durable(digest(docs))
-    rows = items.count()
-    return number(assign(items, shards), shards, rows).drop("all_rows")
+    placed, rows = planned(items, shards)
+    return number(placed(items), shards, rows)
+
+
+def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
+    """The rows of ``docs`` with shard and slot; texts are shuffled once, to their shards."""
+    placed, rows = planned(durable(digest(docs)), shards)
+    items = placed(digest(docs, F.struct(*[F.col(c) for c in docs.columns]).alias("row")))
+    return number(items, shards, rows).select("row.*", "shard", "slot")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
