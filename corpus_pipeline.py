@@ -1,8 +1,57 @@
-"""The corpus pipeline: each stage is written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: each stage is written as Parquet and reread as the next one's documents.
 
-STAGES = []
+Every stage works on all rows its predecessor kept and returns the columns of documents; the last
+adds where each row is stored. Rows may repeat after mixing, which lays a document into the mix as
+often as its source's target asks.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from skyquarry.llm import decontamination, mixing, neardup, quality, sharding
+from skyquarry.llm.common import checkpoint_folder, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.clean(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.clean(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.sharded(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("source_mixing", mix),
+    ("sharding", shard),
+]
+
+#: Robust estimates and MinHash are beyond SQL; the tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stage yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of ``sf_dir`` after all stages, from tables in the session's shared folder."""
+    base = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
+        docs = spark.read.parquet(f"{base}/{i}-{name}")
+    return docs
