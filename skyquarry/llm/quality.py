@@ -6,7 +6,8 @@ into narrow bins of Mahalanobis distance, sums are made for each bin, and the bi
 centre that hold the share CORE of the rows give the next estimate. So a step is one aggregation
 whose rows are few, over all rows; no group is gathered in a task, and the bins make it exact and
 repeatable. A group of fewer than LEAST rows is judged with the other small groups of its
-language, and if these are too few as well, by the fixed rules alone.
+language, and if these are too few as well, with those of all languages; where even they are too
+few the fixed rules decide alone.
 
 Edge cases: a null text counts as empty; a null language or source is a group like others; a text
 without words has a vector of zeros (the fixed rules reject it); repeated rows each get a verdict,
@@ -150,19 +151,19 @@ def distance() -> Column:
 
 
 def grouped(stats: DataFrame) -> DataFrame:
-    """``stats`` with ``group``: its language and source, or where these are few its language, or null."""
+    """``stats`` with ``group``: its language and source, or where these are few its language, or all that is left."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     stats = stats.withColumns({"lang_key": name("lang"), "source_key": name("source")})
     sizes = stats.groupBy("lang_key", "source_key").count()
     enough = F.col("count") >= LEAST
     rest = F.sum(F.when(~enough, F.col("count"))).over(Window.partitionBy("lang_key"))
-    group = F.when(enough, F.to_json(F.struct("lang_key", "source_key"))).when(rest >= LEAST, F.to_json(F.struct("lang_key")))
+    group = F.when(enough, F.to_json(F.struct("lang_key", "source_key"))).when(rest >= LEAST, F.to_json(F.struct("lang_key"))).otherwise("{}")
     return stats.join(sizes.select("lang_key", "source_key", group.alias("group")), ["lang_key", "source_key"]).drop("lang_key", "source_key")
 
 
 def estimates(stats: DataFrame) -> DataFrame:
     """group, centre, inverse of every group of ``stats`` (with ``group``)."""
-    rows = stats.filter(F.col("group").isNotNull()).select("group", *PARTS)
+    rows = stats.select("group", *PARTS)
     small = rows.select("group").distinct().count() <= GROUPS_BROADCAST
     hint = F.broadcast if small else (lambda df: df)
     quarters = rows.groupBy("group").agg(*[F.percentile(p, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias(p) for p in PARTS])
@@ -177,7 +178,7 @@ def estimates(stats: DataFrame) -> DataFrame:
         by_ring = Window.partitionBy("group").orderBy("ring")
         inner = F.coalesce(F.sum("n").over(by_ring.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         every = F.sum("n").over(Window.partitionBy("group"))
-        core = rings.withColumn("core", inner < every * CORE).filter("core").groupBy("group").agg(*[F.sum(F.round(c, 6)).alias(c) if c != "n" else F.sum(c).alias(c) for c in ("n", *sums)])
+        core = rings.withColumn("core", (inner < every * CORE) & (every >= LEAST)).filter("core").groupBy("group").agg(*[F.sum(F.round(c, 6)).alias(c) if c != "n" else F.sum(c).alias(c) for c in ("n", *sums)])
         found = core.mapInPandas(solved, "group string, centre array<double>, inverse array<double>")
     return hint(durable(found))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, html, mixing, neardup, pii, quality, repeats, sharding, urls
+from . import chat, decontamination, html, mixing, neardup, oracle, pii, quality, repeats, sharding, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_repeats": repeats.op9,
     "op10_near_duplicates": neardup.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_decontamination": oracle.DECONTAMINATION, "op10_near_duplicates": oracle.NEAR_DUPLICATES}
