@@ -27,7 +27,6 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Knots (training time, relative weight) of each weight's schedule: the heaviest sources early, the lightest late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
-BLOCK_ROWS = 16384
 
 
 def invert(schedule: tuple, share: Column) -> Column:
@@ -77,7 +76,7 @@ def curriculum(items: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
     """``items`` (of ``sized``) with source_size, target and ``uses``, an array of (words, position)
     with one entry for each time the mix takes the document."""
     rows = items.count()
-    blocks = max(1, math.ceil(rows / BLOCK_ROWS))
+    blocks = max(1, math.isqrt(rows))  # as many blocks as rows to a block: neither sum meets more
     items = items.select("*", F.xxhash64("doc_id").alias("mark"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
     sums = items.groupBy("source_key", "block").agg(F.first("source").alias("source"), F.sum("size").alias("block_size"))
     sources = targets(sums.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("block_size").alias("source_size")))
