@@ -28,7 +28,7 @@ from .common import table
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 TRAINED = "assistant"
 #: Conversations to one block of a group.
-BLOCK = 1024
+BLOCK = 64
 _TURN = "array<struct<turn:bigint,role:string,text:string>>"
 
 
