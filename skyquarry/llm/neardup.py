@@ -191,11 +191,15 @@ def across(rest: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     by_node = Window.partitionBy("node")
     rank = F.col("n") - F.count(F.lit(1)).over(by_node) + F.row_number().over(by_node.orderBy("count", "shingle"))
     reach = F.floor((F.col("n") - F.col("rank") + 1) * (100 + percent) / percent + 1e-6) - F.col("n")
-    kept = durable(met.withColumn("rank", rank).withColumn("reach", reach).filter(F.col("reach") * 100 >= F.col("n") * percent).select("node", "n", "root", "shingle", "reach"))
+    kept = durable(met.withColumn("rank", rank).withColumn("reach", reach).filter(F.col("reach") * 100 >= F.col("n") * percent).select("node", "n", "root", "shingle", "count", "reach"))
     mixed = kept.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least")).filter("low != high")
     kept = kept.join(mixed.select("shingle", "least"), "shingle").filter("reach >= least")
-    one, two = (kept.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "root", "reach")]) for i in (1, 2))
+    # a pair is made by the first shingle that it shares, whose reach is the largest, and by no other
+    firsts = kept.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "shingle"))), lambda t: t["shingle"]).alias("all"))
+    kept = durable(kept.join(firsts, "node"))
+    one, two = (kept.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "root", "reach", "all")]) for i in (1, 2))
     fits = (F.col("root_1") < F.col("root_2")) & (F.col("n_1") <= F.col("reach_2")) & (F.col("n_2") <= F.col("reach_1"))
+    fits &= F.get(F.array_intersect("all_1", "all_2"), F.lit(0)) == F.col("shingle")
     return one.join(two, "shingle").filter(fits).select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
 
 
