@@ -20,7 +20,16 @@ LOWER[65:91] += 32
 
 _BASE = np.uint64(0x9E6C63D0876A9A47)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
+
+
+class _Kept(dict):
+    """A cache that stays behind when its module travels."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_powers = _Kept()
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
