@@ -64,6 +64,7 @@ def hops(systems: DataFrame, start: int, goal: int, range_ly: float) -> DataFram
     return levels(systems, start, range_ly, goal=goal).filter(F.col("address") == goal).select(F.col("address").alias("goal"), F.col("hop").alias("jumps"))
 
 
-def message(stops: DataFrame) -> DataFrame:
-    """What is said of a route that couldn't be plotted."""
-    return stops.agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("n") < 2, "No route found").alias("message"))
+def message(stops: DataFrame, start: str, goal: str, range_ly: str) -> DataFrame:
+    """What is said of a route that couldn't be plotted; null if it could."""
+    said = f"No route from {start} to {goal} at {range_ly} Ly"
+    return stops.agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("n") < 2, said).alias("message"))

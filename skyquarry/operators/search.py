@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .spatial import to_point
 
+# What is said of a range that can't be used.
+RANGES = ("Jump range must be a number of light years", "Jump range must be more than nothing")
+
 
 def escaped(text: str) -> str:
     """A pattern that matches the text itself: the escape character first, then the wildcards."""
@@ -40,7 +43,7 @@ def located(systems: DataFrame, names: list[str]) -> DataFrame:
     asked = systems.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "place int, asked string")
     found = systems.groupBy("name").agg(F.min_by("address", F.struct(F.col("x").isNull(), F.col("address"))).alias("address"), F.max(F.col("x").isNotNull()).alias("positioned"))
     joined = F.broadcast(asked).join(found, F.upper("asked") == F.col("name"), "left")  # as long as the call's arguments
-    reason = F.when(F.col("name").isNull(), F.concat(F.lit("No system named "), "asked")).when(~F.col("positioned"), F.concat("asked", F.lit(" has no position on record")))
+    reason = F.when(F.col("name").isNull(), F.concat(F.lit("No system named "), "asked")).when(~F.col("positioned"), F.concat("name", F.lit(" has no position on record")))
     rows = joined.select("place", "asked", "address", reason.alias("reason"))
     first_bad = rows.filter("reason IS NOT NULL").agg(F.min("place").alias("bad"))
     return rows.crossJoin(first_bad).filter("bad IS NULL OR place <= bad").drop("bad")
@@ -53,5 +56,5 @@ def blank_as_none(text: Column) -> Column:
 def jump_range(text: Column) -> Column:
     """struct<range, message> of what was typed."""
     value = F.trim(text).try_cast("double")
-    good = F.coalesce((value > 0) & ~F.isnan(value), F.lit(False))
-    return F.struct(F.when(good, value).alias("range"), F.when(~good, "Range must be a number above zero").alias("message"))
+    said = F.when(value.isNull(), RANGES[0]).when(~(value > 0) | F.isnan(value), RANGES[1])
+    return F.struct(F.when(said.isNull(), value).alias("range"), said.alias("message"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 LIGHT_YEAR = 9.4607304725808e15
 LIGHT_SECOND = 2.99792458e8
+# What is said when none, one, or more than two systems are picked for a route.
+ENDS = ("Pick out two systems to plot between", "Pick out a second system to plot to", "A route runs between two systems for now")
 
 
 def distance(ax: Column, ay: Column, az: Column, bx: Column, by: Column, bz: Column) -> Column:
@@ -81,3 +83,24 @@ def framing(df: DataFrame) -> DataFrame:
     away = distance(F.col("x"), F.col("y"), F.col("z"), F.col("middle_x"), F.col("middle_y"), F.col("middle_z"))
     # the box is one row
     return df.filter(F.col("x").isNotNull()).crossJoin(F.broadcast(box)).groupBy("middle_x", "middle_y", "middle_z").agg(F.max(away).alias("extent"))
+
+
+def picked_distance(picked: DataFrame) -> DataFrame:
+    """Distance between the picked systems where they are exactly two; null otherwise."""
+    ends = picked.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("address", "x", "y", "z")).alias("a"), F.max(F.struct("address", "x", "y", "z")).alias("b"))
+    return ends.select(F.when(F.col("n") == 2, between("a", "b")).alias("distance"))
+
+
+def route_ends(picked: DataFrame) -> DataFrame:
+    """message: what keeps the picked systems from being the two ends of a route; null if nothing does."""
+    n = picked.agg(F.count(F.lit(1)).alias("n"))
+    said = F.when(F.col("n") == 0, ENDS[0]).when(F.col("n") == 1, ENDS[1]).when(F.col("n") > 2, ENDS[2])
+    return n.select(said.alias("message"))
+
+
+def light_years(metres: Column) -> Column:
+    return metres / LIGHT_YEAR
+
+
+def metres(light_years: Column) -> Column:
+    return light_years * LIGHT_YEAR

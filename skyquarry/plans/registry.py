@@ -191,16 +191,16 @@ def _(c):
     return search.ranked(c.factions, "00000001", 25, key="id")
 
 
-@query("t07_locate", """SELECT asked, CASE WHEN asked = 'nowhere' THEN NULL ELSE address END AS address, CASE WHEN asked = 'nowhere' THEN 'No system named nowhere' WHEN x IS NULL THEN concat(asked, ' has no position on record') END AS reason
+@query("t07_locate", """SELECT asked, CASE WHEN asked = 'nowhere' THEN NULL ELSE address END AS address, CASE WHEN asked = 'nowhere' THEN 'No system named nowhere' WHEN x IS NULL THEN concat(name, ' has no position on record') END AS reason
     FROM (SELECT unnest(['customer#000000002', 'customer#000000097']) AS asked) a LEFT JOIN systems s ON s.name = upper(asked)""")
 def _(c):
     return search.located(c.systems, ["customer#000000002", "customer#000000097", "nowhere"]).select("asked", "address", "reason")
 
 
-@query("t09_parsed_range", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey > 0 THEN CAST(c_custkey AS DOUBLE) / 2 END AS range, c_custkey % 3 <> 0 OR c_custkey = 0 AS refused FROM customer""")
+@query("t09_parsed_range", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey > 0 THEN CAST(c_custkey AS DOUBLE) / 2 END AS range, CASE WHEN c_custkey % 3 = 1 THEN 'Jump range must be a number of light years' WHEN c_custkey % 3 = 2 OR c_custkey = 0 THEN 'Jump range must be more than nothing' END AS message FROM customer""")
 def _(c):
     text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("  "), (F.col("c_custkey") / 2).cast("string"), F.lit(" "))).when(F.col("c_custkey") % 3 == 1, F.lit("far")).otherwise("-2")
-    return c.customer.select("c_custkey", search.jump_range(text).alias("r")).select("c_custkey", F.col("r.range").alias("range"), F.col("r.message").isNotNull().alias("refused"))
+    return c.customer.select("c_custkey", search.jump_range(text).alias("r")).select("c_custkey", "r.range", "r.message")
 
 
 # Space
@@ -282,6 +282,21 @@ def _(c):
     return spatial.framing(c.systems.filter("address < 50"))
 
 
+@query("g13_units", "SELECT address, x * 9.4607304725808e15 AS metres, x * 9.4607304725808e15 / 2.99792458e8 AS light_seconds FROM systems")
+def _(c):
+    return c.systems.select("address", spatial.metres(F.col("x")).alias("metres"), (spatial.metres(F.col("x")) / spatial.LIGHT_SECOND).alias("light_seconds"))
+
+
+@query("g14_picked_distance", f"SELECT {_D} AS distance FROM systems s, systems a WHERE s.address = 3 AND a.address = 9")
+def _(c):
+    return spatial.picked_distance(c.systems.filter("address IN (3, 9)"))
+
+
+@query("p10_route_ends", "SELECT 'A route runs between two systems for now' AS message")
+def _(c):
+    return spatial.route_ends(c.systems.filter("address IN (3, 9, 11)"))
+
+
 # Listings and trends
 
 @query("q01_listings", """SELECT y.name AS system_name, m.station_name, t.ty, k.mean_price, k.stock, k.listed_at FROM commodities k JOIN markets m ON m.id = k.market_id
@@ -541,6 +556,21 @@ def _(c):
     return merge.materials(c.body_materials.withColumn("pos", F.col("percent"))).select("system_address", "body_id", "name", "percent")
 
 
+_STARS = "SELECT event_id % 60 AS system_address, CAST(event_id % 3 AS INT) AS id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS radius, event_id + (event_id * 7919 % 2000) AS arrival, event_id FROM events"
+
+
+@query("m12_star_upsert", f"SELECT system_address, id, radius FROM (SELECT *, row_number() OVER (PARTITION BY system_address, id ORDER BY arrival DESC, event_id DESC) AS n FROM ({_STARS}) t) t WHERE n = 1")
+def _(c):
+    rows = c.events.selectExpr("event_id % 60 AS system_address", "CAST(event_id % 3 AS INT) AS id", "CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS radius", "event_id + (event_id * 7919 % 2000) AS arrival", "event_id")
+    return merge.last_arrival(rows, ["system_address", "id"]).select("system_address", "id", "radius")
+
+
+@query("m13_barycenter_upsert", f"SELECT system_address, id, radius AS semi_major_axis FROM (SELECT *, row_number() OVER (PARTITION BY system_address, id ORDER BY arrival DESC, event_id DESC) AS n FROM ({_STARS}) t WHERE id > 0) t WHERE n = 1")
+def _(c):
+    rows = c.events.filter("event_id % 3 > 0").selectExpr("event_id % 60 AS system_address", "CAST(event_id % 3 AS INT) AS id", "CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS semi_major_axis", "event_id + (event_id * 7919 % 2000) AS arrival", "event_id")
+    return merge.last_arrival(rows, ["system_address", "id"]).select("system_address", "id", "semi_major_axis")
+
+
 @query("m14_article_delete", "SELECT id, title FROM articles WHERE id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 7 = 0)")
 def _(c):
     return merge.delete(c.articles.select("id", "title"), c.documents.filter("doc_id % 7 = 0").selectExpr("doc_id AS id"), ["id"])
@@ -607,9 +637,9 @@ def _(c):
     return legs.agg(F.count(F.lit(1)).cast("int").alias("stops"), F.coalesce(F.max("leg") <= RANGE, F.lit(True)).alias("in_range"))
 
 
-@query("r03_message", "SELECT CAST('No route found' AS VARCHAR) AS message")
+@query("r03_message", "SELECT 'No route from CUSTOMER#000000001 to CUSTOMER#000000042 at 10 Ly' AS message")
 def _(c):
-    return route.message(route.route(c.systems, 1, 42, 10.0))
+    return route.message(route.route(c.systems, 1, 42, 10.0), HOME, "CUSTOMER#000000042", "10")
 
 
 # Orbits
@@ -692,6 +722,12 @@ def _(c):
 
 # Labels
 
+@query("l01_eligible", "SELECT address, x IS NOT NULL AND (address = 4 OR address = 9 OR (address % 2 = 0 AND NOT address % 3 = 0)) AS eligible FROM systems")
+def _(c):
+    a = F.col("address")
+    return c.systems.select("address", labels.eligible(F.col("x").isNotNull(), a == 4, a == 9, a % 2 == 0, a % 3 == 0).alias("eligible"))
+
+
 @query("l02_scores", "SELECT address, round(greatest(CASE WHEN address = 4 THEN 500 ELSE 0 END, CASE WHEN address IN (4, 9) THEN 1000 ELSE 0 END) + 250 / (1 + (d / 2) * (d / 2)) - d, 6) AS score FROM (SELECT address, sqrt(x * x + y * y + z * z) AS d FROM systems) t")
 def _(c):
     away = spatial.distance(F.col("x"), F.col("y"), F.col("z"), F.lit(0.0), F.lit(0.0), F.lit(0.0))
@@ -759,6 +795,11 @@ def _(c):
     return c.part.select("p_partkey", F.round(D.shell(F.col("p_size") * 1e11, F.col("p_retailprice") * 1e14, F.lit(2.0)), -3).alias("shell"), F.round(D.standing(F.col("p_size") / 1000), 6).alias("standing"), D.rung(F.col("p_size")).alias("rung"))
 
 
+@query("x10_lumens", "SELECT p_partkey, round(4 * pi() * p_size * p_size * 5.670374419e-8 * p_retailprice * p_retailprice * p_retailprice * p_retailprice * 93 / 1e6, 3) AS megalumens FROM part")
+def _(c):
+    return c.part.select("p_partkey", F.round(D.lumens(F.col("p_size"), F.col("p_retailprice")) / 1e6, 3).alias("megalumens"))
+
+
 # Constraints
 
 @query("v1_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

@@ -32,7 +32,7 @@ def test_ranked_search_without_a_place_falls_to_names(spark):
 def test_located_stops_at_the_first_bad_name(spark):
     df = systems(spark, [(1, "SOL", 0.0, 0.0, 0.0), (2, "LOST", None, None, None)])
     assert [(r.asked, r.reason) for r in search.located(df, ["nope", "sol"]).collect()] == [("nope", "No system named nope")]
-    assert [r.reason for r in search.located(df, ["sol", "lost"]).orderBy("place").collect()] == [None, "lost has no position on record"]
+    assert [r.reason for r in search.located(df, ["sol", "lost"]).orderBy("place").collect()] == [None, "LOST has no position on record"]
 
 
 @settings(max_examples=8, deadline=None)
@@ -96,7 +96,7 @@ def test_shortest_route(spark):
     assert route.route(df, 0, goal, 25.0, max_jumps=hop[goal] - 1).collect() == []
     assert [r.hop for r in route.route(df, 0, 0, 25.0).collect()] == [0]
     assert route.route(df, 0, 99, 25.0).collect() == []
-    assert route.message(route.route(df, 0, 99, 25.0)).first().message == "No route found"
+    assert route.message(route.route(df, 0, 99, 25.0), "A", "B", "25").first().message == "No route from A to B at 25 Ly"
 
 
 def test_drawn_legs(spark):
