@@ -7,8 +7,8 @@ tokens, whose suffixes are sorted by prefix doubling to the depth of RUN tokens:
 rank are a substring that occurs at each of them. Where such a substring stands on enough distinct
 pages, its tokens are boilerplate, and a block that boilerplate covers is removed; unique runs stay.
 
-Inside an article more than half of the host's distinct pages must share a block before it goes,
-for articles quote each other; outside one, a tenth. Pages with the same blocks count once, and a
+Inside an article more than four fifths of the host's distinct pages, and twenty at least, must share
+a block before it goes, for articles quote each other; outside one, a tenth, and three. Pages with the same blocks count once, and a
 page of which boilerplate would cover half or more is a copy of another and is left whole.
 
 A host with more than CHUNK_PAGES pages is dealt into chunks by page, each with its own array, so
@@ -37,8 +37,9 @@ from .urls import host_path
 
 RUN = 8
 CHUNK_PAGES = 256
-LEAST_PAGES = 3
-SHARE_INSIDE, SHARE_OUTSIDE = 0.5, 0.1
+#: Of a host's distinct pages, so many and more than this share must have a run.
+LEAST_INSIDE, SHARE_INSIDE = 20, 0.8
+LEAST_OUTSIDE, SHARE_OUTSIDE = 3, 0.1
 COVERED, COPY = 0.9, 0.5
 
 _MARKUP = re.compile(r"""<!--(?:>|->)|<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
@@ -167,7 +168,7 @@ def boilerplate(texts: list[list[str]], inside: list[list[bool]]) -> list[list[b
     seen = np.unique(rank[whole] * len(texts) + original[page[whole]])
     pages_with = np.bincount(seen // len(texts), minlength=len(rank) + 1)[rank]
     in_article = np.array([x for p in inside for x in p], dtype=bool)[block]
-    least = np.maximum(np.where(in_article, SHARE_INSIDE, SHARE_OUTSIDE) * distinct, LEAST_PAGES - 1)
+    least = np.where(in_article, max(SHARE_INSIDE * distinct, LEAST_INSIDE - 1), max(SHARE_OUTSIDE * distinct, LEAST_OUTSIDE - 1))
     hit = np.flatnonzero(whole & (pages_with > least))
     steps = np.zeros(len(rank) + 1, dtype=np.int64)
     np.add.at(steps, hit, 1)

@@ -64,7 +64,8 @@ def plain_boilerplate(texts, inside):
         covered = set()
         for a in range(len(s) - html.RUN + 1):
             n = len(places[tuple(t for t, _ in s[a : a + html.RUN])])
-            if n > max(len(alike) * (html.SHARE_INSIDE if inside[i][s[a][1]] else html.SHARE_OUTSIDE), html.LEAST_PAGES - 1):
+            share, least = (html.SHARE_INSIDE, html.LEAST_INSIDE) if inside[i][s[a][1]] else (html.SHARE_OUTSIDE, html.LEAST_OUTSIDE)
+            if n > max(len(alike) * share, least - 1):
                 covered |= set(range(a, a + html.RUN))
         copy = len(covered) >= html.COPY * max(len(s), 1)
         of = [[a for a, (_, b) in enumerate(s) if b == k] for k in range(len(texts[i]))]
@@ -72,11 +73,12 @@ def plain_boilerplate(texts, inside):
     return out
 
 
-def test_suffix_ranks_match_a_plain_search():
+def test_suffix_ranks_match_a_plain_search(monkeypatch):
     import random
 
     rng = random.Random(1)
     lines = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(4, 20))) for _ in range(8)]
+    monkeypatch.setattr(html, "LEAST_INSIDE", 4)
     for _ in range(20):
         texts = [[rng.choice(lines) if rng.random() < 0.4 else " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(6))] for _ in range(rng.randrange(12))]
         inside = [[rng.random() < 0.5 for _ in p] for p in texts]
