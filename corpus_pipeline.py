@@ -48,10 +48,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of ``sf_dir`` after all stages, from tables in the session's shared folder."""
-    base = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The documents of ``sf_dir`` after all stages, from a table in the session's shared folder.
+
+    A stage's table goes once the next one's is written.
+    """
+    base, before = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
-        docs = spark.read.parquet(f"{base}/{i}-{name}")
+        path = f"{base}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(before)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        before = path
     return docs
