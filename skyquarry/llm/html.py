@@ -137,13 +137,11 @@ def blocks(page: str) -> list[tuple[str, bool]]:
 def boilerplate(texts: list[list[str]], inside: list[list[bool]]) -> list[list[bool]]:
     """Which blocks of the pages of a host are boilerplate."""
     flat = [t for page in texts for t in page]
-    block_of, gate, hashes = [], [], []
-    column, first = pa.array(flat, pa.string()), 0
-    for chunk in kernels.chunks(column):
+    block_of, hashes = [], []
+    for chunk in kernels.chunks(pa.array(flat, pa.string())):
         start, end, before = chunk.words()
         hashes.append(kernels.Hasher(chunk.data).of(start, end))
         block_of.append(np.repeat(np.arange(chunk.first, chunk.last), np.diff(before)))
-        first = chunk.last
     none = [[False] * len(p) for p in texts]
     if not flat or sum(map(len, hashes)) < RUN:
         return none

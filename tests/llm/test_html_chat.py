@@ -3,8 +3,6 @@
 import re
 from collections import defaultdict
 
-from tests.llm import brute
-
 from skyquarry.llm import chat, html
 
 PAGES = {
