@@ -43,6 +43,8 @@ GRAM = 32
 SIDE = SPAN - GRAM
 #: Bytes of text to one bucket of anchors and to one group of texts.
 BUCKET_BYTES, GROUP_BYTES = 24 << 20, 12 << 20
+#: Bytes of a gram's hash that decide whether it may stand in two documents.
+PART = 6
 _NO_DOC = np.iinfo(np.int64).max
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -83,11 +85,16 @@ def _dealt(bucket: np.ndarray, columns: dict[str, np.ndarray], name: str) -> pa.
     arrays = {name: pa.array(bucket[begin].astype(np.int32))}
     for k, v in columns.items():
         v = np.ascontiguousarray(v[order])
-        arrays[k] = pa.array([v[x:y].tobytes() for x, y in zip(begin, end)], pa.binary())
+        if k == "doc":  # tuples are in order of their texts: steps from one document to the next pack well
+            arrays[k] = pa.array([np.diff(v[x:y], prepend=np.int64(0)).tobytes() for x, y in zip(begin, end)], pa.binary())
+        else:
+            arrays[k] = pa.array([v[x:y].tobytes() for x, y in zip(begin, end)], pa.binary())
     return pa.table(arrays)
 
 
-def _joined(blobs, dtype) -> np.ndarray:
+def _joined(blobs, dtype, steps: bool = False) -> np.ndarray:
+    if steps:
+        return np.concatenate([np.zeros(0, dtype), *(np.cumsum(np.frombuffer(b, dtype)) for b in blobs)])
     return np.frombuffer(b"".join(blobs), dtype=dtype)
 
 
@@ -111,13 +118,13 @@ def _per_bucket(batches: Iterator[pa.RecordBatch], columns: dict[str, object]) -
     for b in batches:
         for i, bucket in enumerate(b["bucket"].to_pylist()):
             if bucket != now and now is not None:
-                yield {k: _joined(held[k], t) for k, t in columns.items()}
+                yield {k: _joined(held[k], t, k == "doc") for k, t in columns.items()}
                 held = {k: [] for k in columns}
             now = bucket
             for k in columns:
                 held[k].append(b[k][i].as_py())
     if now is not None:
-        yield {k: _joined(held[k], t) for k, t in columns.items()}
+        yield {k: _joined(held[k], t, k == "doc") for k, t in columns.items()}
 
 
 def _groups(order: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,20 +142,24 @@ def sampled(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             at, gram, _, _ = anchors(chunk)
             if len(at):
                 doc = docs[chunk.first + np.searchsorted(chunk.offsets, at, "right") - 1]
-                yield from _dealt(_bucket(gram, buckets), {"gram": gram, "doc": doc}, "bucket").to_batches()
+                yield from _dealt(_bucket(gram, buckets), {"gram": gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PART], "doc": doc}, "bucket").to_batches()
 
 
 def _pair(gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return kernels.mix(gram ^ kernels.mix(doc.view(np.uint64)))
+    """A key of the part of a gram's hash that was dealt, and a document; a clash only adds a candidate."""
+    return kernels.mix((gram & np.uint64((1 << 8 * PART) - 1)) ^ kernels.mix(doc.view(np.uint64)))
 
 
 def shared(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
     """For each group of documents, which (gram, document) have the gram in another document too."""
-    for t in _per_bucket(batches, {"gram": np.uint64, "doc": np.int64}):
-        order = np.argsort(t["gram"])
-        group, low, high = _groups(order, t["gram"], t["doc"])
+    for t in _per_bucket(batches, {"gram": np.uint8, "doc": np.int64}):
+        whole = np.zeros((len(t["doc"]), 8), dtype=np.uint8)
+        whole[:, :PART] = t["gram"].reshape(-1, PART)
+        gram = whole.view("<u8").ravel()
+        order = np.argsort(gram)
+        group, low, high = _groups(order, gram, t["doc"])
         order = order[(low != high)[group]]
-        gram, doc = t["gram"][order], t["doc"][order]
+        gram, doc = gram[order], t["doc"][order]
         yield from _dealt(_group(doc, groups), {"pair": _pair(gram, doc)}, "part").to_batches()
 
 
@@ -160,12 +171,24 @@ def _lanes(rows: np.ndarray) -> np.ndarray:
     return h
 
 
+def _nth(texts: pa.Table) -> np.ndarray:
+    """Which of the texts of its document each is, in the order of their keys; equal rows are one."""
+    docs, keys = texts["doc"].to_numpy(), texts["row_key"].to_numpy()
+    order = np.lexsort((keys, docs))
+    new_doc = np.append(True, docs[order][1:] != docs[order][:-1])
+    new = new_doc | np.append(True, keys[order][1:] != keys[order][:-1])
+    count = np.cumsum(new)
+    out = np.empty(len(docs), dtype=np.int32)
+    out[order] = count - np.maximum.accumulate(np.where(new_doc, count, 0))
+    return out
+
+
 def surrounded(texts: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     """The shared anchors of a group of texts, with their sides."""
     pairs = np.unique(_joined(told["pair"].to_pylist(), np.uint64))
     parts = []
     column = texts["text"].combine_chunks()
-    docs, rows = texts["doc"].to_numpy(), texts["row_key"].to_numpy()
+    docs, nth = texts["doc"].to_numpy(), _nth(texts)
     side = np.arange(SIDE)
     for chunk in kernels.chunks(column if isinstance(column, pa.Array) else column.chunk(0)) if len(pairs) and len(texts) else ():
         at, gram, low, high = anchors(chunk)
@@ -180,18 +203,18 @@ def surrounded(texts: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
         context[:, :SIDE] = np.where(side >= SIDE - left[:, None], padded[at[:, None] + side], 0)
         context[:, SIDE : 2 * SIDE] = np.where(side < right[:, None], padded[at[:, None] + SIDE + GRAM + side], 0)
         context[:, 2 * SIDE], context[:, 2 * SIDE + 1] = left, high - low
-        again = _lanes(chunk.data[at[:, None] + np.arange(GRAM)]) if len(at) else gram
-        parts.append((gram, again, context, doc, rows[chunk.first + owner], (at - chunk.offsets[owner]).astype(np.int64)))
+        again = _lanes(chunk.data[at[:, None] + np.arange(GRAM)]).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
+        parts.append((gram, again, context, doc, nth[chunk.first + owner], (at - chunk.offsets[owner]).astype(np.int64)))
     if not parts:
-        return _dealt(np.zeros(0, dtype=np.int64), {k: np.zeros(0) for k in ("gram", "again", "context", "doc", "row_key", "at")}, "bucket")
-    gram, again, context, doc, row, at = (np.concatenate(x) for x in zip(*parts))
-    return _dealt(_bucket(gram, buckets), {"gram": gram, "again": again, "context": context, "doc": doc, "row_key": row, "at": at}, "bucket")
+        return _dealt(np.zeros(0, dtype=np.int64), {k: np.zeros(0) for k in ("gram", "again", "context", "doc", "nth", "at")}, "bucket")
+    gram, again, context, doc, nth, at = (np.concatenate(x) for x in zip(*parts))
+    return _dealt(_bucket(gram, buckets), {"gram": gram, "again": again, "context": context, "doc": doc, "nth": nth, "at": at}, "bucket")
 
 
 def induced(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
     """For each group of documents: the anchors with windows that a smaller document has, and which."""
     width = 2 * SIDE + 4
-    for t in _per_bucket(batches, {"gram": np.uint64, "again": np.uint64, "context": np.uint8, "doc": np.int64, "row_key": np.int64, "at": np.int64}):
+    for t in _per_bucket(batches, {"gram": np.uint64, "again": np.uint32, "context": np.uint8, "doc": np.int64, "nth": np.int32, "at": np.int64}):
         context, doc = t["context"].reshape(-1, width), t["doc"]
         same_gram = kernels.mix(t["gram"] * np.uint64(3) ^ t["again"])
         whole = kernels.mix(_lanes(context) ^ same_gram)
@@ -217,24 +240,24 @@ def induced(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Recor
             smallest[has[order]] = least[group]
             mask |= (smallest[of] < doc).astype(np.uint32) << np.uint32(back)
         hit = np.flatnonzero(mask)
-        columns = {"doc": doc[hit], "row_key": t["row_key"][hit], "at": t["at"][hit], "mask": mask[hit]}
+        columns = {"doc": doc[hit], "nth": t["nth"][hit], "at": t["at"][hit], "mask": mask[hit]}
         yield from _dealt(_group(doc[hit], groups), columns, "part").to_batches()
 
 
 def removed(texts: pa.Table, told: pa.Table) -> pa.Table:
     """doc, row_key, n_removed, n_spans and kept_sha256 of the texts of a group that lose anything."""
-    doc, row, at = (_joined(told[k].to_pylist(), np.int64) for k in ("doc", "row_key", "at"))
-    mask = _joined(told["mask"].to_pylist(), np.uint32)
+    doc, at = _joined(told["doc"].to_pylist(), np.int64, True), _joined(told["at"].to_pylist(), np.int64)
+    nth, mask = _joined(told["nth"].to_pylist(), np.int32), _joined(told["mask"].to_pylist(), np.uint32)
     found: dict[tuple[int, int], slice] = {}
-    order = np.lexsort((doc, row))
-    doc, row, at, mask = doc[order], row[order], at[order], mask[order]
-    cut = np.flatnonzero((doc[1:] != doc[:-1]) | (row[1:] != row[:-1])) + 1
+    order = np.lexsort((doc, nth))
+    doc, nth, at, mask = doc[order], nth[order], at[order], mask[order]
+    cut = np.flatnonzero((doc[1:] != doc[:-1]) | (nth[1:] != nth[:-1])) + 1
     for x, y in zip(np.append(0, cut), np.append(cut, len(doc))):
         if y > x:
-            found[int(doc[x]), int(row[x])] = slice(x, y)
+            found[int(doc[x]), int(nth[x])] = slice(x, y)
     out = []
-    for d, r, text in zip(texts["doc"].to_pylist(), texts["row_key"].to_pylist(), texts["text"]):
-        mine = found.pop((d, r), None)
+    for d, r, k, text in zip(texts["doc"].to_pylist(), texts["row_key"].to_pylist(), _nth(texts).tolist(), texts["text"]):
+        mine = found.pop((d, k), None)
         if mine is None:
             continue
         data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
@@ -271,9 +294,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     met = tuples.mapInArrow(lambda it: shared(it, groups), "part int, pair binary")
 
     texts = firsts.select(_group_column(groups).alias("part"), "*").groupBy("part")
-    sides = texts.cogroup(met.groupBy("part")).applyInArrow(lambda a, b: surrounded(a, b, buckets), "bucket int, " + binary("gram", "again", "context", "doc", "row_key", "at"))
+    sides = texts.cogroup(met.groupBy("part")).applyInArrow(lambda a, b: surrounded(a, b, buckets), "bucket int, " + binary("gram", "again", "context", "doc", "nth", "at"))
     sides = sides.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    told = sides.mapInArrow(lambda it: induced(it, groups), "part int, " + binary("doc", "row_key", "at", "mask"))
+    told = sides.mapInArrow(lambda it: induced(it, groups), "part int, " + binary("doc", "nth", "at", "mask"))
     lost = texts.cogroup(told.groupBy("part")).applyInArrow(removed, "doc long, row_key long, n_removed long, n_spans long, kept_sha256 string")
     lost = bounded(durable(lost).withColumnsRenamed({"doc": "lost_doc", "row_key": "lost_key"}))
     out = known.join(lost, (F.col("doc") == F.col("lost_doc")) & (F.col("row_key") == F.col("lost_key")), "left")
