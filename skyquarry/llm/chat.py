@@ -7,11 +7,12 @@ are trained on. A pair whose conversations are equal, or differ in no turn of an
 nothing; it is returned with ``usable`` false.
 
 ``paired`` makes pairs where the table has none marked: conversations with the same first turn are
-put in order of their whole text, and neighbours are paired, first with second, third with fourth;
-neighbours in that order have the longest prefixes in common. Of a pair the one with more words of
-the assistant is the chosen one, by order on a tie. Groups of many conversations are cut into blocks
-by the hash of their second turn, with which the prefix would end anyway, and where copies are many
-by conversation, so no group is sorted by one task; rows stay as many as conversations.
+put in order of the hashes of their turns, and neighbours are paired, first with second, third with
+fourth; neighbours in that order have the longest prefixes in common. Of a pair the one with more
+words of the assistant is the chosen one, by order on a tie. The order is one sort of all
+conversations by ranges; a group may lie across ranges, and a conversation's place in it is its place
+in the range and the sizes of the group's ranges before. So no group is sorted by one task, and of a
+group of any size no more than one conversation is without a partner.
 
 Edge cases: a null role or text counts as empty; turns with equal numbers are taken in order of role
 and text; equal rows are one turn; a conversation without a partner, or with a null id, gives a row
@@ -23,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, table
 
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 TRAINED = "assistant"
-#: Conversations to one block of a group.
+#: Conversations to one range of the sort at least; no more ranges than shuffle partitions.
 BLOCK = 64
 _TURN = "array<struct<turn:bigint,role:string,text:string>>"
 
@@ -76,23 +77,32 @@ def formatted(pairs: DataFrame) -> DataFrame:
     )
 
 
+def placed(convs: DataFrame) -> DataFrame:
+    """conv_id, first and ``place``: where a conversation stands, from 0, among all with its first turn."""
+    order = ["first", "hashes", "conv_id"]
+    hashes = F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))
+    keys = convs.filter(F.col("conv_id").isNotNull()).select("conv_id", hashes.alias("hashes")).withColumn("first", F.get("hashes", F.lit(0)))
+    ranges = min(int(convs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-convs.select("conv_id").count() // BLOCK))
+    sorted_ = keys.repartitionByRange(max(ranges, 1), *order).sortWithinPartitions(*order)
+    # another sample would give other ranges, so they are kept
+    dealt = durable(sorted_.select("conv_id", "first", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("at")))
+    before = Window.partitionBy("first").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    runs = dealt.groupBy("first", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("start"))
+    runs = runs.select("first", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("start")).alias("shift"))
+    return dealt.join(runs, ["first", "block"]).select("conv_id", "first", (F.col("at") + F.col("shift")).alias("place"))
+
+
 def paired(turns: DataFrame) -> DataFrame:
     """chosen_id, rejected_id, chosen, rejected; every conversation is in one row."""
     words = F.aggregate("turns", F.lit(0), lambda a, t: a + F.when(t["role"] == TRAINED, F.size(F.split(F.trim(t["text"]), r"[\x20\x09-\x0D]++"))).otherwise(0))
-    at = lambda i: F.get(F.col("turns"), F.lit(i))
-    first = F.xxhash64(at(0)["role"], at(0)["text"])
-    convs = conversations(turns).select("conv_id", "turns", words.alias("words"), first.alias("first"), F.xxhash64(at(1)["role"], at(1)["text"]).alias("second"))
-    sizes = convs.groupBy("first", "second").count().select("first", "second", F.ceil(F.col("count") / BLOCK).alias("parts"), (F.sum("count").over(Window.partitionBy("first")) <= BLOCK).alias("small"))
-    spread = lambda c: F.when(F.col("small"), F.lit(0).cast("long")).otherwise(c)
-    dealt = convs.join(sizes, ["first", "second"]).select(
-        "conv_id", "turns", "words", "first", spread(F.col("second")).alias("block"), spread(F.pmod(F.xxhash64("conv_id"), F.col("parts"))).alias("part")
-    )
-    order = Window.partitionBy("first", "block", "part").orderBy(F.transform("turns", lambda t: F.struct(t["role"], t["text"])), "conv_id")
-    placed = dealt.withColumns({"place": F.row_number().over(order), "other": F.lead(F.struct("conv_id", "turns", "words")).over(order)}).filter(F.col("place") % 2 == 1)
-    swap = F.coalesce(F.col("other.words") > F.col("words"), F.lit(False))
-    return placed.select(
-        F.when(swap, F.col("other.conv_id")).otherwise(F.col("conv_id")).alias("chosen_id"), F.when(swap, F.col("conv_id")).otherwise(F.col("other.conv_id")).alias("rejected_id"),
-        F.when(swap, F.col("other.turns")).otherwise(F.col("turns")).alias("chosen"), F.when(swap, F.col("turns")).otherwise(F.col("other.turns")).alias("rejected"),
+    convs = conversations(turns)
+    side = F.struct("place", "conv_id", "turns", words.alias("words"))
+    two = convs.join(placed(convs), "conv_id", "left").groupBy("first", F.shiftright("place", 1).alias("pair")).agg(F.array_sort(F.collect_list(side)).alias("two"))
+    two = two.select(F.get("two", F.lit(0)).alias("one"), F.get("two", F.lit(1)).alias("other"))
+    swap = F.coalesce(F.col("other.words") > F.col("one.words"), F.lit(False))
+    return two.select(
+        F.when(swap, F.col("other.conv_id")).otherwise(F.col("one.conv_id")).alias("chosen_id"), F.when(swap, F.col("one.conv_id")).otherwise(F.col("other.conv_id")).alias("rejected_id"),
+        F.when(swap, F.col("other.turns")).otherwise(F.col("one.turns")).alias("chosen"), F.when(swap, F.col("one.turns")).otherwise(F.col("other.turns")).alias("rejected"),
     )
 
 

@@ -117,3 +117,13 @@ def test_every_conversation_is_in_one_row(spark):
     for r in pairs:
         if r.rejected_id is not None:
             assert r.chosen[0].text == r.rejected[0].text
+
+
+def test_a_hot_first_turn_loses_no_pair(spark):
+    """More different answers to one prompt than go to one range: one conversation at most stays alone."""
+    rows = [t for c in range(301) for t in conv(c, ("user", "hot"), ("assistant", f"answer {c}"))]
+    rows += [t for c in range(400, 600) for t in conv(c, ("user", "deep"), ("assistant", "same"), ("user", f"q{c // 2}"), ("assistant", f"a{c}"))]
+    pairs = chat.formatted(chat.paired(spark.createDataFrame(rows, TURNS))).collect()
+    hot, deep = [r for r in pairs if r.chosen_id < 400], [r for r in pairs if r.chosen_id >= 400]
+    assert (len(hot), sum(r.usable for r in hot), sum(r.rejected_id is None for r in hot)) == (151, 150, 1)
+    assert len(deep) == 100 and all(r.prompt_turns == 3 and r.usable for r in deep)
