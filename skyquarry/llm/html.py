@@ -8,8 +8,12 @@ rank are a substring that occurs at each of them. Where such a substring stands
 pages, its tokens are boilerplate, and a block that boilerplate covers is removed; unique runs stay.
 
 Inside an article more than four fifths of the host's distinct pages, and twenty at least, must share
-a block before it goes, for articles quote each other; outside one, a tenth, and three. Pages with the same blocks count once, and a
-page of which boilerplate would cover half or more is a copy of another and is left whole.
+a block before it goes, for articles quote each other; outside one, a tenth, and three. Pages with the same blocks count once, and so do near copies: pages that
+share four fifths of their tokens when blocks on more than half of the distinct pages are left out,
+as a host's boilerplate is on all kinds of pages and a copied article only on its copies. How much of
+a page is boilerplate doesn't matter; only a page without one token of its own is left whole. Pages of
+a host that are all copies of one another but for short passages are not told from pages with much
+boilerplate, and lose what they share.
 
 A host with more than CHUNK_PAGES pages is dealt into chunks by page, each with its own array, so
 no host, however many pages it has, meets in one task: boilerplate recurs in any chunk.
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +45,9 @@ CHUNK_PAGES = 256
 #: Of a host's distinct pages, so many and more than this share must have a run.
 LEAST_INSIDE, SHARE_INSIDE = 20, 0.8
 LEAST_OUTSIDE, SHARE_OUTSIDE = 3, 0.1
-COVERED, COPY = 0.9, 0.5
+COVERED, COPY = 0.9, 1.0
+#: Share of tokens in common that makes pages near copies, and of pages beyond which a block is not counted for it.
+NEAR, WIDESPREAD = 0.8, 0.5
 
 _MARKUP = re.compile(r"""<!--(?:>|->)|<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -134,8 +141,33 @@ def blocks(page: str) -> list[tuple[str, bool]]:
     return inside or out
 
 
-def boilerplate(texts: list[list[str]], inside: list[list[bool]]) -> list[list[bool]]:
-    """Which blocks of the pages of a host are boilerplate."""
+def families(texts: list[list[str]]) -> list[int]:
+    """For each page the first page it is a copy or near copy of, or itself."""
+    alike: dict[tuple, int] = {}
+    same = [alike.setdefault(tuple(p), i) for i, p in enumerate(texts)]
+    number: dict[str, int] = {}
+    sets = {i: {number.setdefault(t, len(number)) for t in texts[i]} for i in alike.values()}
+    pages_with = np.bincount([b for x in sets.values() for b in x], minlength=len(number))
+    tokens = np.array([len(t.split()) for t in number])
+    rare = pages_with <= max(WIDESPREAD * len(alike), 1)
+    own = {i: frozenset(b for b in x if rare[b]) for i, x in sets.items()}
+    size = {i: int(tokens[list(x)].sum()) if x else 0 for i, x in own.items()}
+    with_block: dict[int, list[int]] = defaultdict(list)
+    first: dict[int, int] = {}
+    for i, x in own.items():
+        shared: dict[int, int] = defaultdict(int)
+        for b in x:
+            for j in with_block[b]:
+                shared[j] += tokens[b]
+        first[i] = min((j for j, n in shared.items() if n >= NEAR * max(size[i], size[j])), default=i)
+        if first[i] == i:
+            for b in x:
+                with_block[b].append(i)
+    return [first[i] for i in same]
+
+
+def boilerplate(texts: list[list[str]], inside: list[list[bool]], family: list[int] | None = None) -> list[list[bool]]:
+    """Which blocks of the pages of a host are boilerplate; pages of a ``family`` count once, by default equal ones."""
     flat = [t for page in texts for t in page]
     block_of, hashes = [], []
     for chunk in kernels.chunks(pa.array(flat, pa.string())):
@@ -161,8 +193,8 @@ def boilerplate(texts: list[list[str]], inside: list[list[bool]]) -> list[list[b
     whole[: len(rank) - RUN + 1] = page[RUN - 1 :] == page[: len(rank) - RUN + 1]
 
     alike = {}
-    original = np.array([alike.setdefault(tuple(p), i) for i, p in enumerate(texts)])
-    distinct = len(alike)
+    original = np.array(family if family is not None else [alike.setdefault(tuple(p), i) for i, p in enumerate(texts)])
+    distinct = len(np.unique(original))
     seen = np.unique(rank[whole] * len(texts) + original[page[whole]])
     pages_with = np.bincount(seen // len(texts), minlength=len(rank) + 1)[rank]
     in_article = np.array([x for p in inside for x in p], dtype=bool)[block]
@@ -190,7 +222,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(host: pa.Table) -> pa.Table:
     texts, inside = host["blocks"].to_pylist(), host["inside"].to_pylist()
     order = sorted(range(len(texts)), key=lambda i: (texts[i], inside[i]))  # rows may come in any order
-    gone = dict(zip(order, boilerplate([texts[i] for i in order], [inside[i] for i in order])))
+    ordered = [texts[i] for i in order]
+    gone = dict(zip(order, boilerplate(ordered, [inside[i] for i in order], families(ordered))))
     out = [" ".join(t for t, g in zip(page, gone[i]) if not g) for i, page in enumerate(texts)]
     return pa.table({"page_id": host["page_id"], "url": host["url"], "text": pa.array(out, pa.string())})
 

@@ -50,6 +50,20 @@ def test_boilerplate_of_a_host(spark):
         assert r.page_id < 1000 or "very same" in r.text
 
 
+def test_boilerplate_that_outweighs_the_article(spark):
+    """Unmarked pages: a menu and a footer longer than the article go, near copies of an article stay."""
+    words = lambda key, n: " ".join(f"{key}{j}" for j in range(n))
+    menu, foot = words("menu", 60), words("foot", 40)
+    page = lambda *own: "".join(f"<div>{b}</div>" for b in (menu, *own, foot))
+    rows = [(i, f"http://heavy.org/{i}", page(words(f"own{i}x", 20))) for i in range(40)]
+    rows += [(100 + i, f"http://heavy.org/{i}", page(words("copied", 50), words("again", 50), words(f"edit{i}x", 10))) for i in range(15)]
+    found = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        assert found[i] == words(f"own{i}x", 20)
+    for i in range(15):
+        assert found[100 + i] == " ".join((words("copied", 50), words("again", 50), words(f"edit{i}x", 10)))
+
+
 def plain_boilerplate(texts, inside):
     places, alike = defaultdict(set), {}
     ids = [alike.setdefault(tuple(p), i) for i, p in enumerate(texts)]
