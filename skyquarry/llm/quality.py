@@ -29,12 +29,15 @@ from pyspark.sql import functions as F
 from . import kernels
 from .common import durable, table
 
-#: The vector, and for each part the least standard deviation that is believed.
-PARTS = {"symbols": 0.06, "capitals": 0.08, "word_length": 0.12, "line_repeats": 0.15}
+#: The vector, and for each part a standard deviation that is added to the scatter. Capitals and word
+#: length vary in any text, and theirs only keeps the matrix invertible. The central texts of a group
+#: mostly have no symbols and no repeated lines at all, so there the floor is what a text may have:
+#: at CUTOFF, alone, 18 symbols in 1,000 words or 45 % of the lines.
+PARTS = {"symbols": 0.02, "capitals": 0.005, "word_length": 0.005, "line_repeats": 0.1}
 CORE = 0.6
 STEPS = 4
 LEAST = 40
-#: Squared distance beyond which a text is rejected; for four parts, a chance of about 1 in 10**9 if they are normal.
+#: Squared distance beyond which a text is rejected: for four normal parts the quantile of chi-square with 4 in 10**9 beyond it.
 CUTOFF = 45.0
 BINS_PER_OCTAVE = 8
 GROUPS_BROADCAST = 20_000

@@ -54,3 +54,18 @@ def test_estimate_matches_a_plain_one(spark):
         inverse = np.linalg.inv(np.cov(core.T, bias=True) * quality.consistency(quality.CORE, 4) + np.diag(floors**2))
     assert np.allclose(got.centre, centre, atol=1e-4) and np.abs(centre - 0.5).max() < 0.02
     assert np.allclose(got.inverse, [inverse[i, j] for i, j in quality._pairs()], rtol=1e-3, atol=1e-2)
+
+
+def test_any_statistic_can_reject(spark):
+    """Repeated lines alone, and a length of words that only the group's own scatter makes strange."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda a, b: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(a, b)))
+    line = lambda a, b: " ".join([word(a, b).capitalize(), *(word(a, b) for _ in range(59))])
+    rows = [(i, "\n".join(line(4, 6) for _ in range(5)), "en", "a") for i in range(80)]
+    rows.append((100, "\n".join("\n".join([line(4, 6)] + ["bcdef"] * 6) for _ in range(5)), "en", "a"))
+    rows.append((101, "\n".join(line(7, 9) for _ in range(5)), "en", "a"))
+    found = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert [d for d, r in sorted(found.items()) if not r.kept] == [100, 101]
