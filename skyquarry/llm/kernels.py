@@ -18,6 +18,51 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+_LENGTH, _PLACE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first 0 to 8 bytes of a lane.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values whose output bits all depend on all input bits."""
+    h = h.astype(np.uint64, copy=True)
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
+
+
+class Hasher:
+    """Hashes of stretches of one chunk of bytes.
+
+    A stretch is read in lanes of eight bytes; each lane is mixed with its place in the stretch, and the
+    mixed lanes are summed. No arithmetic is left between the bytes that a text could be built to defeat, as
+    Thue-Morse strings defeat polynomials modulo 2 ** 64.
+    """
+
+    def __init__(self, data: np.ndarray):
+        padded = np.zeros(len(data) + 8, dtype=np.uint8)
+        padded[: len(data)] = data
+        self.lanes = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = (end - start).astype(np.int64)
+        count = (size + 7) >> 3
+        ends = np.cumsum(count)
+        if not len(ends) or not ends[-1]:
+            return mix(size.astype(np.uint64) * _LENGTH)
+        nth = np.arange(ends[-1]) - np.repeat(ends - count, count)
+        left = np.repeat(size, count) - 8 * nth
+        lane = self.lanes[np.repeat(start, count) + 8 * nth].astype(np.uint64, copy=False)
+        lane = lane & _FIRST[np.minimum(left, 8)]
+        salt = mix(np.arange(1, int(count.max()) + 1, dtype=np.uint64) * _PLACE)
+        sums = np.zeros(len(lane) + 1, dtype=np.uint64)
+        np.cumsum(mix(lane ^ salt[nth]), out=sums[1:])
+        return mix(sums[ends] - sums[ends - count] + size.astype(np.uint64) * _LENGTH)
+
+
 _BASE = np.uint64(0x9E6C63D0876A9A47)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -45,27 +90,12 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values whose output bits all depend on all input bits."""
-    h = h.astype(np.uint64, copy=True)
-    h ^= h >> np.uint64(30)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    return h
-
-
-class Hasher:
-    """Hashes of stretches of one chunk of bytes."""
-
-    def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * _power(_INVERSE, len(self.sums))[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def rolling(data: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n``-byte window, by prefix sums of a polynomial: only for short windows, and where
+    another hash tells apart what clashes."""
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=sums[1:])
+    return mix((sums[n:] - sums[:-n]) * _power(_INVERSE, len(sums))[: len(data) - n + 1])
 
 
 @dataclass

@@ -55,8 +55,7 @@ def anchors(chunk: kernels.Chunk) -> tuple[np.ndarray, ...]:
     if len(data) < SPAN:
         none = np.zeros(0, dtype=np.int64)
         return none, none.astype(np.uint64), none, none
-    sums = kernels.Hasher(data).sums
-    grams = kernels.mix((sums[GRAM:] - sums[:-GRAM]) * kernels._power(kernels._INVERSE, len(sums))[: len(data) - GRAM + 1])
+    grams = kernels.rolling(data, GRAM)
     least = (grams & _HIGH) | np.arange(len(grams), dtype=np.uint64)
     width = 1
     while width < SIDE + 1:

@@ -135,3 +135,9 @@ def components(docs, k=4, percent=80):
                 a, b = find(d), find(sets[j][0])
                 parent[max(a, b)] = min(a, b)
     return sorted((d, len(s), find(d), find(d) == d) for d, s in sets)
+
+
+def thue_morse(n, one="a", other="b"):
+    """A string that polynomials modulo a power of two hash like its complement, and that."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((one, other)[b] for b in bits), "".join((other, one)[b] for b in bits)

@@ -10,6 +10,9 @@ ODD = [
 ]
 
 
+ODD += [(20 + i, "\n".join(s + "\nx y z " + s for s in brute.thue_morse(n)), "en", "a") for i, n in enumerate((512, 1024, 4096))]
+
+
 def test_counts_and_verdicts(spark):
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     rows = [(r.doc_id + 100, r.text, r.lang, r.source, "clash") for r in real] + [(*o, "clash") for o in ODD]
