@@ -15,8 +15,10 @@ link between nodes that meet in a table is missed; one of similarity s meets in
 probability 2 * (1 - s ** ROWS) ** TABLES or less: 1 in 100,000 at 0.8.
 
 Edge cases: null, empty and wordless texts have an empty set and are linked with nothing; a text
-with fewer words than a shingle has its whole sequence as its one shingle; rows with equal ids are
-one document; repeated rows each return a row; an empty table gives an empty result; other columns
+with fewer words than a shingle has its whole sequence as its one shingle; a very long text is read
+whole, and its rows grow with its words (each carries FIRST shingles, however many the text has); ties
+of rank go by the shingle's hash, and a component is named after its smallest id; rows with equal ids
+are one document; repeated rows each return a row; an empty table gives an empty result; other columns
 are ignored, or passed on by ``clean``, which also leaves one of fully repeated rows.
 """
 
@@ -37,6 +39,10 @@ ROWS = 2
 TABLES = 12
 PERCENT = 80
 SHINGLE = 5
+#: Shingles of a node that its rows carry to tell where a pair is made first.
+FIRST = 48
+#: Rows of one shingle that meet all others in one task, and the share of all rows above which a shingle's count is broadcast.
+SALTED, OFTEN = 512, 4096
 
 _random = np.random.RandomState(20)
 _TIMES = _random.randint(1, 1 << 62, size=2 * TABLES * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,7 +80,8 @@ def shingled(chunk: kernels.Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _node(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """16 bytes for each set; sets are equal if these are, but for a chance of 2 ** -128 a pair."""
+    """16 bytes for each set: two sums of its hashes, each mixed with another salt. Sets of unlike hashes
+    have unlike sums but for a chance of 2 ** -128 a pair; hashes of unlike shingles are alike at 2 ** -64."""
     out = []
     for salt in (0x1234567, 0x89ABCDE):
         sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
@@ -184,23 +191,36 @@ def across(rest: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     ``rest``: node, n, root. A node keeps the first n - least + 1 of its shingles, rare ones first,
     where least is the smallest intersection with any partner; a shingle that only it has takes
     a rank but no row. ``reach`` is the size of the largest partner that a match at this rank allows.
+
+    Shingles of more than 1 / OFTEN of all rows are at most OFTEN, so their counts are broadcast and
+    their rows are not dealt by shingle; in the join of nodes, the rows of a shingle are dealt in
+    blocks of SALTED, each of which meets all the others.
     """
     rows = shingle_rows(members)
-    common = rows.groupBy("shingle").count().filter("count > 1")
-    met = rows.join(common, "shingle").join(rest, "node")
+    often = max(SALTED, (rest.agg(F.sum("n")).first()[0] or 0) // OFTEN)
+    counts = durable(rows.groupBy("shingle").count().filter("count > 1"))
+    hot = F.broadcast(counts.filter(F.col("count") > often))
+    met = rows.join(hot.select("shingle"), "shingle", "left_anti").join(counts.filter(F.col("count") <= often), "shingle")
+    met = met.select("shingle", "node", "count").union(rows.join(hot, "shingle").select("shingle", "node", "count")).join(rest, "node")
     by_node = Window.partitionBy("node")
-    rank = F.col("n") - F.count(F.lit(1)).over(by_node) + F.row_number().over(by_node.orderBy("count", "shingle"))
+    nth = F.row_number().over(by_node.orderBy("count", "shingle"))
+    rank = F.col("n") - F.count(F.lit(1)).over(by_node) + nth
     reach = F.floor((F.col("n") - F.col("rank") + 1) * (100 + percent) / percent + 1e-6) - F.col("n")
-    kept = durable(met.withColumn("rank", rank).withColumn("reach", reach).filter(F.col("reach") * 100 >= F.col("n") * percent).select("node", "n", "root", "shingle", "count", "reach"))
-    mixed = kept.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least")).filter("low != high")
-    kept = kept.join(mixed.select("shingle", "least"), "shingle").filter("reach >= least")
-    # a pair is made by the first shingle that it shares, whose reach is the largest, and by no other
-    firsts = kept.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "shingle"))), lambda t: t["shingle"]).alias("all"))
-    kept = durable(kept.join(firsts, "node"))
-    one, two = (kept.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "root", "reach", "all")]) for i in (1, 2))
+    kept = durable(met.withColumns({"rank": rank, "nth": nth}).withColumn("reach", reach).filter(F.col("reach") * 100 >= F.col("n") * percent).select("node", "n", "root", "shingle", "nth", "reach"))
+    mixed = kept.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least"), F.count(F.lit(1)).alias("rows")).filter("low != high")
+    # a pair is made by the first shingle that it shares; a node knows its first FIRST shingles, and a pair that shares
+    # none of these is made by every one that it shares later
+    firsts = kept.filter(F.col("nth") <= FIRST).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "shingle"))), lambda t: t["shingle"]).alias("firsts"))
+    kept = kept.join(mixed.select("shingle", "least", "rows"), "shingle").filter("reach >= least").join(firsts, "node")
+    blocks = F.ceil(F.col("rows") / SALTED).cast("int")
+    kept = durable(kept.withColumn("blocks", blocks).drop("nth", "rows", "least"))
+    one, two = (kept.select("shingle", "blocks", *[F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "root", "reach", "firsts")]) for i in (1, 2))
+    one = one.withColumn("salt", F.pmod(F.xxhash64("node_1"), F.col("blocks")).cast("int")).drop("blocks")
+    two = two.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     fits = (F.col("root_1") < F.col("root_2")) & (F.col("n_1") <= F.col("reach_2")) & (F.col("n_2") <= F.col("reach_1"))
-    fits &= F.get(F.array_intersect("all_1", "all_2"), F.lit(0)) == F.col("shingle")
-    return one.join(two, "shingle").filter(fits).select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
+    first = F.get(F.array_intersect("firsts_1", "firsts_2"), F.lit(0))
+    fits &= F.coalesce(first, F.col("shingle")) == F.col("shingle")
+    return one.join(two, ["shingle", "salt"]).filter(fits).select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
