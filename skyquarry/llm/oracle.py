@@ -24,3 +24,29 @@ links AS MATERIALIZED (SELECT x, y FROM met JOIN sizes p ON p.doc_id = x JOIN si
 reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = d.doc_id"""
+
+
+_RENDER = "array_to_string([concat('<|', t.role, '|>', chr(10), t.text, '<|end|>', chr(10)) for t in {0}], '')"
+_MASK = "array_to_string([concat(CAST(p.at AS VARCHAR), ':', CAST(p.at + length(p.text) AS VARCHAR)) for p in {0} if p.role = 'assistant'], ',')"
+#: Where the text of each turn of a rendered list begins.
+_PLACES = "[{{'role': t.role, 'text': t.text, 'at': CAST(coalesce(list_sum([length(u.role) + length(u.text) + 13 for u, j in {0} if j < i]), 0) + length(t.role) + 5 AS BIGINT)}} for t, i in {0}]"
+
+CHAT = f"""
+WITH t AS (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+c AS MATERIALIZED (SELECT conv_id, list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, md5(text), text) AS turns FROM t GROUP BY conv_id),
+o AS MATERIALIZED (SELECT *, [concat(md5(t.text), t.role) for t in turns] AS digests, CAST(coalesce(list_sum([len(regexp_extract_all(t.text, '[^\x20\x09-\x0D]+')) for t in turns if t.role = 'assistant']), 0) AS BIGINT) AS spoken,
+    list_max([i for t, i in turns if t.role = 'assistant']) AS last FROM c),
+p AS (SELECT *, digests[1] AS first, row_number() OVER (PARTITION BY digests[1] ORDER BY digests, conv_id) - 1 AS place FROM o WHERE conv_id IS NOT NULL),
+met AS MATERIALIZED (SELECT CASE WHEN b.spoken > a.spoken THEN b.conv_id ELSE a.conv_id END AS chosen_id, CASE WHEN b.spoken > a.spoken THEN a.conv_id ELSE b.conv_id END AS rejected_id,
+    CASE WHEN b.spoken > a.spoken THEN b.turns ELSE a.turns END AS chosen, CASE WHEN b.spoken > a.spoken THEN a.turns ELSE b.turns END AS rejected, FALSE AS made
+    FROM p a JOIN p b ON a.first = b.first AND b.place = a.place + 1 WHERE a.place % 2 = 0),
+replies AS (SELECT text, row_number() OVER (ORDER BY words, md5(text)) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT turns[last].text AS text, len(regexp_extract_all(turns[last].text, '[^\x20\x09-\x0D]+')) AS words FROM o WHERE last IS NOT NULL) r),
+others AS (SELECT a.text, b.text AS other FROM replies a JOIN replies b ON b.place = a.place % a.n + 1 WHERE a.text <> b.text),
+lone AS (SELECT o.conv_id, turns, last, other FROM o LEFT JOIN others ON text = turns[last].text WHERE NOT EXISTS (SELECT 1 FROM met WHERE o.conv_id IN (chosen_id, rejected_id))),
+pairs AS (SELECT * FROM met UNION ALL SELECT conv_id, NULL, turns, CASE WHEN other IS NOT NULL THEN list_append(turns[1:last - 1], {{'turn': turns[last].turn, 'role': 'assistant', 'text': other}}) END, other IS NOT NULL FROM lone),
+cut AS (SELECT *, CASE WHEN rejected IS NULL THEN len(chosen) - 1 ELSE least(coalesce(list_min([i - 1 for t, i in chosen if i > len(rejected) OR t.role <> rejected[i].role OR t.text <> rejected[i].text]), len(chosen)), least(len(chosen), len(rejected)) - 1) END AS n FROM pairs),
+parts AS (SELECT chosen_id, rejected_id, made, n, chosen[1:n] AS prompt, chosen[n + 1:] AS chosen, rejected[n + 1:] AS rejected FROM cut),
+spread AS (SELECT *, {_PLACES.format("chosen")} AS chosen_at, {_PLACES.format("rejected")} AS rejected_at FROM parts)
+SELECT chosen_id, rejected_id, CAST(n AS BIGINT) AS prompt_turns, {_RENDER.format("prompt")} AS prompt, {_RENDER.format("chosen")} AS chosen, {_MASK.format("chosen_at")} AS chosen_mask,
+    CASE WHEN rejected IS NOT NULL THEN {_RENDER.format("rejected")} END AS rejected, CASE WHEN rejected IS NOT NULL THEN {_MASK.format("rejected_at")} END AS rejected_mask,
+    coalesce([t.text for t in chosen if t.role = 'assistant'] <> [t.text for t in rejected if t.role = 'assistant'], FALSE) AS usable, made FROM spread"""

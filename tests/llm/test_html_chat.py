@@ -1,9 +1,13 @@
 """Operators 3 and 7 against plain versions, and on odd rows."""
 
+import hashlib
+import random
 import re
 from collections import defaultdict
 
-from skyquarry.llm import chat, html
+import duckdb
+
+from skyquarry.llm import chat, html, oracle
 
 PAGES = {
     "<html><head><title>T</title></head><body><nav>menu</nav><article><h1>Head</h1><p>One <b>two</b>three<br>four &amp; f&eacute;&#8364;&nbsp;x<p>five</article><footer>f</footer></body>": "Head One twothree four & fé€ x five",
@@ -116,7 +120,11 @@ def test_preference_pairs(spark):
     assert [r.chosen[m.start : m.end] for m in r.chosen_mask] == ["well hello there"] and [r.rejected[m.start : m.end] for m in r.rejected_mask] == ["yo"]
     assert (found[5].rejected_id, found[5].prompt_turns, found[5].chosen) == (6, 3, "<|assistant|>\ngood long answer<|end|>\n")
     assert (found[7].rejected_id, found[7].usable, found[7].prompt_turns) == (8, False, 1)
-    assert found[3].rejected_id is None and found[3].rejected is None and found[None].chosen == "<|assistant|>\né😀<|end|>\n"
+    assert found[3].rejected_id is None and found[3].rejected is None and not found[3].made
+    # a made side: of one word there are bad, t, yo and é😀, in the order of their digests
+    after = dict(zip(ring := sorted(["bad", "t", "yo", "é😀"], key=lambda x: hashlib.md5(x.encode()).hexdigest()), [*ring[1:], "well hello there"]))["é😀"]
+    r = found[None]
+    assert (r.rejected_id, r.made, r.usable, r.prompt, r.chosen, r.rejected) == (None, True, True, "<|user|>\nnobody<|end|>\n", "<|assistant|>\né😀<|end|>\n", f"<|assistant|>\n{after}<|end|>\n")
     assert chat.formatted(chat.paired(turns.limit(0))).collect() == []
 
 
@@ -139,5 +147,27 @@ def test_a_hot_first_turn_loses_no_pair(spark):
     rows += [t for c in range(400, 600) for t in conv(c, ("user", "deep"), ("assistant", "same"), ("user", f"q{c // 2}"), ("assistant", f"a{c}"))]
     pairs = chat.formatted(chat.paired(spark.createDataFrame(rows, TURNS))).collect()
     hot, deep = [r for r in pairs if r.chosen_id < 400], [r for r in pairs if r.chosen_id >= 400]
-    assert (len(hot), sum(r.usable for r in hot), sum(r.rejected_id is None for r in hot)) == (151, 150, 1)
+    assert (len(hot), sum(r.usable for r in hot), sum(r.rejected_id is None for r in hot), sum(r.made for r in hot)) == (151, 151, 1, 1)
     assert len(deep) == 100 and all(r.prompt_turns == 3 and r.usable for r in deep)
+
+
+def test_against_sql(spark, tmp_path):
+    """Few first turns, shared replies, ties, nulls, empty conversations and a reply that most end with."""
+    rng = random.Random(4)
+    rows = []
+    for c in range(400):
+        turns = [("system", "be brief")] if rng.random() < 0.2 else []
+        for _ in range(rng.randrange(4)):
+            turns += [("user", rng.choice(["hi", "why?", f"q{rng.randrange(40)}", None])), ("assistant", rng.choice(["sorry, I can't", "sorry, I can't", f"é{rng.randrange(9)} \U0001f600 ok", "", f"a b {rng.randrange(200)}"]))]
+        rows += conv(c, *turns, *[("user", "thanks")] * rng.randrange(2))
+    rows += [(r[0], r[1], r[2], "tie", "") for r in rng.sample(rows, 40)] + rng.sample(rows, 40) + [(7, None, "user", "no turn", ""), (None, 0, "user", "no id", ""), (None, 1, "assistant", "none", "")]
+    rows += conv(900, ("user", "long"), ("assistant", "word " * 100_000), ("assistant", "x" * 300_000))
+    turns = spark.createDataFrame(rows, TURNS)
+    for n, part in enumerate((turns, turns.filter("conv_id = 3"), turns.limit(0), turns.filter("role = 'user'"))):
+        part.drop("turns").write.parquet(f"{tmp_path}/{n}/conversations.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/{n}/conversations.parquet/*.parquet'")
+        said = con.sql(oracle.CHAT)
+        ours = chat.op7(spark, f"{tmp_path}/{n}").select(*said.columns).collect()
+        assert sorted(map(repr, map(tuple, ours))) == sorted(map(repr, said.fetchall()))
+    assert chat.formatted(chat.paired(turns)).filter("made").count() > 5
