@@ -141,3 +141,16 @@ def thue_morse(n, one="a", other="b"):
     """A string that polynomials modulo a power of two hash like its complement, and that."""
     bits = [bin(i).count("1") % 2 for i in range(n)]
     return "".join((one, other)[b] for b in bits), "".join((other, one)[b] for b in bits)
+
+
+def url(u):
+    """(host, path, rule, verdict or None) of a url."""
+    host = path = ""
+    if u is not None and "://" in u:
+        rest = u.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, rest = rest[:cut].translate(LOWER), rest[cut:]
+        path = rest[: min([rest.find(c) for c in "?#" if c in rest], default=len(rest))]
+    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+    fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host[-len(h) - 1 :] == "." + h) and path[: len(p)] == p]
+    return (host, path, *max(fits)[1:]) if fits else (host, path, None, None)
