@@ -40,7 +40,7 @@ TABLES = 12
 PERCENT = 80
 SHINGLE = 5
 #: Shingles of a node that its rows carry to tell where a pair is made first.
-FIRST = 48
+FIRST = 128
 #: Rows of one shingle that meet all others in one task, and the share of all rows above which a shingle's count is broadcast.
 SALTED, OFTEN = 512, 4096
 
@@ -210,8 +210,10 @@ def across(rest: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     mixed = kept.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least"), F.count(F.lit(1)).alias("rows")).filter("low != high")
     # a pair is made by the first shingle that it shares; a node knows its first FIRST shingles, and a pair that shares
     # none of these is made by every one that it shares later
-    firsts = kept.filter(F.col("nth") <= FIRST).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "shingle"))), lambda t: t["shingle"]).alias("firsts"))
-    kept = kept.join(mixed.select("shingle", "least", "rows"), "shingle").filter("reach >= least").join(firsts, "node")
+    kept = kept.join(mixed.select("shingle", "least", "rows"), "shingle").filter("reach >= least")
+    kept = kept.withColumn("nth", F.row_number().over(by_node.orderBy("nth")))
+    firsts = F.collect_list(F.when(F.col("nth") <= FIRST, F.col("shingle"))).over(by_node.orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    kept = kept.withColumn("firsts", firsts)
     blocks = F.ceil(F.col("rows") / SALTED).cast("int")
     kept = durable(kept.withColumn("blocks", blocks).drop("nth", "rows", "least"))
     one, two = (kept.select("shingle", "blocks", *[F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "root", "reach", "firsts")]) for i in (1, 2))
