@@ -50,3 +50,46 @@ spread AS (SELECT *, {_PLACES.format("chosen")} AS chosen_at, {_PLACES.format("r
 SELECT chosen_id, rejected_id, CAST(n AS BIGINT) AS prompt_turns, {_RENDER.format("prompt")} AS prompt, {_RENDER.format("chosen")} AS chosen, {_MASK.format("chosen_at")} AS chosen_mask,
     CASE WHEN rejected IS NOT NULL THEN {_RENDER.format("rejected")} END AS rejected, CASE WHEN rejected IS NOT NULL THEN {_MASK.format("rejected_at")} END AS rejected_mask,
     coalesce([t.text for t in chosen if t.role = 'assistant'] <> [t.text for t in rejected if t.role = 'assistant'], FALSE) AS usable, made FROM spread"""
+
+
+# Operator 2. Patterns as the contract has them, without look-behind; an IBAN's match begins with the character before it.
+_PII = (
+    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", 0.9, "", ""),
+    ("ip", "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", 0.7, "", ""),
+    ("card", "[0-9](?:[\\x20-]?[0-9])+", 0.8, "", ""),
+    ("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", 0.6, "", ""),
+    ("iban", "(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){11,30}", 0.7, "iban|account|konto|bank", "example|dummy"),
+    ("national_id", "[0-9-]{11,}", 0.3, "ssn|social|security|national id|tax id", "order|part|serial"),
+    ("secret", "[A-Za-z0-9_+/=-]{20,}", 0.3, "token|secret|key|apikey|api_key|password|passwd|bearer|credential", "checksum|commit|digest"),
+)
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum([CASE WHEN j % 2 = 1 THEN CAST(c AS INT) WHEN c > '4' THEN 2 * CAST(c AS INT) - 9 ELSE 2 * CAST(c AS INT) END for c, j in string_split(reverse({_DIGITS}), '')]) % 10 = 0"
+_MOVED = "concat(substr(replace(m, ' ', ''), 5), left(replace(m, ' ', ''), 4))"
+_MOD97 = f"list_reduce(list_prepend(0, [CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END for c in string_split({_MOVED}, '')]), lambda a, v: CASE WHEN v >= 10 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END) = 1"
+_SPREAD = "list_sum([len(list_filter(string_split(m, ''), lambda x: x = c)) ** 2 for c in list_distinct(string_split(m, ''))]) * 6 <= length(m) ** 2"
+
+
+def _near(words: str) -> str:
+    return f"regexp_matches(translate(near, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:^|[^a-z0-9])(?:{words})(?:[^a-z0-9]|$)')"
+
+
+def _matches(at: int, pattern: str) -> str:
+    return f"SELECT r, {at} AS kind, unnest(regexp_extract_all(text, '{pattern}')) AS m, unnest(list_slice(string_split_regex(text, '{pattern}'), 1, len(regexp_extract_all(text, '{pattern}')))) AS piece, generate_subscripts(regexp_extract_all(text, '{pattern}'), 1) AS i FROM d"
+
+
+_SCORE = " ".join(f"WHEN {i} THEN {score}" + (f" + CASE WHEN {_near(up)} THEN 0.3 ELSE 0 END" if up else "") + (f" - CASE WHEN {_near(down)} THEN 0.3 ELSE 0 END" if down else "") for i, (_, _, score, up, down) in enumerate(_PII))
+_NAMES = "[" + ", ".join(f"'{k[0]}'" for k in _PII) + "]"
+
+PII = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(_matches(i, k[1]) for i, k in enumerate(_PII))}),
+placed AS (SELECT r, kind, m, piece, sum(length(piece) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) - length(m) AS start, kind = 4 AND NOT regexp_matches(m, '^[A-Z]') AS led FROM found),
+cut AS (SELECT r, kind, CASE WHEN led THEN substr(m, 2) ELSE m END AS m, right(CASE WHEN led THEN concat(piece, left(m, 1)) ELSE piece END, 40) AS near, start + led::INT AS start FROM placed),
+good AS MATERIALIZED (SELECT r, kind, start, start + length(m) AS stop FROM cut WHERE CASE kind
+    WHEN 1 THEN list_bool_and([length(ltrim(p, '0')) < 4 AND CAST(concat('0', right(p, 3)) AS INT) <= 255 for p in string_split(m, '.')])
+    WHEN 2 THEN length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN} WHEN 3 THEN length({_DIGITS}) BETWEEN 9 AND 15 WHEN 4 THEN {_MOD97} WHEN 5 THEN regexp_matches(m, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$')
+    WHEN 6 THEN regexp_matches(m, '[0-9].*[0-9]') AND regexp_matches(m, '[A-Za-z].*[A-Za-z]') AND {_SPREAD} ELSE TRUE END
+    AND CAST(CASE kind {_SCORE} END AS DOUBLE) >= 0.499999),
+said AS (SELECT *, concat({_NAMES}[kind + 1], ':', CAST(start AS BIGINT), ':', CAST(stop AS BIGINT)) AS s FROM good),
+told AS (SELECT r, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k[0]}" for i, k in enumerate(_PII))}, coalesce(string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 4), '') AS base, string_agg(s, ',' ORDER BY start, kind) AS spans, count(*) AS n_spans FROM said GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in _PII)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN told USING (r)"""

@@ -3,16 +3,17 @@ r"""Operator 2, PII: patterns propose spans, checksums confirm them, context wor
 DataFrame functions only. Every kind has a pattern, a score that its validator gives, and words
 that raise or lower the score when they stand in the characters before the span; a span counts
 when its score reaches the threshold. The four base kinds start at the threshold and lose nothing
-by context, so a confirmed base span always stays; IBANs need mod-97, and national ids in the form
-ddd-dd-dddd need a supporting word.
+by context, so a confirmed base span always stays; IBANs need mod-97; national ids in the form
+ddd-dd-dddd, and secrets (runs of hex or base64 whose characters repeat little), need a supporting word.
 
 Positions come from splitting the text at the matches: pieces and matches alternate, so the start
 of a match is the sum of the lengths before it, made in blocks to stay near linear in a text of
 very many matches. The patterns are written so that each scans a text once: a possessive run, with
 a look-behind or ``\G`` so that no match is tried inside a run that has failed already.
 
-Edge cases: a null text counts as empty; a text without spans has the digest of the empty string;
-repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
+Edge cases: a null text counts as empty; a text without spans has the digest of the empty string; a
+very long text is scanned whole, once for each kind it may have; spans of several kinds that start
+together are listed in the order of the kinds; repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ascii_lower, table
 
 THRESHOLD = 0.5
 #: Characters before a span in which context words count.
@@ -37,17 +38,25 @@ class Kind:
     score: float
     raised_by: str = ""
     lowered_by: str = ""
+    needs: str = ""
+
+    def near(self, words: str) -> str:
+        """A pattern that finds one of ``words`` as a word, in lower case."""
+        return f"(?:^|[^a-z0-9])(?:{words})(?:[^a-z0-9]|$)"
 
 
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.7, "ip|server|host|address", ""),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.8, "card|visa|credit|pay", ""),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|tel|call|mobile|fax", ""),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.7, "iban|account|konto|bank", "example|dummy"),
-    Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social|security|national id|tax id", "order|part|serial"),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, needs="@"),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.7, "ip|server|host|address"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.8, "card|visa|credit|pay"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|tel|call|mobile|fax", needs="+"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", 0.7, "iban|account|konto|bank", "example|dummy"),
+    Kind("national_id", r"(?<![0-9-])[0-9-]{11,}+", 0.3, "ssn|social|security|national id|tax id", "order|part|serial"),
+    Kind("secret", r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+", 0.3, "token|secret|key|apikey|api_key|password|passwd|bearer|credential", "checksum|commit|digest"),
 )
 BASE = 4
+#: A secret's characters repeat so little that the squares of their counts, so many times, are within the square of its length.
+SPREAD = 6
 
 
 def luhn(digits: Column) -> Column:
@@ -79,6 +88,12 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.length(digits).between(9, 15)
     if kind == "iban":
         return mod97(F.replace(match, F.lit(" "), F.lit("")))
+    if kind == "national_id":
+        return F.rlike(match, F.lit("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"))
+    if kind == "secret":
+        chars = F.filter(F.split(match, ""), lambda c: c != "")
+        squares = F.aggregate(F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c))), F.lit(0).cast("long"), lambda a, n: a + n * n)
+        return F.rlike(match, F.lit("[0-9].*[0-9]")) & F.rlike(match, F.lit("[A-Za-z].*[A-Za-z]")) & (squares * SPREAD <= F.length(match).cast("long") * F.length(match))
     return F.lit(True)
 
 
@@ -105,18 +120,20 @@ def spans(text: Column, at: int) -> Column:
     made = F.zip_with(pieces, matches, lambda p, m: F.struct(F.right(p, F.lit(NEAR)).alias("near"), m.alias("match"), F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("n")))
 
     def scored(r: Column, start: Column) -> Column:
-        near = F.lower(r["near"])
+        near = ascii_lower(r["near"])
         score = F.lit(kind.score)
         if kind.raised_by:
-            score = score + F.when(F.rlike(near, F.lit(rf"\b(?:{kind.raised_by})\b")), 0.3).otherwise(0.0)
+            score = score + F.when(F.rlike(near, F.lit(kind.near(kind.raised_by))), 0.3).otherwise(0.0)
         if kind.lowered_by:
-            score = score - F.when(F.rlike(near, F.lit(rf"\b(?:{kind.lowered_by})\b")), 0.3).otherwise(0.0)
+            score = score - F.when(F.rlike(near, F.lit(kind.near(kind.lowered_by))), 0.3).otherwise(0.0)
         begin = start + r["gap"]
         return F.struct(begin.alias("start"), F.lit(at).alias("kind"), (begin + r["n"]).alias("end"), F.when(confirmed(kind.name, r["match"]), score).otherwise(0.0).alias("score"))
 
     found = F.zip_with(made, running(F.transform(made, lambda r: r["gap"] + r["n"])), scored)
     found = F.filter(found, lambda s: s["score"] >= THRESHOLD)
-    return F.when(F.rlike(text, F.lit(kind.pattern)), found).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint,score:double>>"))
+    there = F.rlike(text, F.lit(kind.pattern))
+    there = F.contains(text, F.lit(kind.needs)) & there if kind.needs else there
+    return F.when(there, found).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint,score:double>>"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -137,6 +154,6 @@ def is_kind(at: int):
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
-    counts = [F.array_size(F.filter("spans", is_kind(i))).cast("long").alias(f"n_{KINDS[i].name}") for i in range(BASE)]
+    counts = [F.array_size(F.filter("spans", is_kind(i))).cast("long").alias(f"n_{k.name}") for i, k in enumerate(KINDS)]
     base = F.filter("spans", lambda s: s["kind"] < BASE)
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts[:BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *counts[BASE:], F.array_size("spans").cast("long").alias("n_spans"))

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_repeats": repeats.op9,
     "op10_near_duplicates": neardup.op10,
 }
-ORACLE_SQL = {"op6_decontamination": oracle.DECONTAMINATION, "op7_chat": oracle.CHAT, "op10_near_duplicates": oracle.NEAR_DUPLICATES}
+ORACLE_SQL = {"op2_pii": oracle.PII, "op6_decontamination": oracle.DECONTAMINATION, "op7_chat": oracle.CHAT, "op10_near_duplicates": oracle.NEAR_DUPLICATES}

@@ -3,10 +3,11 @@
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from tests.llm import brute
 
-from skyquarry.llm import decontamination, mixing, pii, sharding, urls
+from skyquarry.llm import decontamination, mixing, oracle, pii, sharding, urls
 
 DOCS = "doc_id long, text string, source string, size string, shard int"
 SF = "/root/testdata/sf0.001"
@@ -76,6 +77,30 @@ def test_pii_base_spans(spark, real):
     assert "iban:5:32" in found[5].spans and "national_id:41:52" in found[5].spans
 
 
+def test_pii_against_sql(spark, real, tmp_path):
+    """All kinds and their context: nulls, neighbours, runs that are too long, and characters beyond ASCII."""
+    import random
+
+    rng = random.Random(2)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    bits = ["token", "Secret:", "api_key=", "étoken", "checksum", "iban", "example", "SSN", "order", "é😀", "\n", "_", "\u0130", "078-05-1120", "1078-05-1120", "078-05-11200", "DE89 3704 0044 0532 0130 00", "DE89370400440532013001", "GB82WEST12345698765432",
+            "x1234", "+49 30 123 4567", "1.2.3.4", "a@b.co", "4111 1111 1111 1111", "a" * 25, "A1" * 15, "1" * 30, '"', "=", "-", "'"]
+    texts = PII + [rng.choice((" ", "", "  ")).join(rng.choice([*bits, hexes(40), hexes(20), f'token = "{hexes(32)}"']) for _ in range(rng.randrange(1, 30))) for _ in range(600)]
+    frame(spark, [(i, t, "s") for i, t in enumerate(texts)] + real).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    said = con.sql(oracle.PII)
+    ours = pii.op2(spark, str(tmp_path)).select(*said.columns).collect()
+    assert sorted(map(repr, map(tuple, ours))) == sorted(map(repr, said.fetchall()))
+    assert all(sum(r[f"n_{k.name}"] for r in ours) >= 3 for k in pii.KINDS)
+
+
+def test_pii_finds_the_secrets_of_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lower(text) rlike 'token = \"[0-9a-f]{40}\"'")
+    found = {r.doc_id for r in pii.op2(spark, "/root/testdata/sf0.1").filter("n_secret > 0").collect()}
+    assert found == {r.doc_id for r in docs.collect()} and len(found) > 100
+
+
 def _op2(spark, docs):
     import unittest.mock as m
 
