@@ -1,16 +1,17 @@
 """Operator 4, mixing sources to target weights: a time-varying curriculum. DataFrame functions only.
 
-A source's documents lie end to end, in hash order, on a line of its words. The source's demand for
+A source's documents lie end to end, in the order of their ids' MD5, on a line of its words. The source's demand for
 words over training time is its weight schedule, integrated and scaled to its target. Inverting
 that demand at a document's mark on the line gives the position in training at which the document
 is due; where the target exceeds the source, the line is laid again, up to three times. Documents
 are then range-sorted by position.
 
 The mark is a prefix sum over a source that may hold a third of all rows, so it is made in blocks:
-rows of a block are summed by one task, and only sums of blocks are summed further.
+rows of a block, a range of the order, are summed by one task, and only sums of blocks are summed further.
 
-Edge cases: a null text or one without words has size 0 and is never taken; a null source is a
-source, last in order; repeated rows each take their own stretch of the line; an empty table gives
+Edge cases: a null text or one without words has size 0 and is never taken; a very long text may be cut
+by its source's target, and is then counted with the words taken; a null source is a source, last in
+order; rows with equal ids go by size; repeated rows each take their own stretch of the line; an empty table gives
 an empty result; other columns of the input are ignored or, in ``mixed``, passed on.
 """
 
@@ -77,7 +78,9 @@ def curriculum(items: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
     with one entry for each time the mix takes the document."""
     rows = items.count()
     blocks = max(1, math.isqrt(rows))  # as many blocks as rows to a block: neither sum meets more
-    items = items.select("*", F.xxhash64("doc_id").alias("mark"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
+    items = items.select("*", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("mark"))
+    # a block is a range of marks, so blocks end to end are in the order of marks
+    items = items.withColumn("block", F.shiftright(F.conv(F.left("mark", F.lit(8)), 16, 10).cast("long") * blocks, 32))
     sums = items.groupBy("source_key", "block").agg(F.first("source").alias("source"), F.sum("size").alias("block_size"))
     sources = targets(sums.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("block_size").alias("source_size")))
     by_block = Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

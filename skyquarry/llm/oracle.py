@@ -93,3 +93,37 @@ good AS MATERIALIZED (SELECT r, kind, start, start + length(m) AS stop FROM cut
 said AS (SELECT *, concat({_NAMES}[kind + 1], ':', CAST(start AS BIGINT), ':', CAST(stop AS BIGINT)) AS s FROM good),
 told AS (SELECT r, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k[0]}" for i, k in enumerate(_PII))}, coalesce(string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 4), '') AS base, string_agg(s, ',' ORDER BY start, kind) AS spans, count(*) AS n_spans FROM said GROUP BY r)
 SELECT doc_id, {", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in _PII)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN told USING (r)"""
+
+
+# Operator 4. A schedule's time by which a share of its integral has passed: rising or falling lines solved by hand.
+_FALLS = "0.0 + CASE WHEN share <= 0 THEN 0.0 ELSE share * 2 / (sqrt(greatest(2.25 + share * -2.0, 0.0)) + 1.5) END"
+_LEVEL = "0.0 + CASE WHEN share <= 0 THEN 0.0 ELSE share * 2 / (sqrt(greatest(1.0 + share * 0.0, 0.0)) + 1.0) END"
+_RISES = "CASE WHEN share >= 0.375 THEN 0.5 + CASE WHEN share - 0.375 <= 0 THEN 0.0 ELSE (share - 0.375) * 2 / (sqrt(greatest(1.0 + (share - 0.375) * 2.0, 0.0)) + 1.0) END ELSE 0.0 + CASE WHEN share <= 0 THEN 0.0 ELSE share * 2 / (sqrt(greatest(0.25 + share * 2.0, 0.0)) + 0.5) END END"
+
+MIXING = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][rank % 3 + 1] AS weight, source_size * 3 AS cap FROM s),
+l AS (SELECT *, (SELECT CAST(sum(source_size) AS DOUBLE) FROM s) AS total, CAST(coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS capped,
+    CAST(sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS weights FROM w),
+level AS (SELECT (total - capped) / weights AS level FROM l WHERE (total - capped) / weights * weight <= cap ORDER BY cap / weight, rank LIMIT 1),
+t AS (SELECT source, source_size, rank, least(CAST(cap AS DOUBLE), coalesce((SELECT level FROM level) * weight, 0.0)) AS target FROM w),
+laid AS (SELECT doc_id, size, source_size, rank, target, CAST(round(target) AS BIGINT) AS wanted, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS BIGINT) AS start
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+shared AS (SELECT *, least(start / greatest(wanted, 1), 1.0) AS share FROM laid)
+SELECT doc_id, size, source_size, target, greatest(least(wanted - start, size), 0) + greatest(least(wanted - start - source_size, size), 0) + greatest(least(wanted - start - 2 * source_size, size), 0) AS taken,
+    CASE WHEN least(wanted - start, size) > 0 THEN least(CASE rank % 3 WHEN 0 THEN {_FALLS} WHEN 1 THEN {_LEVEL} ELSE {_RISES} END, 1.0) END AS first_position FROM shared"""
+
+# Operator 9: every 50-byte string of every text, the least id that has it, and the bytes that a smaller one covers.
+REPEATS = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100),
+windows AS MATERIALIZED (SELECT r, doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS w FROM starts),
+firsts AS (SELECT w, min(doc_id) AS least, max(doc_id) AS most FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT r, i FROM windows JOIN firsts USING (w) WHERE doc_id > least),
+runs AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit) t),
+spans AS (SELECT r, run, min(i) AS start, max(i) + 50 AS stop FROM runs GROUP BY r, run),
+kept AS (SELECT r, sum(stop - start) AS n_removed, count(*) AS n_spans, list([start, stop] ORDER BY start) AS spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE concat(array_to_string([substr(h, 2 * CASE WHEN j = 1 THEN 0 ELSE spans[j - 1][2] END + 1, 2 * (s[1] - CASE WHEN j = 1 THEN 0 ELSE spans[j - 1][2] END)) for s, j in spans], ''), substr(h, 2 * spans[len(spans)][2] + 1)) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""

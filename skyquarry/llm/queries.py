@@ -16,4 +16,7 @@ QUERIES = {
     "op9_repeats": repeats.op9,
     "op10_near_duplicates": neardup.op10,
 }
-ORACLE_SQL = {"op2_pii": oracle.PII, "op6_decontamination": oracle.DECONTAMINATION, "op7_chat": oracle.CHAT, "op10_near_duplicates": oracle.NEAR_DUPLICATES}
+ORACLE_SQL = {
+    "op2_pii": oracle.PII, "op4_mixing": oracle.MIXING, "op6_decontamination": oracle.DECONTAMINATION, "op7_chat": oracle.CHAT,
+    "op9_repeats": oracle.REPEATS, "op10_near_duplicates": oracle.NEAR_DUPLICATES,
+}

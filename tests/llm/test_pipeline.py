@@ -79,7 +79,7 @@ def test_run_and_its_folder(spark, tables):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     said = con.sql(queries.ORACLE_SQL[name])
     ours = queries.QUERIES[name](spark, SF)
