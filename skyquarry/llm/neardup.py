@@ -41,8 +41,9 @@ PERCENT = 80
 SHINGLE = 5
 #: Shingles of a node that its rows carry to tell where a pair is made first.
 FIRST = 128
-#: Rows of one shingle that meet all others in one task, and the share of all rows above which a shingle's count is broadcast.
-SALTED, OFTEN = 512, 4096
+#: Rows of one shingle that meet all others in one task: beyond, all are sent to each block of so many. And the part of all
+#: rows, one in so many and LEAST_OFTEN at least, above which a shingle's count is broadcast.
+SALTED, OFTEN, LEAST_OFTEN = 8192, 4096, 512
 
 _random = np.random.RandomState(20)
 _TIMES = _random.randint(1, 1 << 62, size=2 * TABLES * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -197,7 +198,7 @@ def across(rest: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     blocks of SALTED, each of which meets all the others.
     """
     rows = shingle_rows(members)
-    often = max(SALTED, (rest.agg(F.sum("n")).first()[0] or 0) // OFTEN)
+    often = max(LEAST_OFTEN, (rest.agg(F.sum("n")).first()[0] or 0) // OFTEN)
     counts = durable(rows.groupBy("shingle").count().filter("count > 1"))
     hot = F.broadcast(counts.filter(F.col("count") > often))
     met = rows.join(hot.select("shingle"), "shingle", "left_anti").join(counts.filter(F.col("count") <= often), "shingle")

@@ -54,6 +54,7 @@ def test_long_texts_and_hot_shingles(spark, monkeypatch):
     rng = random.Random(9)
     monkeypatch.setattr(neardup, "FIRST", 3)
     monkeypatch.setattr(neardup, "SALTED", 4)
+    monkeypatch.setattr(neardup, "LEAST_OFTEN", 4)
     long = [f"w{rng.randrange(10**9)}" for _ in range(200_000)]
     docs = [(0, " ".join(long)), (1, " ".join(long[9_000:])), (2, " ".join(long[:191_000])), (3, " ".join(long[100_000:]))]
     phrase = "the very same opening words of every text"
