@@ -1,33 +1,45 @@
-"""Operator 3, HTML extraction: markup settles what it can, a suffix array for each host the rest.
-
-A page is cut into blocks of text. Markup drops what it names as menu, header, footer, sidebar,
-notice, advert, form, comments, script or style, and where a page has an article (or main) element,
-everything outside it. The blocks left of all pages of a host are set end to end as one stream of
-tokens, whose suffixes are sorted by prefix doubling to the depth of RUN tokens: suffixes of one
-rank are a substring that occurs at each of them. Where such a substring stands on enough distinct
-pages, its tokens are boilerplate, and a block that boilerplate covers is removed; unique runs stay.
-
-Inside an article more than four fifths of the host's distinct pages, and twenty at least, must share
-a block before it goes, for articles quote each other; outside one, a tenth, and three. Pages with the same blocks count once, and so do near copies: pages that
-share four fifths of their tokens when blocks on more than half of the distinct pages are left out,
-as a host's boilerplate is on all kinds of pages and a copied article only on its copies. How much of
-a page is boilerplate doesn't matter; only a page without one token of its own is left whole. Pages of
-a host that are all copies of one another but for short passages are not told from pages with much
-boilerplate, and lose what they share.
-
-A host with more than CHUNK_PAGES pages is dealt into chunks by page, each with its own array, so
-no host, however many pages it has, meets in one task: boilerplate recurs in any chunk.
+"""Operator 3, HTML extraction: a suffix array for each host finds what its pages repeat, markup the rest.
+
+A page is cut into blocks of text, menus, headers, footers, sidebars, notices and adverts too; only what
+can't be text (scripts, styles, head, controls) is left out at once. The tokens of all pages of a host
+are set end to end, and the array of their suffixes, each ending with its page, is made by prefix
+doubling on the groups that still hold more than one. Where neighbours in the array agree for RUN
+tokens or more, a long substring is repeated; with the number of distinct pages it stands on known,
+all tokens that one on enough pages covers are removed, within blocks too, and unique runs stay.
+
+Then markup says which of the blocks are the article: what it names as menu, footer, advert and so on
+goes even where the host has too few pages for the array to tell, and where a page has an article (or
+main) element, everything outside it goes. Inside an article more than four fifths of the host's distinct
+pages, and twenty at least, must share a run before it goes, for articles quote each other; outside
+one a fiftieth, and three.
+
+Pages with the same blocks count once, and so do near copies: pages that share four fifths of their
+tokens when blocks on more than half of the distinct pages are left out, as a host's boilerplate is on
+all kinds of pages and a copied article only on its copies. A near copy is looked for among the first
+pages that have one of a page's two longest blocks. Only a page whose every token is repeated is left
+whole. Pages of a host that are all copies of one another but for short passages are not told from
+pages with much boilerplate, and lose what they share.
+
+A host of more than CHUNK_BYTES is dealt into chunks, equal pages to the same one, each with an array of
+its own, and the counts are those of the whole host all the same: a run on more than a share of all
+distinct pages is on more than that share of some chunk's, so runs that are in any chunk are counted
+in every chunk, and the sums decide. Near copies that fall into several chunks count once in each,
+which is below the share as a chunk has thousands of pages. What is asked of a chunk is at most 50
+times the tokens of a page for each chunk of its host.
 
 Edge cases: null or empty html gives an empty text; null urls share the empty host; broken markup
 is read as browsers do (unclosed elements end with their parent, a lone ``<`` is text, an open
-comment runs to the end); repeated rows each return a row; an empty table gives an empty result;
-other columns are ignored.
+comment runs to the end); a very long page is read in one pass, whatever is left open in it; pages
+that tie are taken in the order of their blocks; repeated rows each return a row; ids of any type are
+passed on; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -37,17 +49,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import bounded, table
+from .common import bounded, durable, table
 from .urls import host_path
 
 RUN = 8
-CHUNK_PAGES = 256
+#: Bytes of html to one array.
+CHUNK_BYTES = 6 << 20
 #: Of a host's distinct pages, so many and more than this share must have a run.
 LEAST_INSIDE, SHARE_INSIDE = 20, 0.8
-LEAST_OUTSIDE, SHARE_OUTSIDE = 3, 0.1
-COVERED, COPY = 0.9, 1.0
+LEAST_OUTSIDE, SHARE_OUTSIDE = 3, 0.02
 #: Share of tokens in common that makes pages near copies, and of pages beyond which a block is not counted for it.
 NEAR, WIDESPREAD = 0.8, 0.5
+#: What markup says of a block: nothing, that it is in an article, that it is none.
+OPEN, INSIDE, MARKED = range(3)
 
 _MARKUP = re.compile(r"""<!--(?:>|->)|<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -57,7 +71,9 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-DROPPED = frozenset("head nav header footer aside form script style noscript template iframe noembed noframes object svg math button select textarea input menu dialog canvas audio video".split())
+#: What can't be text, and elements that aren't the article's.
+NEVER = frozenset("head script style noscript template iframe noembed noframes object svg math button select textarea input canvas audio video".split())
+DROPPED = frozenset("nav header footer aside form menu dialog".split())
 #: Words of a class or id, and roles, that name what isn't the article.
 DROPPED_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead comments comment commentlist disqus respond replies share sharing social related recommended newsletter subscribe subscription login signup widget pagination".split()
@@ -86,27 +102,63 @@ def _unwanted(tag: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool]]:
-    """(text, whether inside an article) of the blocks that markup leaves."""
-    out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, inside
-    held: list[str] = []
-    at, size = 0, len(page)
+class _Open:
+    """The open elements, with what is asked of them kept at hand: no tag looks through all of them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, kind, never, block
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.walls: list[int] = []
+
+    def push(self, tag: str, kind: int, never: bool) -> None:
+        self.at[tag].append(len(self.stack))
+        if tag in _WALL:
+            self.walls.append(len(self.stack))
+        self.stack.append((tag, kind, never))
+
+    def cut(self, to: int) -> bool:
+        """Close all from place ``to`` on; whether a block was among them."""
+        block = False
+        while len(self.stack) > to:
+            tag = self.stack.pop()[0]
+            self.at[tag].pop()
+            if tag in _WALL:
+                self.walls.pop()
+            block |= tag in BLOCK
+        return block
+
+    def implied(self, tag: str) -> int:
+        """The place of the lowest element, above the last wall, that ``tag`` ends."""
+        wall = self.walls[-1] if self.walls else -1
+        places = [self.at[t] for t in _CLOSING.get(tag, ())]
+        return min((p[i] for p in places if (i := bisect_right(p, wall)) < len(p)), default=len(self.stack))
+
+
+def blocks(page: str) -> list[tuple[str, int]]:
+    """(text, OPEN, INSIDE or MARKED) of the blocks of a page, in order."""
+    out: list[tuple[str, int]] = []
+    open_, held = _Open(), []
+    at, size, last = 0, len(page), page.rfind(">") + 1
 
     def flush() -> None:
         if held:
             if text := " ".join(html.unescape("".join(held)).split()):
-                out.append((text, stack[-1][2] if stack else False))
+                out.append((text, open_.stack[-1][1] if open_.stack else OPEN))
             held.clear()
 
+    def text(start: int, end: int) -> None:
+        if end > start and not (open_.stack and open_.stack[-1][2]):
+            held.append(page[start:end])
+
     while at < size:
-        m = _MARKUP.search(page, at)
-        end = m.start() if m else size
-        if end > at and not (stack and stack[-1][1]):
-            held.append(page[at:end])
-        if not m:
+        m = _MARKUP.search(page, at, last) if at < last else None
+        if not m:  # no tag ends any more, but a comment or declaration may begin
+            text(at, min((i for i in (page.find("<!", at), page.find("<?", at)) if i >= 0), default=size))
             break
+        text(at, m.start())
         at = m.end()
+        if page.startswith("<!--", m.start()) and at == last and not re.search(r"--!?>$|^<!--?>$", m[0]):
+            break  # an open comment
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -114,129 +166,271 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         if tag in BLOCK:
             flush()
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if any(t in BLOCK for t, _, _ in stack[i:]):
-                        flush()
-                    del stack[i:]
-                    break
+            if places := open_.at.get(tag):
+                if any(t in BLOCK for t, _, _ in open_.stack[places[-1] :]):
+                    flush()
+                open_.cut(places[-1])
             continue
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in _CLOSING.get(tag, ()):
-                del stack[i:]
-            elif stack[i][0] in _WALL:
-                break
+        if (to := open_.implied(tag)) < len(open_.stack):
+            flush()
+            open_.cut(to)
         if tag in VOID:
             continue
-        dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if tag in RAW:  # no markup inside but its own end
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = close.end() if close else size
             continue
         if attributes.endswith("/") and tag in ("svg", "math"):
             continue
-        stack.append((tag, dropped or _unwanted(tag, attributes), inside or tag in ("article", "main") or 'role="main"' in attributes))
+        _, kind, never = open_.stack[-1] if open_.stack else ("", OPEN, False)
+        if kind != MARKED and _unwanted(tag, attributes):
+            if tag in BLOCK:
+                kind = MARKED
+            else:  # inside a block, which goes on after it
+                never = True
+        elif kind == OPEN and (tag in ("article", "main") or 'role="main"' in attributes):
+            kind = INSIDE
+        open_.push(tag, kind, never or tag in NEVER)
     flush()
-    inside = [b for b in out if b[1]]
-    return inside or out
+    return out
+
+
+def suffix_array(tokens: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of all suffixes, and for each how many tokens it shares with the one before it in that order.
+
+    ``left``: how many tokens a suffix has, to the end of its page. Doubling sorts only groups that still
+    hold more than one suffix; a suffix that has ended is not split from its equals.
+    """
+    n = len(tokens)
+    inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)[1:]
+    rank = (np.cumsum(counts) - counts)[inverse].astype(np.int32)
+    levels, width = [rank], 1
+    active = np.flatnonzero((counts[inverse] > 1) & (left > 1))
+    while len(active):
+        ahead = rank[active + width]
+        order = np.lexsort((ahead, rank[active]))
+        active, ahead = active[order], ahead[order]
+        first = np.append(True, rank[active][1:] != rank[active][:-1])
+        new = first | np.append(True, ahead[1:] != ahead[:-1])
+        place = np.arange(len(active))
+        step = np.maximum.accumulate(np.where(new, place, 0))
+        # suffixes of the group that have ended come first, and so many places are theirs
+        group = np.bincount(rank[active], minlength=n)
+        ended = np.bincount(rank, minlength=n) - group
+        rank = rank.copy()
+        rank[active] += (step - np.maximum.accumulate(np.where(first, place, 0)) + ended[rank[active]]).astype(np.int32)
+        levels.append(rank)
+        width *= 2
+        several = np.bincount(rank, minlength=n)[rank[active]] > 1
+        active = active[several & (left[active] > width)]
+    order = np.lexsort((np.arange(n), rank))
+    a, b = order[:-1], order[1:]
+    shared = np.zeros(max(n - 1, 0), dtype=np.int64)
+    most = np.minimum(left[a], left[b])
+    for k in range(len(levels) - 1, -1, -1):
+        again = np.flatnonzero(shared + (1 << k) <= most)
+        same = levels[k][a[again] + shared[again]] == levels[k][b[again] + shared[again]]
+        shared[again[same]] += 1 << k
+    return order, np.append(np.zeros(min(n, 1), dtype=np.int64), shared)
 
 
-def families(texts: list[list[str]]) -> list[int]:
+def families(texts: list[list[str]]) -> np.ndarray:
     """For each page the first page it is a copy or near copy of, or itself."""
     alike: dict[tuple, int] = {}
     same = [alike.setdefault(tuple(p), i) for i, p in enumerate(texts)]
     number: dict[str, int] = {}
     sets = {i: {number.setdefault(t, len(number)) for t in texts[i]} for i in alike.values()}
     pages_with = np.bincount([b for x in sets.values() for b in x], minlength=len(number))
-    tokens = np.array([len(t.split()) for t in number])
-    rare = pages_with <= max(WIDESPREAD * len(alike), 1)
-    own = {i: frozenset(b for b in x if rare[b]) for i, x in sets.items()}
-    size = {i: int(tokens[list(x)].sum()) if x else 0 for i, x in own.items()}
-    with_block: dict[int, list[int]] = defaultdict(list)
+    tokens = [t.count(" ") + 1 for t in number]
+    rare = (pages_with <= max(WIDESPREAD * len(alike), 1)).tolist()
+    own = {i: {b for b in x if rare[b]} for i, x in sets.items()}
+    size = {i: sum(tokens[b] for b in x) for i, x in own.items()}
+    head: dict[int, int] = {}  # of a block, the first page that has it among its longest and is no copy
     first: dict[int, int] = {}
     for i, x in own.items():
-        shared: dict[int, int] = defaultdict(int)
-        for b in x:
-            for j in with_block[b]:
-                shared[j] += tokens[b]
-        first[i] = min((j for j, n in shared.items() if n >= NEAR * max(size[i], size[j])), default=i)
+        longest = sorted(x, key=lambda b: (-tokens[b], b))[:2]
+        asked = sorted({head[b] for b in longest if b in head})
+        first[i] = next((j for j in asked if sum(tokens[b] for b in x & own[j]) >= NEAR * max(size[i], size[j])), i)
         if first[i] == i:
-            for b in x:
-                with_block[b].append(i)
-    return [first[i] for i in same]
-
-
-def boilerplate(texts: list[list[str]], inside: list[list[bool]], family: list[int] | None = None) -> list[list[bool]]:
-    """Which blocks of the pages of a host are boilerplate; pages of a ``family`` count once, by default equal ones."""
-    flat = [t for page in texts for t in page]
-    block_of, hashes = [], []
-    for chunk in kernels.chunks(pa.array(flat, pa.string())):
-        start, end, before = chunk.words()
-        hashes.append(kernels.Hasher(chunk.data).of(start, end))
-        block_of.append(np.repeat(np.arange(chunk.first, chunk.last), np.diff(before)))
-    none = [[False] * len(p) for p in texts]
-    if not flat or sum(map(len, hashes)) < RUN:
-        return none
-    tokens, block = np.concatenate(hashes), np.concatenate(block_of)
-    page_of_block = np.repeat(np.arange(len(texts)), [len(p) for p in texts])
-    page = page_of_block[block]
-
-    # ranks of all suffixes by their first 1, 2, 4 ... RUN tokens; a suffix that its page cuts short has a rank of its own
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while width < RUN:
-        ahead = np.full(len(rank), -1, dtype=np.int64)
-        ahead[:-width] = np.where(page[width:] == page[:-width], rank[width:], -1) if len(rank) > width else -1
-        rank = np.unique(rank * (len(rank) + 1) + ahead + 1, return_inverse=True)[1].astype(np.int64)
-        width *= 2
-    whole = np.zeros(len(rank), dtype=bool)
-    whole[: len(rank) - RUN + 1] = page[RUN - 1 :] == page[: len(rank) - RUN + 1]
-
-    alike = {}
-    original = np.array(family if family is not None else [alike.setdefault(tuple(p), i) for i, p in enumerate(texts)])
-    distinct = len(np.unique(original))
-    seen = np.unique(rank[whole] * len(texts) + original[page[whole]])
-    pages_with = np.bincount(seen // len(texts), minlength=len(rank) + 1)[rank]
-    in_article = np.array([x for p in inside for x in p], dtype=bool)[block]
-    least = np.where(in_article, max(SHARE_INSIDE * distinct, LEAST_INSIDE - 1), max(SHARE_OUTSIDE * distinct, LEAST_OUTSIDE - 1))
-    hit = np.flatnonzero(whole & (pages_with > least))
-    steps = np.zeros(len(rank) + 1, dtype=np.int64)
-    np.add.at(steps, hit, 1)
-    np.add.at(steps, hit + RUN, -1)
-    covered = np.cumsum(steps[:-1]) > 0
-    copy = np.bincount(page, weights=covered, minlength=len(texts)) >= COPY * np.maximum(np.bincount(page, minlength=len(texts)), 1)
-    size = np.bincount(block, minlength=len(flat))
-    gone = (np.bincount(block, weights=covered, minlength=len(flat)) >= COVERED * np.maximum(size, 1)) & ~copy[page_of_block]
-    ends = np.cumsum([0, *map(len, texts)])
-    return [gone[x:y].tolist() for x, y in zip(ends, ends[1:])]
+            for b in longest:
+                head.setdefault(b, i)
+    return np.array([first[i] for i in same], dtype=np.int64)
+
+
+class Stream:
+    """The pages of a host, or of a chunk of one, end to end as tokens."""
+
+    def __init__(self, pages: list[list[tuple[str, int]]]):
+        self.pages = pages
+        flat = [b for p in pages for b in p]
+        counts, hashes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+        for chunk in kernels.chunks(pa.array([t for t, _ in flat], pa.large_string())):
+            start, end, before = chunk.words()
+            hashes.append(kernels.Hasher(chunk.data).of(start, end))
+            counts.append(np.diff(before))
+        self.tokens, per_block = np.concatenate(hashes), np.concatenate(counts)
+        self.block = np.repeat(np.arange(len(flat)), per_block)
+        page_of_block = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+        self.page = page_of_block[self.block]
+        self.inside = np.array([k for _, k in flat], dtype=np.int64)[self.block] == INSIDE
+        ends = np.cumsum(np.bincount(self.page, minlength=len(pages)))
+        self.left = ends[self.page] - np.arange(len(self.tokens))
+        self.family = families([[t for t, _ in p] for p in pages])
+        self.distinct = len(np.unique(self.family))
+        self.whole = np.flatnonzero(self.left >= RUN)
+
+    def grams(self) -> np.ndarray:
+        """A hash of the RUN tokens from each place in ``whole`` on, the same in every chunk."""
+        out = np.zeros(len(self.whole), dtype=np.uint64)
+        for j in range(RUN):
+            out = kernels.mix(out * np.uint64(0x9FB21C651E98DF25) + self.tokens[self.whole + j])
+        return out.view(np.int64)
+
+    def _pages_of(self, group: np.ndarray, groups: int, at: np.ndarray) -> np.ndarray:
+        """Distinct pages of each group, which the places ``at`` are of."""
+        seen = np.unique(group * len(self.pages) + self.family[self.page[at]])
+        return np.bincount(seen // max(len(self.pages), 1), minlength=groups)
+
+    def repeated(self) -> np.ndarray:
+        """For each place in ``whole``, on how many distinct pages the long substring from there on stands."""
+        order, shared = suffix_array(self.tokens, self.left)
+        group = np.cumsum(shared < RUN) - 1  # neighbours that agree for RUN tokens are of one group
+        of = np.empty(len(order), dtype=np.int64)
+        of[order] = group
+        of = of[self.whole]
+        return self._pages_of(of, int(group[-1]) + 1 if len(group) else 0, self.whole)[of]
+
+    def counted(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``grams`` (sorted) that are here, and on how many distinct pages."""
+        mine = self.grams()
+        at = np.minimum(np.searchsorted(grams, mine), max(len(grams) - 1, 0))
+        hit = grams[at] == mine if len(grams) else np.zeros(len(mine), dtype=bool)
+        pages = self._pages_of(at[hit], len(grams), self.whole[hit])
+        here = np.flatnonzero(pages)
+        return grams[here], pages[here]
+
+    def kept(self, pages: np.ndarray, distinct: int) -> tuple[list[str], list[int]]:
+        """The text of each page, and how many of its tokens repeated runs cover. ``pages``: for each
+        place in ``whole``, on how many of the host's ``distinct`` pages its run is."""
+        inside = self.inside[self.whole]
+        least = np.where(inside, max(SHARE_INSIDE * distinct, LEAST_INSIDE - 1), max(SHARE_OUTSIDE * distinct, LEAST_OUTSIDE - 1))
+        hit = self.whole[pages > least]
+        steps = np.zeros(len(self.tokens) + 1, dtype=np.int64)
+        np.add.at(steps, hit, 1)
+        np.add.at(steps, hit + RUN, -1)
+        covered = np.cumsum(steps[:-1]) > 0
+        n_covered = np.bincount(self.page, weights=covered, minlength=len(self.pages)).astype(np.int64)
+        blocks = sum(len(p) for p in self.pages)
+        ends = np.cumsum(np.bincount(self.block, minlength=blocks))
+        gone = np.bincount(self.block, weights=covered, minlength=blocks)
+        out, b = [], 0
+        for p in self.pages:
+            want = INSIDE if any(k == INSIDE for _, k in p) else OPEN
+            parts, whole = [], []
+            for t, k in p:
+                if k == want:
+                    whole.append(t)
+                    if gone[b]:
+                        words, cover = t.split(" "), covered[ends[b] - t.count(" ") - 1 : ends[b]]
+                        t = " ".join(w for w, c in zip(words, cover) if not c)
+                    if t:
+                        parts.append(t)
+                b += 1
+            out.append(" ".join(parts or whole))
+        return out, n_covered.tolist()
+
+
+def _packed(found: list[tuple[str, int]]) -> bytes:
+    raw = "\n".join(f"{k}{t}" for t, k in found).encode()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unpacked(pack: bytes) -> list[tuple[str, int]]:
+    raw = pa.Codec("zstd").decompress(pack[8:], int.from_bytes(pack[:8], "little"), asbytes=True).decode()
+    return [(line[1:], int(line[0])) for line in raw.split("\n")] if raw else []
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [blocks(page or "") for page in b["html"].to_pylist()]
-        texts = pa.array([[t for t, _ in p] for p in found], pa.list_(pa.string()))
-        inside = pa.array([[x for _, x in p] for p in found], pa.list_(pa.bool_()))
-        yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], b["host"], b["chunk"], texts, inside], names=["page_id", "url", "host", "chunk", "blocks", "inside"])
+        for first in range(0, b.num_rows, 64):
+            part = b.slice(first, 64)
+            packs = [_packed(blocks(page or "")) for page in part["html"].to_pylist()]
+            chunk = [int.from_bytes(hashlib.blake2b(x, digest_size=7).digest(), "big") % n for x, n in zip(packs, part["chunks"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], part["host"], pa.array(chunk, pa.int64()), pa.array(packs, pa.binary())], names=["page_id", "url", "host", "chunk", "pack"])
+
+
+def _stream(rows: pa.Table) -> tuple[Stream, list[int]]:
+    """The stream of a group's pages, which may come in any order, and the place in it of each row."""
+    pages = [_unpacked(x) for x in rows["pack"].to_pylist()]
+    order = sorted(range(len(pages)), key=pages.__getitem__)
+    place = [0] * len(order)
+    for i, row in enumerate(order):
+        place[row] = i
+    return Stream([pages[i] for i in order]), place
+
+
+def _texts(rows: pa.Table, stream: Stream, place: list[int], pages: np.ndarray, distinct: int) -> pa.Table:
+    texts, covered = stream.kept(pages, distinct)
+    return pa.table({"page_id": rows["page_id"], "url": rows["url"], "text": pa.array([texts[i] for i in place], pa.string()), "n_repeated": pa.array([covered[i] for i in place], pa.int64())})
+
+
+def _alone(rows: pa.Table) -> pa.Table:
+    """A host that one array holds."""
+    stream, place = _stream(rows)
+    return _texts(rows, stream, place, stream.repeated(), stream.distinct)
+
+
+def _asked(rows: pa.Table) -> pa.Table:
+    """Runs on more than the least share of a chunk's distinct pages; in a row of its own, with no run, how many these are."""
+    stream, _ = _stream(rows)
+    often = stream.repeated() > min(SHARE_OUTSIDE, SHARE_INSIDE) * stream.distinct
+    grams = np.unique(stream.grams()[often])
+    return pa.table({"host": pa.array([rows["host"][0].as_py()] * (len(grams) + 1), pa.string()), "chunk": pa.array([rows["chunk"][0].as_py()] * (len(grams) + 1), pa.int64()), "gram": pa.array([None, *grams.tolist()], pa.int64()), "pages": pa.array([stream.distinct] + [0] * len(grams), pa.int64())})
+
+
+def _counted(rows: pa.Table, told: pa.Table) -> pa.Table:
+    grams = np.sort(np.array([g for x in told["grams"].to_pylist() for g in x], dtype=np.int64))
+    here, pages = _stream(rows)[0].counted(grams) if len(grams) else (grams, grams)
+    return pa.table({"host": pa.array([rows["host"][0].as_py() if len(here) else None] * len(here), pa.string()), "gram": pa.array(here), "pages": pa.array(pages, pa.int64())})
 
 
-def _kept(host: pa.Table) -> pa.Table:
-    texts, inside = host["blocks"].to_pylist(), host["inside"].to_pylist()
-    order = sorted(range(len(texts)), key=lambda i: (texts[i], inside[i]))  # rows may come in any order
-    ordered = [texts[i] for i in order]
-    gone = dict(zip(order, boilerplate(ordered, [inside[i] for i in order], families(ordered))))
-    out = [" ".join(t for t, g in zip(page, gone[i]) if not g) for i, page in enumerate(texts)]
-    return pa.table({"page_id": host["page_id"], "url": host["url"], "text": pa.array(out, pa.string())})
+def _chunked(rows: pa.Table, told: pa.Table) -> pa.Table:
+    stream, place = _stream(rows)
+    known = sorted((r["gram"], r["pages"]) for x in told["runs"].to_pylist() for r in x or ())
+    grams, counts = (np.array([k[i] for k in known], dtype=np.int64) for i in (0, 1))
+    mine = stream.grams()
+    pages = np.zeros(len(mine), dtype=np.int64)
+    if len(grams):
+        at = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
+        pages = np.where(grams[at] == mine, counts[at], 0)
+    return _texts(rows, stream, place, pages, told["distinct"][0].as_py())
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of ``pages``."""
-    id_type = pages.schema["page_id"].dataType.simpleString()
+    """page_id, url, text, n_chars and n_repeated (tokens that repeated runs cover) of every row of ``pages``."""
+    spark, id_type = pages.sparkSession, pages.schema["page_id"].dataType.simpleString()
     hosted = pages.select("page_id", "url", "html", host_path(F.col("url"))[0].alias("host"))
-    sizes = hosted.groupBy("host").count().select("host", F.ceil(F.col("count") / CHUNK_PAGES).alias("chunks")).filter("chunks > 1")
-    dealt = hosted.join(bounded(sizes), "host", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("chunks")), F.lit(0)).cast("long"))
-    parsed = dealt.select("page_id", "url", "html", "host", "chunk").mapInArrow(_parsed, f"page_id {id_type}, url string, host string, chunk long, blocks array<string>, inside array<boolean>")
-    kept = parsed.groupBy("host", "chunk").applyInArrow(_kept, f"page_id {id_type}, url string, text string")
-    return kept.withColumn("n_chars", F.length("text").cast("long"))
+    sizes = hosted.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 64) / CHUNK_BYTES).alias("chunks"))
+    large = durable(sizes.filter("chunks > 1"))
+    parse = lambda df: df.select("page_id", "url", "html", "host", "chunks").mapInArrow(_parsed, f"page_id {id_type}, url string, host string, chunk long, pack binary")
+    kind = f"page_id {id_type}, url string, text string, n_repeated long"
+    small = hosted.join(bounded(large.select(F.col("host").alias("_host"))), F.col("host") == F.col("_host"), "left_anti")
+    out = parse(small.withColumn("chunks", F.lit(1).cast("long"))).groupBy("host").applyInArrow(_alone, kind)
+    if large.limit(1).count():
+        held = parse(hosted.join(bounded(large), "host")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "host", "chunk")
+        held = durable(held)
+        found = durable(held.groupBy("host", "chunk").applyInArrow(_asked, "host string, chunk long, gram long, pages long"))
+        here = found.filter("gram IS NULL").select("host", "chunk")
+        totals = found.filter("gram IS NULL").groupBy("host").agg(F.sum("pages").alias("distinct"))
+        asked = found.filter("gram IS NOT NULL").groupBy("host").agg(F.collect_set("gram").alias("grams"))
+        told = here.join(asked, "host", "left").withColumn("grams", F.coalesce("grams", F.array().cast("array<bigint>")))
+        counted = held.groupBy("host", "chunk").cogroup(told.groupBy("host", "chunk")).applyInArrow(_counted, "host string, gram long, pages long")
+        least = F.greatest(F.col("distinct") * min(SHARE_OUTSIDE, SHARE_INSIDE), F.lit(min(LEAST_OUTSIDE, LEAST_INSIDE) - 1))
+        runs = counted.groupBy("host", "gram").agg(F.sum("pages").alias("pages")).join(totals, "host").filter(F.col("pages") > least)
+        runs = durable(runs.groupBy("host").agg(F.collect_list(F.struct("gram", "pages")).alias("runs")))
+        told = here.join(totals, "host").join(runs, "host", "left")
+        out = out.union(held.groupBy("host", "chunk").cogroup(told.groupBy("host", "chunk")).applyInArrow(_chunked, kind))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

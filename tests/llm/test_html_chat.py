@@ -68,37 +68,93 @@ def test_boilerplate_that_outweighs_the_article(spark):
         assert found[100 + i] == " ".join((words("copied", 50), words("again", 50), words(f"edit{i}x", 10)))
 
 
-def plain_boilerplate(texts, inside):
-    places, alike = defaultdict(set), {}
-    ids = [alike.setdefault(tuple(p), i) for i, p in enumerate(texts)]
-    streams = [[(t, b) for b, x in enumerate(p) for t in x.split()] for p in texts]
+def plain_kept(pages, run, of=None):
+    """(text, covered tokens) of each page of one host, from sets of runs; ``of``: the page that each counts as."""
+    of = of if of is not None else html.families([[t for t, _ in p] for p in pages]).tolist()
+    on, distinct = defaultdict(set), len(set(of))
+    streams = [[(t, b, k) for b, (x, k) in enumerate(p) for t in x.split(" ")] for p in pages]
     for i, s in enumerate(streams):
-        for a in range(len(s) - html.RUN + 1):
-            places[tuple(t for t, _ in s[a : a + html.RUN])].add(ids[i])
+        for a in range(len(s) - run + 1):
+            on[tuple(t for t, _, _ in s[a : a + run])].add(of[i])
     out = []
-    for i, s in enumerate(streams):
+    for p, s in zip(pages, streams):
         covered = set()
-        for a in range(len(s) - html.RUN + 1):
-            n = len(places[tuple(t for t, _ in s[a : a + html.RUN])])
-            share, least = (html.SHARE_INSIDE, html.LEAST_INSIDE) if inside[i][s[a][1]] else (html.SHARE_OUTSIDE, html.LEAST_OUTSIDE)
-            if n > max(len(alike) * share, least - 1):
-                covered |= set(range(a, a + html.RUN))
-        copy = len(covered) >= html.COPY * max(len(s), 1)
-        of = [[a for a, (_, b) in enumerate(s) if b == k] for k in range(len(texts[i]))]
-        out.append([bool(len(covered & set(x)) >= html.COVERED * max(len(x), 1) and not copy) for x in of])
+        for a in range(len(s) - run + 1):
+            n = len(on[tuple(t for t, _, _ in s[a : a + run])])
+            share, least = (html.SHARE_INSIDE, html.LEAST_INSIDE) if s[a][2] == html.INSIDE else (html.SHARE_OUTSIDE, html.LEAST_OUTSIDE)
+            if n > max(distinct * share, least - 1):
+                covered |= set(range(a, a + run))
+        want = html.INSIDE if any(k == html.INSIDE for _, k in p) else html.OPEN
+        mine = [(a, t) for a, (t, _, k) in enumerate(s) if k == want]
+        out.append((" ".join([t for a, t in mine if a not in covered] or [t for _, t in mine]), len(covered)))
     return out
 
 
-def test_suffix_ranks_match_a_plain_search(monkeypatch):
-    import random
+def test_suffix_array():
+    import numpy as np
+
+    rng = random.Random(1)
+    for n in (1, 2, 3, 40):
+        for _ in range(60):
+            pages = [[rng.randrange(n) for _ in range(rng.randrange(14))] for _ in range(rng.randrange(1, 6))]
+            suffixes = [tuple(p[i:]) for p in pages for i in range(len(p))]
+            left = np.array([len(x) for x in suffixes], dtype=np.int64)
+            order, shared = html.suffix_array(np.array([x[0] for x in suffixes], dtype=np.uint64), left)
+            assert [suffixes[i] for i in order] == sorted(suffixes)
+            for x, y, k in zip(order, order[1:], shared[1:]):
+                x, y = suffixes[x], suffixes[y]
+                assert x[:k] == y[:k] and (k == min(len(x), len(y)) or x[k] != y[k])
+
+
+def _host(rng, lines, n):
+    kinds = (html.OPEN, html.INSIDE, html.MARKED)
+    return [[(rng.choice(lines) if rng.random() < 0.4 else " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 30))), rng.choice(kinds)) for _ in range(rng.randrange(6))] for _ in range(n)]
+
 
+def test_runs_match_a_plain_search(monkeypatch):
     rng = random.Random(1)
     lines = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(4, 20))) for _ in range(8)]
     monkeypatch.setattr(html, "LEAST_INSIDE", 4)
-    for _ in range(20):
-        texts = [[rng.choice(lines) if rng.random() < 0.4 else " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(6))] for _ in range(rng.randrange(12))]
-        inside = [[rng.random() < 0.5 for _ in p] for p in texts]
-        assert html.boilerplate(texts, inside) == plain_boilerplate(texts, inside)
+    for _ in range(40):
+        pages = _host(rng, lines, rng.randrange(14))
+        stream = html.Stream(pages)
+        texts, covered = stream.kept(stream.repeated(), stream.distinct)
+        assert list(zip(texts, covered)) == plain_kept(pages, html.RUN)
+
+
+def test_chunks_of_a_host_count_as_one(spark, monkeypatch):
+    """The same texts with one array and with many, and those that plain counting over the whole host gives."""
+    rng = random.Random(6)
+    lines = [" ".join(f"{rng.choice('abc')}{rng.randrange(30)}" for _ in range(rng.randrange(10, 20))) for _ in range(40)]
+    tag = {html.OPEN: "<div>{}</div>", html.INSIDE: "<article>{}</article>", html.MARKED: "<nav>{}</nav>"}
+    weights = [1 / (i + 1) ** 1.2 for i in range(40)]
+    pages = [[(x if rng.random() > 0.6 else rng.choices(lines, weights)[0], k) for x, k in p] for p in _host(rng, lines, 700)]
+    pages = [p + [(f"own{i} " * 3 + f"page{i}", html.OPEN)] for i, p in enumerate(pages)]
+    rows = [(i, "http://big.org/", "".join(tag[k].format(t) for t, k in p)) for i, p in enumerate(pages)] + [(9000 + i, "http://small.org/", "<p>x") for i in range(3)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    parsed = [html.blocks(r[2]) for r in rows[: len(pages)]]
+    whole = sorted(map(tuple, html.extracted(frame).collect()))
+    assert [(r[2], r[4]) for r in whole[: len(pages)]] == plain_kept(parsed, html.RUN)
+    monkeypatch.setattr(html, "CHUNK_BYTES", 60_000)
+    monkeypatch.setattr(html, "SHARE_OUTSIDE", 0.05)
+    many = sorted(map(tuple, html.extracted(frame).collect()))
+    assert [(r[2], r[4]) for r in many[: len(pages)]] == plain_kept(parsed, html.RUN)
+    assert any(r[4] for r in many) and many != whole
+
+
+def test_long_pages_are_read_in_one_pass():
+    import time
+
+    for page in ("<i><br>" * 150_000, "<b>" * 200_000, "<p>a" * 200_000, "<a" * 300_000, "<div><p>" * 60_000 + "</p></div>" * 60_000, "<!--" * 200_000, "<td x='" * 100_000):
+        began = time.perf_counter()
+        html.blocks(page)
+        assert time.perf_counter() - began < 5, page[:8]
+
+
+def test_the_array_removes_blocks_of_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = html.extracted(pages)
+    assert found.filter("n_repeated > 0").count() > 500
 
 
 TURNS = "conv_id long, turn long, role string, text string, turns string"
