@@ -10,8 +10,8 @@ all tokens that one on enough pages covers are removed, within blocks too, and u
 Then markup says which of the blocks are the article: what it names as menu, footer, advert and so on
 goes even where the host has too few pages for the array to tell, and where a page has an article (or
 main) element, everything outside it goes. Inside an article more than four fifths of the host's distinct
-pages, and twenty at least, must share a run before it goes, for articles quote each other; outside
-one a fiftieth, and three.
+pages, and twenty at least, must share a run before its tokens there go, for articles quote each other;
+outside one a fiftieth, and three.
 
 Pages with the same blocks count once, and so do near copies: pages that share four fifths of their
 tokens when blocks on more than half of the distinct pages are left out, as a host's boilerplate is on
@@ -312,13 +312,15 @@ class Stream:
     def kept(self, pages: np.ndarray, distinct: int) -> tuple[list[str], list[int]]:
         """The text of each page, and how many of its tokens repeated runs cover. ``pages``: for each
         place in ``whole``, on how many of the host's ``distinct`` pages its run is."""
-        inside = self.inside[self.whole]
-        least = np.where(inside, max(SHARE_INSIDE * distinct, LEAST_INSIDE - 1), max(SHARE_OUTSIDE * distinct, LEAST_OUTSIDE - 1))
-        hit = self.whole[pages > least]
-        steps = np.zeros(len(self.tokens) + 1, dtype=np.int64)
-        np.add.at(steps, hit, 1)
-        np.add.at(steps, hit + RUN, -1)
-        covered = np.cumsum(steps[:-1]) > 0
+
+        def covers(share: float, least: int) -> np.ndarray:
+            hit = self.whole[pages > max(share * distinct, least - 1)]
+            steps = np.zeros(len(self.tokens) + 1, dtype=np.int64)
+            np.add.at(steps, hit, 1)
+            np.add.at(steps, hit + RUN, -1)
+            return np.cumsum(steps[:-1]) > 0
+
+        covered = np.where(self.inside, covers(SHARE_INSIDE, LEAST_INSIDE), covers(SHARE_OUTSIDE, LEAST_OUTSIDE))
         n_covered = np.bincount(self.page, weights=covered, minlength=len(self.pages)).astype(np.int64)
         blocks = sum(len(p) for p in self.pages)
         ends = np.cumsum(np.bincount(self.block, minlength=blocks))

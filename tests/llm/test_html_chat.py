@@ -34,7 +34,7 @@ def test_pages(spark):
 def test_real_pages_keep_the_whole_article(spark):
     import html as std
 
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     texts = {r.page_id: r.text for r in html.extracted(pages).collect()}
     for r in pages.collect():
         inner = re.sub(r"</?b>", "", r.html[r.html.index("<article>") + 9 : r.html.index("</article>")])
@@ -81,9 +81,10 @@ def plain_kept(pages, run, of=None):
         covered = set()
         for a in range(len(s) - run + 1):
             n = len(on[tuple(t for t, _, _ in s[a : a + run])])
-            share, least = (html.SHARE_INSIDE, html.LEAST_INSIDE) if s[a][2] == html.INSIDE else (html.SHARE_OUTSIDE, html.LEAST_OUTSIDE)
-            if n > max(distinct * share, least - 1):
-                covered |= set(range(a, a + run))
+            for j in range(a, a + run):
+                share, least = (html.SHARE_INSIDE, html.LEAST_INSIDE) if s[j][2] == html.INSIDE else (html.SHARE_OUTSIDE, html.LEAST_OUTSIDE)
+                if n > max(distinct * share, least - 1):
+                    covered.add(j)
         want = html.INSIDE if any(k == html.INSIDE for _, k in p) else html.OPEN
         mine = [(a, t) for a, (t, _, k) in enumerate(s) if k == want]
         out.append((" ".join([t for a, t in mine if a not in covered] or [t for _, t in mine]), len(covered)))
