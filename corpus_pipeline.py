@@ -3,6 +3,13 @@
 Every stage works on all rows its predecessor kept and returns the columns of documents; the last
 adds where each row is stored. Rows may repeat after mixing, which lays a document into the mix as
 often as its source's target asks.
+
+Edge cases: a null or empty text, or one of fewer than 50 words, goes with the quality rules; a null id is
+an id like others; fully repeated rows are one after near_duplicates; equal ids of unlike texts are one
+document there, and the row of the smallest id of a group stays; null languages and sources are values
+like others; very long texts are worked on whole by every stage; where stages tie, their modules say by
+what they go; other columns are passed on, but for columns named shard and slot, which the last stage
+sets; an empty table gives an empty one with the columns of the last stage.
 """
 
 from __future__ import annotations

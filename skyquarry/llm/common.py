@@ -22,11 +22,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's shared folder for what must outlive executors: ``spark.checkpoint.dir``, and only
-    where that is unset (tests on one machine) a temporary one."""
+    """The session's shared folder for what must outlive executors: ``spark.checkpoint.dir``, and where that
+    is unset a temporary one, but only in local mode, where no executor is elsewhere."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skyquarry-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skyquarry-"))
     return sc.getCheckpointDir()
 
 

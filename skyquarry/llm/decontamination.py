@@ -11,7 +11,8 @@ The benchmark's hashes are broadcast only up to BROADCAST_HASHES of them, counte
 that, hashes are joined by shuffle to find the documents in question, and all windows of those.
 
 Edge cases: a null or wordless text has no words and no hits; a wordless item has no windows and
-occurs nowhere; equal items occur together; repeated rows are judged alike; an empty table on
+occurs nowhere; equal items occur together; a very long text is one array of words, hashed whole; of
+equal hashes in a window each place is extended; repeated rows are judged alike; an empty table on
 either side gives no hits; other columns are ignored, or passed on by ``clean``.
 """
 

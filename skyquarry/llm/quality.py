@@ -10,8 +10,9 @@ language, and if these are too few as well, with those of all languages; where e
 few the fixed rules decide alone.
 
 Edge cases: a null text counts as empty; a null language or source is a group like others; a text
-without words has a vector of zeros (the fixed rules reject it); repeated rows each get a verdict,
-the same one; an empty table gives an empty result; other columns are ignored, or passed on by
+without words has a vector of zeros (the fixed rules reject it); a very long text is counted whole, in
+memory that follows its length; ties of distance are kept or left together, as a bin is; repeated rows
+each get a verdict, the same one; an empty table gives an empty result; other columns are ignored, or passed on by
 ``clean``.
 """
 
@@ -62,7 +63,7 @@ def measured(chunk: kernels.Chunk) -> tuple[list[np.ndarray], np.ndarray]:
     breaks = np.flatnonzero(data == 10)
     line_start = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     line_start = line_start[line_start < len(data)]
-    line_end = np.append(line_start[1:], len(data))
+    line_end = np.append(line_start[1:], len(data))[: len(line_start)]
     line_end = np.where((line_end > line_start) & (data[line_end - 1] == 10), line_end - 1, line_end)
     worded = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
     line_start, line_end = line_start[worded], line_end[worded]

@@ -19,7 +19,8 @@ a copy everything goes.
 The recursion of external induced sorting and its disk-backed priority queues are not used; the
 README says why, with figures.
 
-Edge cases: a null text counts as empty; a text under SPAN bytes loses nothing; rows with equal ids
+Edge cases: a null text counts as empty; a text under SPAN bytes loses nothing; a very long text is one
+chunk, in memory that follows its length; of equal hashes in a window the first is the anchor; rows with equal ids
 never count as smaller than one another; a null id counts as larger than all others; repeated rows
 each return a row; an empty table gives an empty result; other columns are ignored.
 """

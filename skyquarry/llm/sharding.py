@@ -10,8 +10,10 @@ into a fixed number of cells, which are placed as wholes. A group above the capa
 such as a text that a third of all rows repeat, is split by doc_id into as few pieces as fit.
 
 Edge cases: a null text has size 16, no tokens and a null checksum, and null texts are one group;
-an empty text is another; repeated rows keep one row each and get slots of their own; an empty
-table gives an empty result; other columns of the input are ignored.
+an empty text is another; a very long text, even above a shard's share, is one vector and goes whole to
+one shard; groups of equal vectors are placed in the order of their digests, and slots go by doc_id;
+repeated rows keep one row each and get slots of their own; an empty table gives an empty result; other
+columns of the input are ignored, or in ``sharded`` passed on, but for columns named shard and slot.
 """
 
 from __future__ import annotations
@@ -126,9 +128,9 @@ def vector_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
 
 
 def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """The rows of ``docs`` with shard and slot; texts are shuffled once, to their shards."""
+    """The rows of ``docs`` with shard and slot, in place of columns of these names; texts are shuffled once, to their shards."""
     placed, rows = planned(durable(digest(docs)), shards)
-    items = placed(digest(docs, F.struct(*[F.col(c) for c in docs.columns]).alias("row")))
+    items = placed(digest(docs, F.struct(*[F.col(c) for c in docs.columns if c.lower() not in ("shard", "slot")]).alias("row")))
     return number(items, shards, rows).select("row.*", "shard", "slot")
 
 

@@ -84,3 +84,24 @@ def test_sql(spark, name):
     said = con.sql(queries.ORACLE_SQL[name])
     ours = queries.QUERIES[name](spark, SF)
     assert sorted(map(tuple, ours.select(*said.columns).collect())) == sorted(said.fetchall())
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Nulls in any column, long texts, copies, equal ids, columns of clashing names, and an empty table."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = docs.filter(F.length("text") > 2000).first().text
+    kinds = "doc_id long, text string, lang string, source string"
+    odd = [(None, text + " no id", "en", "a"), (9001, None, None, None), (9002, "", "en", None), (9003, text, None, "a"), (9004, text, "en", None), (9004, text, "en", None), (9004, text + " another", "en", "a"), (9005, " ".join(f"w{i}" for i in range(60_000)), "en", "a")]
+    table = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(odd, kinds))
+    for c in ("shard", "slot", "row", "group", "size", "tokens", "text_key", "node", "component_id", "block", "distance", "kept", "n_words"):
+        table = table.withColumn(c, F.lit("clash"))
+    for n, part in enumerate((table, table.limit(0))):
+        part.write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/{n}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{n}")
+        assert out.columns == [c for c in table.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+        got = out.collect()
+        assert bool(got) is (n == 0) and all(r.row == "clash" and r.text for r in got)
+        assert len({r.doc_id for r in got if r.text == text}) <= 1

@@ -72,3 +72,8 @@ def test_any_statistic_can_reject(spark):
     found = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert not any(r.base_failed for r in found.values())
     assert [d for d, r in sorted(found.items()) if not r.kept] == [100, 101]
+
+
+def test_batches_of_nothing_but_empty_texts(spark):
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate((None, "", None))], "doc_id long, text string, lang string, source string").coalesce(1)
+    assert [(r.n_words, r.base_failed, r.kept) for r in quality.judged(docs).collect()] == [(0, True, False)] * 3
