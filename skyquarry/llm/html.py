@@ -45,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +54,10 @@ from .common import bounded, durable, table
 from .urls import host_path
 
 RUN = 8
-#: Bytes of html to one array.
-CHUNK_BYTES = 6 << 20
+#: Bytes of html to one array, and to one stretch of the input.
+CHUNK_BYTES, BATCH_BYTES = 6 << 20, 8 << 20
+#: Runs that may be asked of chunks by broadcast.
+ASKED_BROADCAST = 2_000_000
 #: Of a host's distinct pages, so many and more than this share must have a run.
 LEAST_INSIDE, SHARE_INSIDE = 20, 0.8
 LEAST_OUTSIDE, SHARE_OUTSIDE = 3, 0.02
@@ -260,7 +263,7 @@ def families(texts: list[list[str]]) -> np.ndarray:
 class Stream:
     """The pages of a host, or of a chunk of one, end to end as tokens."""
 
-    def __init__(self, pages: list[list[tuple[str, int]]]):
+    def __init__(self, pages: list[list[tuple[str, int]]], family: np.ndarray | None = None):
         self.pages = pages
         flat = [b for p in pages for b in p]
         counts, hashes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
@@ -275,7 +278,7 @@ class Stream:
         self.inside = np.array([k for _, k in flat], dtype=np.int64)[self.block] == INSIDE
         ends = np.cumsum(np.bincount(self.page, minlength=len(pages)))
         self.left = ends[self.page] - np.arange(len(self.tokens))
-        self.family = families([[t for t, _ in p] for p in pages])
+        self.family = families([[t for t, _ in p] for p in pages]) if family is None else family
         self.distinct = len(np.unique(self.family))
         self.whole = np.flatnonzero(self.left >= RUN)
 
@@ -342,96 +345,113 @@ class Stream:
         return out, n_covered.tolist()
 
 
-def _packed(found: list[tuple[str, int]]) -> bytes:
-    raw = "\n".join(f"{k}{t}" for t, k in found).encode()
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+def _packed(pages: list[list[tuple[str, int]]]) -> bytes:
+    raw = "\x00".join("\n".join(f"{k}{t}" for t, k in p) for p in pages).encode()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
-def _unpacked(pack: bytes) -> list[tuple[str, int]]:
+def _unpacked(pack: bytes) -> list[list[tuple[str, int]]]:
     raw = pa.Codec("zstd").decompress(pack[8:], int.from_bytes(pack[:8], "little"), asbytes=True).decode()
-    return [(line[1:], int(line[0])) for line in raw.split("\n")] if raw else []
+    return [[(line[1:], int(line[0])) for line in p.split("\n")] if p else [] for p in raw.split("\x00")]
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for the pages of a host and chunk that are near each other in the input; they compress together."""
     for b in batches:
-        for first in range(0, b.num_rows, 64):
-            part = b.slice(first, 64)
-            packs = [_packed(blocks(page or "")) for page in part["html"].to_pylist()]
-            chunk = [int.from_bytes(hashlib.blake2b(x, digest_size=7).digest(), "big") % n for x, n in zip(packs, part["chunks"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], part["host"], pa.array(chunk, pa.int64()), pa.array(packs, pa.binary())], names=["page_id", "url", "host", "chunk", "pack"])
-
-
-def _stream(rows: pa.Table) -> tuple[Stream, list[int]]:
-    """The stream of a group's pages, which may come in any order, and the place in it of each row."""
-    pages = [_unpacked(x) for x in rows["pack"].to_pylist()]
-    order = sorted(range(len(pages)), key=pages.__getitem__)
-    place = [0] * len(order)
-    for i, row in enumerate(order):
-        place[row] = i
-    return Stream([pages[i] for i in order]), place
-
-
-def _texts(rows: pa.Table, stream: Stream, place: list[int], pages: np.ndarray, distinct: int) -> pa.Table:
-    texts, covered = stream.kept(pages, distinct)
-    return pa.table({"page_id": rows["page_id"], "url": rows["url"], "text": pa.array([texts[i] for i in place], pa.string()), "n_repeated": pa.array([covered[i] for i in place], pa.int64())})
+        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(b["html"]), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < b.num_rows:
+            last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + BATCH_BYTES, "right")))
+            part = b.slice(first, last - first)
+            first = last
+            found = [blocks(page or "") for page in part["html"].to_pylist()]
+            groups: dict[tuple, list[int]] = defaultdict(list)
+            for i, (p, host, n) in enumerate(zip(found, part["host"].to_pylist(), part["chunks"].to_pylist())):
+                chunk = int.from_bytes(hashlib.blake2b(repr(p).encode(), digest_size=7).digest(), "big") % n
+                groups[host, chunk].append(i)
+            rows, ends = pa.array([i for g in groups.values() for i in g]), np.cumsum([0, *map(len, groups.values())])
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), part[c].take(rows)) for c in ("page_id", "url")]
+            packs = pa.array([_packed([found[i] for i in g]) for g in groups.values()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in groups], pa.string()), pa.array([c for _, c in groups], pa.int64()), *lists, packs], names=["host", "chunk", "ids", "urls", "pack"])
+
+
+def _group(rows: pa.Table) -> tuple[pa.Array, pa.Array, list]:
+    """ids, urls and pages of a host or chunk, in the order of the pages' blocks."""
+    pages = [p for x in rows["pack"].to_pylist() for p in _unpacked(x)]
+    order = pa.array(sorted(range(len(pages)), key=pages.__getitem__), pa.int64())
+    ids, urls = (pa.chunked_array([x.values.slice(x.offsets[0].as_py(), x.offsets[-1].as_py() - x.offsets[0].as_py()) for x in rows[c].chunks]).take(order) for c in ("ids", "urls"))
+    return ids, urls, [pages[i] for i in order.to_pylist()]
 
 
 def _alone(rows: pa.Table) -> pa.Table:
     """A host that one array holds."""
-    stream, place = _stream(rows)
-    return _texts(rows, stream, place, stream.repeated(), stream.distinct)
+    ids, urls, pages = _group(rows)
+    stream = Stream(pages)
+    texts, covered = stream.kept(stream.repeated(), stream.distinct)
+    return pa.table({"page_id": ids, "url": urls, "text": pa.array(texts, pa.string()), "n_repeated": pa.array(covered, pa.int64())})
 
 
-def _asked(rows: pa.Table) -> pa.Table:
-    """Runs on more than the least share of a chunk's distinct pages; in a row of its own, with no run, how many these are."""
-    stream, _ = _stream(rows)
+def _opened(rows: pa.Table) -> pa.Table:
+    """A chunk of a host as one row, with the number of its distinct pages and the runs on more than the least share of them."""
+    ids, urls, pages = _group(rows)
+    stream = Stream(pages)
     often = stream.repeated() > min(SHARE_OUTSIDE, SHARE_INSIDE) * stream.distinct
-    grams = np.unique(stream.grams()[often])
-    return pa.table({"host": pa.array([rows["host"][0].as_py()] * (len(grams) + 1), pa.string()), "chunk": pa.array([rows["chunk"][0].as_py()] * (len(grams) + 1), pa.int64()), "gram": pa.array([None, *grams.tolist()], pa.int64()), "pages": pa.array([stream.distinct] + [0] * len(grams), pa.int64())})
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x)
+    return pa.table({
+        "host": rows["host"].slice(0, 1), "ids": one(ids), "urls": one(urls), "pack": pa.array([_packed(pages)], pa.binary()), "family": pa.array([stream.family.astype("<i4").tobytes()], pa.binary()),
+        "distinct": pa.array([stream.distinct], pa.int64()), "asked": pa.array([np.unique(stream.grams()[often]).tolist()], pa.list_(pa.int64())),
+    })
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Stream]]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b, i, Stream(_unpacked(b["pack"][i].as_py()), np.frombuffer(b["family"][i].as_py(), "<i4").astype(np.int64))
 
 
-def _counted(rows: pa.Table, told: pa.Table) -> pa.Table:
-    grams = np.sort(np.array([g for x in told["grams"].to_pylist() for g in x], dtype=np.int64))
-    here, pages = _stream(rows)[0].counted(grams) if len(grams) else (grams, grams)
-    return pa.table({"host": pa.array([rows["host"][0].as_py() if len(here) else None] * len(here), pa.string()), "gram": pa.array(here), "pages": pa.array(pages, pa.int64())})
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b, i, stream in _chunks(batches):
+        grams, pages = stream.counted(np.sort(b["grams"][i].values.to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.array([b["host"][i].as_py()] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(pages, pa.int64())], names=["host", "gram", "pages"])
 
 
-def _chunked(rows: pa.Table, told: pa.Table) -> pa.Table:
-    stream, place = _stream(rows)
-    known = sorted((r["gram"], r["pages"]) for x in told["runs"].to_pylist() for r in x or ())
-    grams, counts = (np.array([k[i] for k in known], dtype=np.int64) for i in (0, 1))
-    mine = stream.grams()
-    pages = np.zeros(len(mine), dtype=np.int64)
-    if len(grams):
-        at = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
-        pages = np.where(grams[at] == mine, counts[at], 0)
-    return _texts(rows, stream, place, pages, told["distinct"][0].as_py())
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b, i, stream in _chunks(batches):
+        runs = b["runs"][i].values
+        mine = stream.grams()
+        pages = np.zeros(len(mine), dtype=np.int64)
+        if runs is not None and len(runs):
+            grams, counts = runs.field("gram").to_numpy(), runs.field("pages").to_numpy()
+            order = np.argsort(grams)
+            at = order[np.minimum(np.searchsorted(grams, mine, sorter=order), len(grams) - 1)]
+            pages = np.where(grams[at] == mine, counts[at], 0)
+        texts, covered = stream.kept(pages, b["all"][i].as_py())
+        yield pa.RecordBatch.from_arrays([b["ids"][i].values, b["urls"][i].values, pa.array(texts, pa.string()), pa.array(covered, pa.int64())], names=["page_id", "url", "text", "n_repeated"])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and n_repeated (tokens that repeated runs cover) of every row of ``pages``."""
-    spark, id_type = pages.sparkSession, pages.schema["page_id"].dataType.simpleString()
-    hosted = pages.select("page_id", "url", "html", host_path(F.col("url"))[0].alias("host"))
+    id_type = pages.schema["page_id"].dataType.simpleString()
+    hosted = pages.select("page_id", "url", "html", F.coalesce(host_path(F.col("url"))[0], F.lit("")).alias("host"))
     sizes = hosted.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 64) / CHUNK_BYTES).alias("chunks"))
     large = durable(sizes.filter("chunks > 1"))
-    parse = lambda df: df.select("page_id", "url", "html", "host", "chunks").mapInArrow(_parsed, f"page_id {id_type}, url string, host string, chunk long, pack binary")
+    parse = lambda df: df.select("page_id", "url", "html", "host", "chunks").mapInArrow(_parsed, f"host string, chunk long, ids array<{id_type}>, urls array<string>, pack binary")
     kind = f"page_id {id_type}, url string, text string, n_repeated long"
     small = hosted.join(bounded(large.select(F.col("host").alias("_host"))), F.col("host") == F.col("_host"), "left_anti")
     out = parse(small.withColumn("chunks", F.lit(1).cast("long"))).groupBy("host").applyInArrow(_alone, kind)
     if large.limit(1).count():
-        held = parse(hosted.join(bounded(large), "host")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "host", "chunk")
-        held = durable(held)
-        found = durable(held.groupBy("host", "chunk").applyInArrow(_asked, "host string, chunk long, gram long, pages long"))
-        here = found.filter("gram IS NULL").select("host", "chunk")
-        totals = found.filter("gram IS NULL").groupBy("host").agg(F.sum("pages").alias("distinct"))
-        asked = found.filter("gram IS NOT NULL").groupBy("host").agg(F.collect_set("gram").alias("grams"))
-        told = here.join(asked, "host", "left").withColumn("grams", F.coalesce("grams", F.array().cast("array<bigint>")))
-        counted = held.groupBy("host", "chunk").cogroup(told.groupBy("host", "chunk")).applyInArrow(_counted, "host string, gram long, pages long")
-        least = F.greatest(F.col("distinct") * min(SHARE_OUTSIDE, SHARE_INSIDE), F.lit(min(LEAST_OUTSIDE, LEAST_INSIDE) - 1))
+        chunk = f"host string, ids array<{id_type}>, urls array<string>, pack binary, family binary, distinct long, asked array<long>"
+        held = durable(parse(hosted.join(bounded(large), "host")).groupBy("host", "chunk").applyInArrow(_opened, chunk))
+        totals = held.groupBy("host").agg(F.sum("distinct").alias("all"))
+        asked = durable(held.select("host", F.explode("asked").alias("gram")).distinct())
+        # a gram is 8 bytes: counted, they go to the chunks; beyond the bound chunks and grams are dealt by host
+        hint = F.broadcast if asked.count() <= ASKED_BROADCAST else (lambda df: df)
+        grams = asked.groupBy("host").agg(F.collect_list("gram").alias("grams"))
+        counted = held.select("host", "pack", "family").join(hint(grams), "host").mapInArrow(_counted, "host string, gram long, pages long")
+        least = F.greatest(F.col("all") * min(SHARE_OUTSIDE, SHARE_INSIDE), F.lit(min(LEAST_OUTSIDE, LEAST_INSIDE) - 1))
         runs = counted.groupBy("host", "gram").agg(F.sum("pages").alias("pages")).join(totals, "host").filter(F.col("pages") > least)
-        runs = durable(runs.groupBy("host").agg(F.collect_list(F.struct("gram", "pages")).alias("runs")))
-        told = here.join(totals, "host").join(runs, "host", "left")
-        out = out.union(held.groupBy("host", "chunk").cogroup(told.groupBy("host", "chunk")).applyInArrow(_chunked, kind))
+        runs = totals.join(runs.groupBy("host").agg(F.collect_list(F.struct("gram", "pages")).alias("runs")), "host", "left")
+        out = out.union(held.join(hint(durable(runs)), "host").select("host", "ids", "urls", "pack", "family", "all", "runs").mapInArrow(_finished, kind))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
 
