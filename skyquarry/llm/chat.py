@@ -118,6 +118,39 @@ def placed(keys: DataFrame, *order: str) -> DataFrame:
     return dealt.withColumn("here", here).join(carried, ["block", "first"], "left").withColumn("place", F.col("here") + F.coalesce("carried", F.lit(0))).drop("block", "at", "here", "carried")
 
 
+def dealt(keys: DataFrame, *order: str) -> DataFrame:
+    """``keys`` in order by ranges, with the range (``_block``) and a number that rises in it (``_at``)."""
+    ranges = min(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // BLOCK))
+    sorted_ = keys.repartitionByRange(max(ranges, 1), *order).sortWithinPartitions(*order)
+    # another sample would give other ranges, so they are kept
+    return durable(sorted_.select("*", F.spark_partition_id().alias("_block"), F.monotonically_increasing_id().alias("_at")))
+
+
+def placed(keys: DataFrame, *order: str) -> DataFrame:
+    """``keys`` with ``place``: where a row stands, from 0, among all with its ``first`` in the order."""
+    here = Window.partitionBy("_block", "first")
+    rows = dealt(keys, "first", *order).withColumns({"here": F.row_number().over(here.orderBy("_at")).cast("long") - 1, "n": F.count(F.lit(1)).over(here)})
+    # only the first and last group of a range lie in others too: two rows a range
+    run = F.struct("first", "n")
+    edges = rows.filter("here = 0").groupBy("_block").agg(F.min(run).alias("head"), F.max(run).alias("tail"))
+    edges = edges.select("_block", F.explode(F.array_distinct(F.array("head", "tail"))).alias("run")).select("_block", "run.first", "run.n")
+    before = F.sum("n").over(Window.partitionBy("first").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.broadcast(edges.select("_block", "first", F.coalesce(before, F.lit(0)).alias("carried")))
+    return rows.join(carried, ["_block", "first"], "left").withColumn("place", F.col("here") + F.coalesce("carried", F.lit(0))).drop("_block", "_at", "here", "n", "carried")
+
+
+def followed(keys: DataFrame, name: str, *order: str) -> DataFrame:
+    """``keys`` with ``next``: what ``name`` is in the row that follows, and in the first after the last."""
+    by = Window.partitionBy("_block").orderBy("_at")
+    rows = dealt(keys, *order).withColumns({"next": F.lead(name).over(by), "nth": F.row_number().over(by)})
+    # a row a range: what its last row is followed by
+    heads = rows.filter("nth = 1").select("_block", F.col(name).alias("head"))
+    every = Window.orderBy("_block")
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = F.broadcast(heads.select("_block", F.coalesce(F.lead("head").over(every), F.first("head").over(whole)).alias("_next")))
+    return rows.join(heads, "_block").withColumn("next", F.coalesce("next", "_next")).drop("_block", "_at", "nth", "_next")
+
+
 def outlines(turns: DataFrame) -> DataFrame:
     """What planning needs of each conversation, in place of its texts: conv_id, digests (of its turns), first, spoken
     (words of the assistant), at, reply and words (place, digest and words of the assistant's last turn, or null)."""
@@ -132,48 +165,44 @@ def outlines(turns: DataFrame) -> DataFrame:
 
 
 def sides(outline: DataFrame) -> DataFrame:
-    """conv_id, chosen_id, rejected_id: the pairs of each group, a row for each of their sides, and a row with a
-    null rejected_id for each conversation without a partner."""
-    keys = outline.filter(F.col("conv_id").isNotNull()).select("conv_id", "first", "digests", "spoken")
-    places = placed(keys, "digests", "conv_id").select("first", F.struct("place", "conv_id", "spoken").alias("side"))
+    """conv_id, chosen_id, rejected_id, at, reply, words: the pairs of each group, a row for each of their sides, and
+    a row with a null rejected_id for each conversation without a partner."""
+    places = placed(outline.filter(F.col("conv_id").isNotNull()), "digests", "conv_id").select("first", F.struct("place", "conv_id", "spoken", "at", "reply", "words").alias("side"))
     two = places.groupBy("first", F.shiftright("side.place", 1).alias("pair")).agg(F.min("side").alias("one"), F.max("side").alias("other"))
     met, swap = F.col("one.place") < F.col("other.place"), F.col("other.spoken") > F.col("one.spoken")
     two = two.select("one", "other", F.when(swap, F.col("other.conv_id")).otherwise(F.col("one.conv_id")).alias("chosen_id"), F.when(met, F.when(swap, F.col("one.conv_id")).otherwise(F.col("other.conv_id"))).alias("rejected_id"))
-    return two.select(F.explode(F.array_distinct(F.array("one.conv_id", "other.conv_id"))).alias("conv_id"), "chosen_id", "rejected_id")
-
-
-def other_replies(turns: DataFrame, outline: DataFrame, alone: DataFrame) -> DataFrame:
-    """_id, at and ``other``, the reply to set in its place, of the conversations of ``alone``."""
-    ends = outline.filter("reply IS NOT NULL")
-    asked = ends.join(alone.select(F.col("conv_id").alias("_id")), F.col("conv_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("conv_id").alias("_id"), "at", "reply")
-    last = ends.groupBy("reply").agg(F.max("words").alias("words")).join(asked.groupBy("reply").agg(F.count(F.lit(1)).alias("asking")), "reply", "left")
-    order = durable(placed(last.select(F.lit(0).alias("first"), "words", "reply", "asking"), "words", "reply"))
-    rows, asking = order.agg(F.count(F.lit(1)), F.sum("asking")).first()
-    wanted = order.filter("asking > 0").select("reply", "asking", F.pmod(F.col("place") + 1, F.lit(max(rows, 1))).alias("place"))
-    wanted = wanted.join(order.select("place", F.col("reply").alias("next")), "place").filter("reply <> next")
+    each = two.select(F.explode(F.array_distinct(F.array("one", "other"))).alias("s"), "chosen_id", "rejected_id").select("s.conv_id", "chosen_id", "rejected_id", "s.at", "s.reply", "s.words")
+    none = outline.filter("conv_id IS NULL").select("conv_id", F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id"), "at", "reply", "words")
+    return each.union(none)
+
+
+def other_replies(turns: DataFrame, plan: DataFrame) -> DataFrame:
+    """_id and ``other``, the reply to set in the place of its last, of the conversations of ``plan`` without a partner."""
+    alone = F.col("rejected_id").isNull()
+    replies = plan.filter("reply IS NOT NULL").groupBy("reply").agg(F.max("words").alias("words"), F.count_if(alone).alias("asking"))
     # replies that more than 1 / OFTEN of the conversations ask for are at most OFTEN; theirs are dealt in blocks
-    bar = max(BLOCK, (asking or 0) // OFTEN)
-    wanted = durable(wanted.select("reply", "next", F.when(F.col("asking") > bar, F.ceil(F.col("asking") / bar)).otherwise(1).cast("int").alias("blocks")))
+    wanted = followed(replies, "reply", "words", "reply").filter("asking > 0 AND reply <> next").select("reply", "next", "asking")
+    wanted = durable(wanted)
+    bar = max(BLOCK, (wanted.agg(F.sum("asking")).first()[0] or 0) // OFTEN)
+    wanted = wanted.withColumn("blocks", F.greatest(F.ceil(F.col("asking") / bar), F.lit(1)).cast("int"))
     hot = F.broadcast(wanted.filter("blocks > 1").select("reply", "blocks"))
-    mine = asked.join(hot, "reply", "left").select("_id", "at", "reply", F.pmod(F.xxhash64("_id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("salt"))
+    asked = plan.filter(alone & F.col("reply").isNotNull()).select(F.col("conv_id").alias("_id"), "reply")
+    mine = asked.join(hot, "reply", "left").select("_id", "reply", F.pmod(F.xxhash64("_id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("salt"))
     spoken = cleaned(turns).filter(F.col("role") == TRAINED).select("text", digest(F.col("text")).alias("next"))
-    texts = spoken.join(wanted.select("next").distinct(), "next", "left_semi").groupBy("next").agg(F.max("text").alias("other"))
-    dealt = wanted.join(texts, "next").select("reply", "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
-    return mine.join(dealt, ["reply", "salt"]).select("_id", "at", "other")
+    texts = spoken.groupBy("next").agg(F.max("text").alias("other"))
+    given = wanted.join(texts, "next").select("reply", "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
+    return mine.join(given, ["reply", "salt"]).select("_id", "other")
 
 
 def paired(turns: DataFrame) -> DataFrame:
     """chosen_id, rejected_id, chosen, rejected, made; every conversation is in one row."""
-    outline = durable(outlines(turns))
-    plan = durable(sides(outline))
+    plan = durable(sides(durable(outlines(turns))))
     convs = conversations(turns)
-    met = convs.join(plan.filter("rejected_id IS NOT NULL"), "conv_id").groupBy("chosen_id", "rejected_id").agg(
+    met = convs.join(plan.filter("rejected_id IS NOT NULL").select("conv_id", "chosen_id", "rejected_id"), "conv_id").groupBy("chosen_id", "rejected_id").agg(
         F.max(F.when(F.col("conv_id") == F.col("chosen_id"), F.col("turns"))).alias("chosen"), F.max(F.when(F.col("conv_id") == F.col("rejected_id"), F.col("turns"))).alias("rejected"), F.lit(False).alias("made")
     )
-    alone = plan.filter("rejected_id IS NULL").select("conv_id").union(outline.filter("conv_id IS NULL").select("conv_id"))
-    other = other_replies(turns, outline, alone)
-    mine = alone.select(F.col("conv_id").alias("_alone")).join(other, F.col("_alone").eqNullSafe(F.col("_id")), "left").select("_alone", "at", "other")
-    mine = convs.join(mine, F.col("conv_id").eqNullSafe(F.col("_alone")))
+    alone = plan.filter("rejected_id IS NULL").select(F.col("conv_id").alias("_alone"), "at")
+    mine = convs.join(alone, F.col("conv_id").eqNullSafe(F.col("_alone"))).join(other_replies(turns, plan), F.col("conv_id").eqNullSafe(F.col("_id")), "left")
     reply = F.struct(F.get("turns", F.col("at"))["turn"].alias("turn"), F.lit(TRAINED).alias("role"), F.col("other").alias("text"))
     made = F.when(F.col("other").isNotNull(), F.concat(F.slice("turns", F.lit(1), F.coalesce("at", F.lit(0))), F.array(reply))).cast(_TURN)
     none = F.lit(None).cast(turns.schema["conv_id"].dataType)
