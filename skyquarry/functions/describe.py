@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.spatial import LIGHT_SECOND, LIGHT_YEAR
@@ -21,6 +21,9 @@ FUEL = {"A": 12.0, "B": 10.0, "C": 8.0, "D": 10.0, "E": 11.0}
 EXPONENT = {2: 2.0, 3: 2.15, 4: 2.3, 5: 2.45, 6: 2.6, 7: 2.75, 8: 2.9}
 RUNGS = (0.0, 2.0, 8.0, 32.0, 128.0, 512.0, 2048.0)
 RUNG_HOLD = 0.7
+# Metres in a solar radius, metres per second squared in a gravity, pascals in an atmosphere.
+SOLAR_RADIUS, GRAVITY, ATMOSPHERE = 6.957e8, 9.80665, 101_325.0
+UNKNOWN = "Unknown"
 
 
 def hue(column: str, hues: dict[str, str]) -> Column:
@@ -136,3 +139,60 @@ def shortened(label: Column, room: int) -> Column:
 def or_dashes(value: Column) -> Column:
     """A value on a page, or what stands for a missing one."""
     return F.coalesce(value.cast("string"), F.lit("---"))
+
+
+def _said(form: str, value: Column) -> Column:
+    """``value`` as ``form`` says; what lies halfway goes to the even digit."""
+    digits = int(form.split(".")[1][0])
+    return F.when(value.isNotNull(), F.format_string(form, F.bround(value.cast("double"), digits)))
+
+
+def light_seconds_away(away: Column) -> Column:
+    return F.coalesce(_said("%.1f Ls", away), F.lit(UNKNOWN))
+
+
+def kilometres(metres: Column) -> Column:
+    return F.concat(thousands(F.floor(metres / 1e3)), F.lit(" km"))
+
+
+def solar_radii(metres: Column) -> Column:
+    return _said("%.3f Sol", metres / SOLAR_RADIUS)
+
+
+def gravities(pull: Column) -> Column:
+    return _said("%.2f g", pull / GRAVITY)
+
+
+def atmospheres(pascals: Column) -> Column:
+    return _said("%.3f atm", pascals / ATMOSPHERE)
+
+
+def kelvins(temperature: Column) -> Column:
+    return _said("%.0f K", temperature)
+
+
+def degrees(angle: Column) -> Column:
+    return _said("%.1f°", angle)
+
+
+def star_said(stars: DataFrame) -> DataFrame:
+    """``stars`` with what is said of each: its class, size and mass in suns, warmth and age."""
+    age = F.concat(thousands(F.greatest(F.col("age_my"), F.lit(0))), F.lit(" million years"))
+    return stars.withColumns({
+        "class": F.concat("star_class", F.col("subclass").cast("string")), "radius_said": solar_radii(F.col("radius")), "mass": _said("%.3f Sol", F.col("stellar_mass")),
+        "warmth": kelvins(F.col("temperature")), "age": age, "distance": light_seconds_away(F.col("arrival")), "magnitude": _said("%.2f", F.col("absolute_magnitude")),
+    })
+
+
+def body_said(bodies: DataFrame) -> DataFrame:
+    """``bodies`` (planet_class, arrival, radius, mass, gravity, temperature, surface, rotation, tilt) with what is said of each;
+    one without a surface says so once."""
+    has = F.col("surface").isNotNull()
+    return bodies.withColumns({
+        "distance": light_seconds_away(F.col("arrival")), "radius_said": kilometres(F.col("radius")), "mass_said": _said("%.3f Earths", F.col("mass")), "gravity_said": gravities(F.col("gravity")), "warmth": kelvins(F.col("temperature")),
+        "surface_said": F.when(~has, "None"), "pressure_said": F.when(has, atmospheres(F.col("surface.pressure"))), "turn": spent(F.col("rotation")), "tilt_said": degrees(F.col("tilt")),
+    })
+
+
+def route_label(first: Column, last: Column) -> Column:
+    return F.concat(first, F.lit(" -> "), last)

@@ -99,3 +99,15 @@ def tally(df: DataFrame, within, admitted) -> DataFrame:
 
 def counted(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"))
+
+
+def listed_factions(memberships: DataFrame, names: DataFrame) -> DataFrame:
+    """system_address, faction_id, name, place: the named first and by name, those without one last by id."""
+    named = memberships.select("system_address", "faction_id").join(names.select(F.col("id").alias("faction_id"), "name"), "faction_id", "left")
+    order = Window.partitionBy("system_address").orderBy(F.col("name").isNull(), "name", "faction_id")
+    return named.withColumn("place", F.row_number().over(order) - 1)
+
+
+def in_order(rows: DataFrame, away: str, place: str) -> DataFrame:
+    """By distance where there is one, else last; rows that tie keep the order they came in."""
+    return rows.orderBy(F.col(away).asc_nulls_last(), place)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .analytics import systems_of_faction
+
 
 @dataclass(frozen=True)
 class Filter:
@@ -17,6 +19,7 @@ class Filter:
     addresses: tuple[int, ...] = ()
     range: float | None = None
     enabled: bool = True
+    name: str | None = None
 
     @property
     def ordered(self) -> bool:
@@ -98,6 +101,13 @@ def admitted_in_range(near: DataFrame, memberships: DataFrame, factions: list[in
     return listed.union(near.join(held, "address", "left_semi").select("address")).distinct()
 
 
+def systems_of(one: Filter, systems: DataFrame, memberships: DataFrame, factions: DataFrame) -> DataFrame:
+    """The systems that a filter is about: those of a faction, whose name is taken as a pattern, or those it lists."""
+    if one.faction is not None:
+        return systems_of_faction(systems, memberships, factions, one.name or "").drop("faction_id")
+    return systems.filter(F.col("address").isin(list(one.addresses)))
+
+
 def unspawned(picked: DataFrame, spawned: DataFrame) -> DataFrame:
     """Picked addresses not there yet, in the order of picking, each once."""
     first = picked.groupBy("address").agg(F.min("place").alias("place"))

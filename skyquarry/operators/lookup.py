@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .merge import parents_of
+
 
 def with_factions(systems: DataFrame, memberships: DataFrame) -> DataFrame:
     """``systems`` with their faction ids in order, an empty array where there are none."""
@@ -17,8 +19,10 @@ def by_address(systems: DataFrame, memberships: DataFrame, address: int) -> Data
 
 
 def by_name(systems: DataFrame, memberships: DataFrame, name: str) -> DataFrame:
-    """Names aren't unique; the least address wins."""
-    return with_factions(systems.filter(F.col("name") == name.upper()).orderBy("address").limit(1), memberships)
+    """Names aren't unique; the least address wins. Only the one system's memberships are aggregated."""
+    found = systems.filter(F.col("name") == name.upper()).orderBy("address").limit(1)
+    one = F.broadcast(found.select(F.col("address").alias("system_address")))  # one row
+    return with_factions(found, memberships.join(one, "system_address", "left_semi"))
 
 
 def by_addresses(systems: DataFrame, memberships: DataFrame, addresses: list[int]) -> DataFrame:
@@ -68,6 +72,18 @@ def composed(bodies: DataFrame) -> DataFrame:
     return bodies.withColumn("surface", surface)
 
 
+ORBIT = ("semi_major_axis", "eccentricity", "inclination", "periapsis", "ascending_node", "mean_anomaly", "orbital_period")
+
+
+def orbiting(df: DataFrame) -> DataFrame:
+    """``df`` with ``orbit``, there only if all its parts are, and ``parents`` where ids and types of ancestors are."""
+    whole = F.lit(True)
+    for c in ORBIT:
+        whole &= F.col(c).isNotNull()
+    out = df.withColumn("orbit", F.when(whole, F.struct(*ORBIT)))
+    return out.withColumn("parents", parents_of(F.col("parent_ids"), F.col("parent_types"))) if "parent_ids" in df.columns else out
+
+
 def of_system(table: DataFrame, address: int, **keys: object) -> DataFrame:
     """Stars, barycenters, stations or bodies of a system, or the one of the given id or name."""
     found = table.filter(F.col("system_address") == address)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cut import numbered
+
 ARRIVAL = ("arrival", "event_id")
 
 
@@ -46,6 +48,24 @@ def arrival_upsert(current: DataFrame, events: DataFrame, keys: list[str], attri
     return made.join(_last(rows, keys, ["updated_at"], False), keys)
 
 
+def mixed_upsert(current: DataFrame, events: DataFrame, keys: list[str], attributes: list[str], *, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Fold in, as they came, events that are ``guarded`` and ones that aren't; a null keeps the old value.
+
+    An unguarded event always applies and sets the time that guarded ones after it must be newer than,
+    so each opens a part of its own, in which the times only rise. ``kept`` columns are those that only
+    guarded events write.
+    """
+    columns = [*keys, *attributes, *kept, "updated_at"]
+    old = current.select(*columns, F.lit(-1).cast("long").alias("arrival"), F.lit(-1).cast("long").alias("event_id"), F.lit(False).alias("guarded"))
+    rows = old.unionByName(events.select(*columns, *ARRIVAL, "guarded"))
+    part = F.count_if(~F.col("guarded")).over(Window.partitionBy(*keys).orderBy(*ARRIVAL).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.max("updated_at").over(Window.partitionBy(*keys, "_part").orderBy(*ARRIVAL).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_part", part).withColumn("_before", before).filter("NOT guarded OR _before IS NULL OR updated_at > _before")
+    order = F.struct(*ARRIVAL)
+    pick = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in (*attributes, *kept)]
+    return rows.groupBy(*keys).agg(*pick, F.max_by("updated_at", order).alias("updated_at"))
+
+
 def last_arrival(events: DataFrame, keys: list[str]) -> DataFrame:
     """The row of each key that came last; for tables that are overwritten whole."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in ARRIVAL])
@@ -55,16 +75,16 @@ def last_arrival(events: DataFrame, keys: list[str]) -> DataFrame:
 def canonical_factions(names: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """id, name for each spelling-blind name: the spelling that came first stays, new ids follow old ones.
 
-    ``names``: name, arrival. Ids are dense by arrival; they are numbered in one pass over distinct
-    names only.
+    ``names``: name, arrival. Ids are dense by arrival, over distinct names only.
     """
     first = names.groupBy(F.lower("name").alias("key")).agg(F.min_by("name", F.struct("arrival", "name")).alias("name"), F.min(F.struct("arrival", "name")).alias("at"))
+    if current is not None:
+        first = first.join(current.select(F.lower("name").alias("key")), "key", "left_anti")
+    made = numbered(first, F.col("at")).select((F.col("place") + 1).cast("int").alias("id"), "name")
     if current is None:
-        return first.select(F.row_number().over(Window.orderBy("at")).cast("int").alias("id"), "name")
-    fresh = first.join(current.select(F.lower("name").alias("key")), "key", "left_anti")
-    top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = fresh.crossJoin(F.broadcast(top)).select((F.col("top") + F.row_number().over(Window.orderBy("at"))).cast("int").alias("id"), "name")
-    return current.select("id", "name").union(numbered)
+        return made
+    top = current.agg(F.max("id")).first()[0] or 0
+    return current.select("id", "name").union(made.select((F.col("id") + top).alias("id"), "name"))
 
 
 def memberships(events: DataFrame) -> DataFrame:
@@ -84,10 +104,21 @@ def _with_status(status: str):
 
 
 def conflict_upsert(events: DataFrame, factions: DataFrame) -> DataFrame:
-    """Conflicts by the ids of the named factions, last arrival; events with an unknown name are errors and left out."""
+    """Conflicts by the ids of the named factions, last arrival; ``unknown_factions`` has the events that are left out."""
+    known = _sided(events, factions).filter("faction_1_id IS NOT NULL AND faction_2_id IS NOT NULL")
+    return last_arrival(known, ["system_address", "faction_1_id", "faction_2_id"])
+
+
+def _sided(events: DataFrame, factions: DataFrame) -> DataFrame:
     side = lambda i: factions.select(F.lower("name").alias(f"key_{i}"), F.col("id").alias(f"faction_{i}_id"))
-    known = events.withColumns({f"key_{i}": F.lower(f"faction_{i}") for i in (1, 2)}).join(side(1), "key_1").join(side(2), "key_2")
-    return last_arrival(known.drop("key_1", "key_2"), ["system_address", "faction_1_id", "faction_2_id"])
+    return events.withColumns({f"key_{i}": F.lower(f"faction_{i}") for i in (1, 2)}).join(side(1), "key_1", "left").join(side(2), "key_2", "left").drop("key_1", "key_2")
+
+
+def unknown_factions(events: DataFrame, factions: DataFrame) -> DataFrame:
+    """Conflict events that name a faction not on record, with ``error``."""
+    sided = _sided(events, factions)
+    missing = F.when(F.col("faction_1_id").isNull(), F.col("faction_1")).when(F.col("faction_2_id").isNull(), F.col("faction_2"))
+    return sided.withColumn("error", F.concat(F.lit("No faction named "), missing)).filter("error IS NOT NULL").drop("faction_1_id", "faction_2_id")
 
 
 def insert_missing(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,6 +147,12 @@ def adopt_waiting(markets: DataFrame, systems: DataFrame) -> DataFrame:
     return markets.join(known, F.upper("system_name") == F.col("key"), "left").withColumn("system_address", F.coalesce("system_address", "found")).drop("key", "found")
 
 
+def adopted_stations(stations: DataFrame, markets: DataFrame, systems: DataFrame) -> DataFrame:
+    """``stations`` and those of markets that waited for a system that is now known, where they are missing."""
+    waiting = adopt_waiting(markets.filter("system_address IS NULL"), systems).filter("system_address IS NOT NULL")
+    return insert_missing(stations, waiting.select("system_address", F.col("station_name").alias("name")), ["system_address", "name"])
+
+
 def materials(readings: DataFrame) -> DataFrame:
     """Materials of bodies from the last event; of a name read twice the first reading stays. ``readings``: ..., pos."""
     w = Window.partitionBy("system_address", "body_id", "name").orderBy("pos")
@@ -127,6 +164,19 @@ def delete(current: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return current.join(keys.select(*on), on, "left_anti")
 
 
+def insert_articles(current: DataFrame, new: DataFrame) -> DataFrame:
+    """``current`` and the ``new`` articles (title, date, body, arrival), with ids that follow the greatest there is."""
+    top = current.agg(F.max("id")).first()[0] or 0
+    made = numbered(new, F.struct("arrival", "title")).select((F.col("place") + top + 1).cast(current.schema["id"].dataType).alias("id"), "title", "date", "body")
+    return current.select("id", "title", "date", "body").unionByName(made)
+
+
+def named_after_system(rows: DataFrame, systems: DataFrame) -> DataFrame:
+    """``rows`` with a missing name taken from their system, and all names in lower case."""
+    known = systems.select(F.col("address").alias("system_address"), F.col("name").alias("_system"))
+    return rows.join(known, "system_address", "left").withColumn("name", F.lower(F.coalesce("name", "_system"))).drop("_system")
+
+
 def influence_changes(events: DataFrame) -> DataFrame:
     """Change capture: a row for each accepted event whose influence differs from the last accepted one."""
     keys = ["system_address", "faction_id"]

@@ -8,42 +8,31 @@ too far from the goal for the jumps left are pruned.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cut import cut
 from .spatial import band_join, distance
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skyquarry-"))
-    return df.checkpoint(eager=True)
-
-
 def levels(systems: DataFrame, start: int, range_ly: float, *, goal: int | None = None, max_jumps: int | None = None) -> DataFrame:
     """address, hop, parent of every system reached from ``start``, until ``goal`` is among them."""
     places = systems.filter(F.col("x").isNotNull()).select("address", "x", "y", "z")
     end = places.filter(F.col("address") == goal).first() if goal is not None and max_jumps is not None else None
-    frontier = _cut(places.filter(F.col("address") == start).withColumns({"hop": F.lit(0), "parent": F.lit(None).cast("long")}))
-    reached, hop = frontier, 0
+    reached, hop = cut(places.filter(F.col("address") == start).withColumns({"hop": F.lit(0), "parent": F.lit(None).cast("long")})), 0
     while goal != start and (max_jumps is None or hop < max_jumps):
         hop += 1
-        near = band_join(frontier.select("address", "x", "y", "z"), places, range_ly)
+        near = band_join(reached.filter(F.col("hop") == hop - 1).select("address", "x", "y", "z"), places, range_ly)
         if end is not None:
             left = distance(F.col("b_x"), F.col("b_y"), F.col("b_z"), F.lit(end.x), F.lit(end.y), F.lit(end.z))
             near = near.filter(left <= range_ly * (max_jumps - hop) + 1e-9)
-        fresh = near.groupBy(F.col("b_address").alias("address")).agg(F.min("a_address").alias("parent")).join(reached.select("address"), "address", "left_anti")
-        frontier = _cut(places.join(fresh, "address").select("address", "x", "y", "z", F.lit(hop).alias("hop"), "parent"))
-        if not frontier.limit(1).count():
-            break
-        reached = reached.unionByName(frontier)
-        if goal is not None and frontier.filter(F.col("address") == goal).limit(1).count():
+        found = near.groupBy(F.col("b_address").alias("address")).agg(F.min("a_address").alias("parent"), *[F.first(f"b_{c}").alias(c) for c in "xyz"])
+        fresh = found.join(reached.select("address"), "address", "left_anti").select("address", "x", "y", "z", F.lit(hop).alias("hop"), "parent")
+        # one table of all levels, written once a level: neither the union of levels nor the scan of places grows with them
+        reached = cut(reached.unionByName(fresh))
+        new = reached.filter(F.col("hop") == hop)
+        rows, met = new.agg(F.count(F.lit(1)), F.coalesce(F.count_if(F.col("address") == goal), F.lit(0)) if goal is not None else F.lit(0)).first()
+        if not rows or met:
             break
     return reached.select("address", "hop", "parent", "x", "y", "z")
 
@@ -53,7 +42,7 @@ def route(systems: DataFrame, start: int, goal: int, range_ly: float, *, max_jum
 
     Of the shortest routes the one that comes from least addresses. The walk back takes one row a jump.
     """
-    tree = _cut(levels(systems, start, range_ly, goal=goal, max_jumps=max_jumps))
+    tree = cut(levels(systems, start, range_ly, goal=goal, max_jumps=max_jumps))
     found = tree.filter(F.col("address") == goal)
     path = step = found
     while (row := step.select("parent").first()) is not None and row.parent is not None:

@@ -51,20 +51,20 @@ def position_of(df: DataFrame, name: str) -> tuple[float, float, float] | None:
 def band_join(left: DataFrame, right: DataFrame, radius: float, *, prefix: tuple[str, str] = ("a_", "b_")) -> DataFrame:
     """All pairs within the radius, by an equi-join on grid cells as wide as the radius.
 
-    A left row looks into 27 cells and a right row lies in one, so no pair comes twice. Rows without
-    a position pair with nothing. At radius 0 the cell is a position.
+    A left row looks into 27 cells and a right row lies in one, so no pair comes twice. Rows without a position pair with nothing. At radius 0
+    the cell is a position.
     """
     a, b = (df.filter(F.col("x").isNotNull()).select([F.col(c).alias(p + c) for c in df.columns]) for df, p in zip((left, right), prefix))
     p, q = prefix
     if radius <= 0:
         return a.join(b, [F.col(p + c) == F.col(q + c) for c in "xyz"]).withColumn("distance", F.lit(0.0))
-    for c in "xyz":
-        at = F.floor(F.col(p + c) / radius)
-        a = a.withColumn(f"cell_{c}", F.explode(F.array(at - 1, at, at + 1)))
-        b = b.withColumn(f"of_{c}", F.floor(F.col(q + c) / radius))
+    cell = lambda k: F.struct(*[F.floor(F.col(k + c) / radius).alias(c) for c in "xyz"])
+    steps = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("xyz", (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    around = F.transform(steps, lambda s: F.struct(*[(F.col("_home")[c] + s[c]).alias(c) for c in "xyz"]))
+    looked = a.withColumn("_home", cell(p)).select("*", F.explode(around).alias("_cell"))
     d = distance(*[F.col(p + c) for c in "xyz"], *[F.col(q + c) for c in "xyz"])
-    met = a.join(b, [F.col(f"cell_{c}") == F.col(f"of_{c}") for c in "xyz"]).withColumn("distance", d).filter(F.col("distance") <= radius)
-    return met.drop(*[f"{k}_{c}" for k in ("cell", "of") for c in "xyz"])
+    met = looked.join(b.withColumn("_of", cell(q)), F.col("_cell") == F.col("_of")).withColumn("distance", d).filter(F.col("distance") <= radius)
+    return met.drop("_home", "_cell", "_of")
 
 
 def nearest(df: DataFrame, point: tuple[float, float, float], reach: float) -> DataFrame:

@@ -121,19 +121,28 @@ def _(c):
     return lookup.composed(c.bodies).select("system_address", "id", F.col("surface").isNotNull().alias("has_surface"), F.col("surface.composition").isNotNull().alias("has_composition"))
 
 
-@query("st1_star", "SELECT * FROM bodies WHERE system_address = 4 AND id = 0")
+_ORBIT = "semi_major_axis IS NOT NULL AND eccentricity IS NOT NULL AND inclination IS NOT NULL AND periapsis IS NOT NULL AND ascending_node IS NOT NULL AND mean_anomaly IS NOT NULL AND orbital_period IS NOT NULL"
+_STAR = f"SELECT system_address, id, name, star_class, subclass, stellar_mass, radius, temperature, age_my, CASE WHEN {_ORBIT} THEN semi_major_axis END AS axis, [parent_id] AS parent_ids FROM stars"
+
+
+def _star(stars):
+    made = lookup.orbiting(stars.withColumns({"parent_ids": F.array("parent_id"), "parent_types": F.array(F.lit("Star"))}))
+    return made.select("system_address", "id", "name", "star_class", "subclass", "stellar_mass", "radius", "temperature", "age_my", F.col("orbit.semi_major_axis").alias("axis"), F.col("parents.id").alias("parent_ids"))
+
+
+@query("st1_star", f"{_STAR} WHERE system_address = 4 AND id = 0")
 def _(c):
-    return lookup.of_system(c.bodies, 4, id=0)
+    return _star(lookup.of_system(c.stars, 4, id=0))
 
 
-@query("st2_stars", "SELECT * FROM bodies WHERE system_address = 5 AND id = 0")
+@query("st2_stars", f"{_STAR} WHERE system_address = 5")
 def _(c):
-    return lookup.of_system(c.bodies.filter("id = 0"), 5)
+    return _star(lookup.of_system(c.stars, 5))
 
 
-@query("by1_barycenters", "SELECT * FROM bodies WHERE system_address = 5 AND id IN (1, 2)")
+@query("by1_barycenters", f"SELECT system_address, id, CASE WHEN {_ORBIT} THEN semi_major_axis END AS axis FROM barycenters WHERE system_address = 5")
 def _(c):
-    return lookup.of_system(c.bodies.filter("id IN (1, 2)"), 5)
+    return lookup.orbiting(lookup.of_system(c.barycenters, 5)).select("system_address", "id", F.col("orbit.semi_major_axis").alias("axis"))
 
 
 @query("sn1_station", "SELECT * FROM stations WHERE system_address = 4 AND name = 'Supplier#000000004'")
@@ -276,10 +285,10 @@ def _(c):
     return spatial.nearest(c.systems, (1, 2, 3), 60.0).select("address", "distance")
 
 
-@query("g12_framing", """WITH box AS (SELECT (min(x) + max(x)) / 2 AS middle_x, (min(y) + max(y)) / 2 AS middle_y, (min(z) + max(z)) / 2 AS middle_z FROM systems WHERE address < 50)
-    SELECT middle_x, middle_y, middle_z, max(sqrt((x - middle_x) * (x - middle_x) + (y - middle_y) * (y - middle_y) + (z - middle_z) * (z - middle_z))) AS extent FROM systems, box WHERE address < 50 GROUP BY ALL""")
+@query("g12_framing", """WITH box AS (SELECT (min(x) + max(x)) / 2 AS middle_x, (min(y) + max(y)) / 2 AS middle_y, (min(z) + max(z)) / 2 AS middle_z FROM systems)
+    SELECT middle_x, middle_y, middle_z, max(sqrt((x - middle_x) * (x - middle_x) + (y - middle_y) * (y - middle_y) + (z - middle_z) * (z - middle_z))) AS extent FROM systems, box GROUP BY ALL""")
 def _(c):
-    return spatial.framing(c.systems.filter("address < 50"))
+    return spatial.framing(c.systems)
 
 
 @query("g13_units", "SELECT address, x * 9.4607304725808e15 AS metres, x * 9.4607304725808e15 / 2.99792458e8 AS light_seconds FROM systems")
@@ -292,7 +301,7 @@ def _(c):
     return spatial.picked_distance(c.systems.filter("address IN (3, 9)"))
 
 
-@query("p10_route_ends", "SELECT 'A route runs between two systems for now' AS message")
+@query("p10_route_ends", "SELECT CASE count(*) WHEN 0 THEN 'Pick out two systems to plot between' WHEN 1 THEN 'Pick out a second system to plot to' WHEN 2 THEN NULL ELSE 'A route runs between two systems for now' END AS message FROM systems WHERE address IN (3, 9, 11)")
 def _(c):
     return spatial.route_ends(c.systems.filter("address IN (3, 9, 11)"))
 
@@ -423,11 +432,11 @@ def _(c):
     return windows.latest(c.commodities, ["market_id", F.substring("name", 1, 5)], [F.col("listed_at").desc(), F.col("name").desc()]).select("market_id", "name", "stock", "listed_at")
 
 
-_STOPS = "SELECT government AS route, address AS hop, address, x, y, z FROM systems WHERE x IS NOT NULL AND address < 200"
+_STOPS = "SELECT government AS route, address AS hop, address, x, y, z FROM systems WHERE x IS NOT NULL"
 
 
 def _stops(c):
-    return c.positioned.filter("address < 200").select(F.col("government").alias("route"), F.col("address").alias("hop"), "address", "x", "y", "z")
+    return c.positioned.select(F.col("government").alias("route"), F.col("address").alias("hop"), "address", "x", "y", "z")
 
 
 @query("w02_legs", f"SELECT s.*, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) + (z - lag(z) OVER w) * (z - lag(z) OVER w)) AS leg FROM ({_STOPS}) s WINDOW w AS (PARTITION BY route ORDER BY hop)")
@@ -442,20 +451,19 @@ def _(c):
 
 @query("w04_report", f"""WITH legs AS (SELECT s.*, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) + (z - lag(z) OVER w) * (z - lag(z) OVER w)) AS leg FROM ({_STOPS}) s WINDOW w AS (PARTITION BY route ORDER BY hop)),
     made AS (SELECT route, count(*) - 1 AS jumps, coalesce(sum(leg), 0.0) AS path, arg_min(x, hop) AS ax, arg_min(y, hop) AS ay, arg_min(z, hop) AS az, arg_max(x, hop) AS bx, arg_max(y, hop) AS by_, arg_max(z, hop) AS bz FROM legs GROUP BY route)
-    SELECT route, jumps, round(path, 6) AS path, round(sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_) + (az - bz) * (az - bz)), 6) AS straight FROM made""")
+    SELECT route, jumps, round(path, 3) AS path, round(sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_) + (az - bz) * (az - bz)), 6) AS straight FROM made""")
 def _(c):
-    return windows.report(_stops(c)).select("route", "jumps", F.round("path", 6).alias("path"), F.round("straight", 6).alias("straight"))
+    return windows.report(_stops(c)).select("route", "jumps", F.round("path", 3).alias("path"), F.round("straight", 6).alias("straight"))
 
 
-@query("w05_prev_next", f"""WITH r AS (SELECT 0 AS route, address AS hop, address FROM systems WHERE address BETWEEN 1 AND 9 UNION ALL SELECT 1, 20 - address, address FROM systems WHERE address BETWEEN 3 AND 8 UNION ALL SELECT 2, address, address * 2 FROM systems WHERE address < 8),
+@query("w05_prev_next", """WITH r AS (SELECT government AS route, address AS hop, address FROM systems UNION ALL SELECT allegiance, -address, address FROM systems UNION ALL SELECT security, address % 1000 * 100000 + address, address FROM systems),
     a AS (SELECT *, lag(address) OVER w AS behind, lead(address) OVER w AS ahead FROM r WINDOW w AS (PARTITION BY route ORDER BY hop)),
     b AS (SELECT route, 0 AS turn, behind AS address, 'last' AS way FROM a WHERE address = 4 UNION ALL SELECT route, 1, ahead, 'next' FROM a WHERE address = 4)
-    SELECT address, way FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY route, turn) AS n FROM b WHERE address IS NOT NULL) t WHERE n = 1""")
+    SELECT address, way FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY route NULLS FIRST, turn) AS n FROM b WHERE address IS NOT NULL) t WHERE n = 1""")
 def _(c):
-    s = c.systems
-    one = s.filter("address BETWEEN 1 AND 9").selectExpr("0 AS route", "address AS hop", "address")
-    two = s.filter("address BETWEEN 3 AND 8").selectExpr("1 AS route", "20 - address AS hop", "address")
-    return windows.neighbours(one.union(two).union(s.filter("address < 8").selectExpr("2 AS route", "address AS hop", "address * 2 AS address")), 4)
+    hops = {"government": "address", "allegiance": "-address", "security": "address % 1000 * 100000 + address"}
+    one, two, three = (c.systems.selectExpr(f"{route} AS route", f"{hop} AS hop", "address") for route, hop in hops.items())
+    return windows.neighbours(one.union(two).union(three), 4)
 
 
 # Merges
@@ -467,20 +475,29 @@ def _updates(c):
     return c.events.selectExpr("event_id % 97 AS address", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS population", "CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS government", "ts AS updated_at", "event_id + (event_id * 7919 % 2000) AS arrival", "event_id")
 
 
-_OLD = "SELECT address, population, government, updated_at, -1 AS arrival, -1 AS event_id FROM systems WHERE address < 60"
+_OLD = "SELECT address, population, government, updated_at, -1 AS arrival, -1 AS event_id FROM systems"
 
 
 @query("m01_guarded_upsert", f"""WITH rows_ AS ({_OLD} UNION ALL {_UPDATES}), seen AS (SELECT *, max(updated_at) OVER (PARTITION BY address ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM rows_),
     ok AS (SELECT *, arrival * 1000000 + event_id AS o FROM seen WHERE before IS NULL OR updated_at > before)
     SELECT address, arg_max(population, o) FILTER (population IS NOT NULL) AS population, arg_max(government, o) FILTER (government IS NOT NULL) AS government, max(updated_at) AS updated_at FROM ok GROUP BY address""")
 def _(c):
-    return merge.guarded_upsert(c.systems.filter("address < 60"), _updates(c), ["address"], ["population", "government"])
+    return merge.guarded_upsert(c.systems, _updates(c), ["address"], ["population", "government"])
 
 
 @query("m02_arrival_upsert", f"""WITH ok AS (SELECT *, arrival * 1000000 + event_id AS o FROM ({_OLD} UNION ALL {_UPDATES}) t)
     SELECT address, arg_max(population, o) FILTER (population IS NOT NULL) AS population, arg_max(government, o) FILTER (government IS NOT NULL) AS government, arg_max(updated_at, o) AS updated_at FROM ok GROUP BY address""")
 def _(c):
-    return merge.arrival_upsert(c.systems.filter("address < 60"), _updates(c), ["address"], ["population", "government"])
+    return merge.arrival_upsert(c.systems, _updates(c), ["address"], ["population", "government"])
+
+
+@query("m02b_mixed_upsert", f"""WITH ev AS (SELECT *, event_id % 3 > 0 AS guarded FROM ({_UPDATES}) u UNION ALL SELECT *, FALSE FROM ({_OLD}) o),
+    cut AS (SELECT *, count(*) FILTER (NOT guarded) OVER (PARTITION BY address ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM ev),
+    seen AS (SELECT *, max(updated_at) OVER (PARTITION BY address, part ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cut),
+    ok AS (SELECT *, arrival * 1000000 + event_id AS o FROM seen WHERE NOT guarded OR before IS NULL OR updated_at > before)
+    SELECT address, arg_max(population, o) FILTER (population IS NOT NULL) AS population, arg_max(government, o) FILTER (government IS NOT NULL) AS government, arg_max(updated_at, o) AS updated_at FROM ok GROUP BY address""")
+def _(c):
+    return merge.mixed_upsert(c.systems, _updates(c).withColumn("guarded", F.col("event_id") % 3 > 0), ["address"], ["population", "government"])
 
 
 @query("m03_faction_canon", """WITH n AS (SELECT CASE WHEN s_suppkey % 2 = 1 THEN upper(s_name) ELSE s_name END AS name, s_suppkey AS arrival FROM supplier UNION ALL SELECT s_name, s_suppkey + 3 FROM supplier),
@@ -551,6 +568,13 @@ def _(c):
     return merge.adopt_waiting(c.markets.select("id", "system_name", "system_address"), c.systems)
 
 
+@query("m10b_adopted_stations", """SELECT system_address, name, ty FROM stations UNION ALL SELECT DISTINCT s.address, concat('dock ', m.station_name), CAST(NULL AS VARCHAR) FROM markets m JOIN systems s ON s.name = upper(m.system_name)
+    WHERE m.system_address IS NULL AND NOT EXISTS (SELECT 1 FROM stations t WHERE t.system_address = s.address AND t.name = concat('dock ', m.station_name))""")
+def _(c):
+    waiting = c.markets.withColumn("station_name", F.concat(F.lit("dock "), "station_name"))
+    return merge.adopted_stations(c.stations.select("system_address", "name", "ty"), waiting, c.systems).select("system_address", "name", "ty")
+
+
 @query("m11_materials", "SELECT system_address, body_id, name, percent FROM (SELECT *, row_number() OVER (PARTITION BY system_address, body_id, name ORDER BY percent) AS n FROM body_materials) t WHERE n = 1")
 def _(c):
     return merge.materials(c.body_materials.withColumn("pos", F.col("percent"))).select("system_address", "body_id", "name", "percent")
@@ -601,9 +625,9 @@ def _(c):
     return lookup.with_factions(c.systems, c.system_factions).select("address", P.admitted(_LISTS).alias("admitted"))
 
 
-@query("p06_place", "SELECT address, CASE address WHEN 5 THEN 0 WHEN 9 THEN 1 WHEN 13 THEN 2 END AS place FROM systems WHERE address < 20")
+@query("p06_place", "SELECT address, CASE address WHEN 5 THEN 0 WHEN 9 THEN 1 WHEN 13 THEN 2 END AS place FROM systems")
 def _(c):
-    return c.systems.filter("address < 20").select("address", _LISTS[1].place_of().cast("int").alias("place"))
+    return c.systems.select("address", _LISTS[1].place_of().cast("int").alias("place"))
 
 
 @query("p08_visible", "SELECT address, address IN (5, 9, 13) OR (x < 0 AND address % 2 = 0) AS visible FROM systems")
@@ -611,6 +635,14 @@ def _(c):
     return c.systems.select("address", P.visible(F.col("address").isin(5, 9, 13), F.col("x") < 0, F.col("address") % 2 == 0, 0.0).alias("visible"))
 
 
+@query("p07_systems_of_filter", f"""SELECT s.address, s.name FROM systems s JOIN system_factions f ON f.system_address = s.address JOIN factions n ON n.id = f.faction_id WHERE n.name ILIKE 'Supplier#000000002'
+    UNION ALL SELECT address, name FROM systems WHERE address IN (5, 9, 13) UNION ALL SELECT address, name FROM systems WHERE address IN (70, 71)""")
+def _(c):
+    wanted = [P.Filter(faction=2, name="Supplier#000000002"), _LISTS[1], _LISTS[3]]
+    one, two, three = (P.systems_of(f, c.systems, c.system_factions, c.factions).select("address", "name") for f in wanted)
+    return one.union(two).union(three)
+
+
 @query("u1_unspawned", "SELECT address, min(event_id) AS place FROM (SELECT user_id AS address, event_id FROM events) t WHERE address NOT IN (SELECT address FROM systems WHERE address % 3 = 0) GROUP BY 1")
 def _(c):
     return P.unspawned(c.events.selectExpr("user_id AS address", "event_id AS place"), c.systems.filter("address % 3 = 0"))
@@ -626,18 +658,26 @@ def _(c):
     return route.hops(c.systems, 1, 42, RANGE)
 
 
-@query("r01_unreachable", "SELECT address AS goal, CAST(0 AS INT) AS jumps FROM systems WHERE address < 0")
+_CLOSURE = "WITH RECURSIVE walk AS (SELECT address, x, y, z FROM systems WHERE address = 1 UNION SELECT s.address, s.x, s.y, s.z FROM walk w JOIN systems s ON sqrt((w.x - s.x) * (w.x - s.x) + (w.y - s.y) * (w.y - s.y) + (w.z - s.z) * (w.z - s.z)) <= 10) "
+
+
+@query("r01_unreachable", _CLOSURE + "SELECT address AS goal, CAST(0 AS INT) AS jumps FROM walk WHERE address = 42")
 def _(c):
     return route.hops(c.systems, 1, 42, 10.0)
 
 
-@query("r02_legs", _REACH.format(r=40, n=6) + "SELECT min(hop) + 1 AS stops, TRUE AS in_range FROM walk WHERE address = 42")
+_ROUTE = _REACH.format(r=40, n=6) + """, near AS (SELECT address, x, y, z, min(hop) AS hop FROM walk GROUP BY ALL),
+    tree AS (SELECT a.address, a.hop, min(b.address) AS parent FROM near a LEFT JOIN near b ON b.hop = a.hop - 1 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 40 GROUP BY ALL),
+    back AS (SELECT address, hop, parent FROM tree WHERE address = 42 UNION ALL SELECT t.address, t.hop, t.parent FROM back b JOIN tree t ON t.address = b.parent)
+    SELECT CAST(b.hop AS INT) AS hop, b.address, round(sqrt((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y) + (s.z - p.z) * (s.z - p.z)), 6) AS leg FROM back b JOIN systems s ON s.address = b.address LEFT JOIN systems p ON p.address = b.parent"""
+
+
+@query("r02_legs", _ROUTE)
 def _(c):
-    legs = windows.legs(route.route(c.systems, 1, 42, RANGE))
-    return legs.agg(F.count(F.lit(1)).cast("int").alias("stops"), F.coalesce(F.max("leg") <= RANGE, F.lit(True)).alias("in_range"))
+    return windows.legs(route.route(c.systems, 1, 42, RANGE)).select("hop", "address", F.round("leg", 6).alias("leg"))
 
 
-@query("r03_message", "SELECT 'No route from CUSTOMER#000000001 to CUSTOMER#000000042 at 10 Ly' AS message")
+@query("r03_message", _CLOSURE + "SELECT CASE WHEN count(*) = 0 THEN 'No route from CUSTOMER#000000001 to CUSTOMER#000000042 at 10 Ly' END AS message FROM walk WHERE address = 42")
 def _(c):
     return route.message(route.route(c.systems, 1, 42, 10.0), HOME, "CUSTOMER#000000042", "10")
 
@@ -675,9 +715,9 @@ def _(c):
     return _scaled(orbit.positions(c.bodies, 86400.0), *"xyz").select("system_address", "id", *"xyz")
 
 
-@query("o04_paths", f"SELECT system_address, id, step, {_r('p * cos(node) - q * cos(inc) * sin(node)')} AS x FROM (SELECT *, u * cos(peri) - v * sin(peri) AS p, u * sin(peri) + v * cos(peri) AS q FROM (SELECT *, a * (cos(step * pi() / 4) - e) AS u, a * sqrt(greatest(1 - e * e, 0)) * sin(step * pi() / 4) AS v FROM ({_ELEMENTS}) el, (SELECT CAST(range AS INT) AS step FROM range(9)) st WHERE a > 0) fl) tu")
+@query("o04_paths", f"SELECT system_address, id, step, {_r('p * cos(node) - q * cos(inc) * sin(node)')} AS x, {_r('q * sin(inc)')} AS y, {_r('p * sin(node) + q * cos(inc) * cos(node)')} AS z FROM (SELECT *, u * cos(peri) - v * sin(peri) AS p, u * sin(peri) + v * cos(peri) AS q FROM (SELECT *, a * (cos(step * pi() / 4) - e) AS u, a * sqrt(greatest(1 - e * e, 0)) * sin(step * pi() / 4) AS v FROM ({_ELEMENTS}) el, (SELECT CAST(range AS INT) AS step FROM range(9)) st WHERE a > 0) fl) tu")
 def _(c):
-    return _scaled(orbit.paths(c.bodies, 8), "x").select("system_address", "id", "step", "x")
+    return _scaled(orbit.paths(c.bodies, 8), *"xyz").select("system_address", "id", "step", *"xyz")
 
 
 @query("o05_place", _CHAIN + f"SELECT system_address, id, {_r('x')} AS x, {_r('y')} AS y, {_r('z')} AS z FROM summed")
@@ -795,6 +835,27 @@ def _(c):
     return c.part.select("p_partkey", F.round(D.shell(F.col("p_size") * 1e11, F.col("p_retailprice") * 1e14, F.lit(2.0)), -3).alias("shell"), F.round(D.standing(F.col("p_size") / 1000), 6).alias("standing"), D.rung(F.col("p_size")).alias("rung"))
 
 
+@query("n1_listed_factions", """SELECT system_address, faction_id, name, row_number() OVER (PARTITION BY system_address ORDER BY name IS NULL, name, faction_id) - 1 AS place
+    FROM system_factions LEFT JOIN (SELECT * FROM factions WHERE id % 4 > 0) n ON n.id = faction_id""")
+def _(c):
+    listed = A.listed_factions(c.system_factions, c.factions.filter("id % 4 > 0"))
+    return listed.select("system_address", "faction_id", "name", F.col("place").cast("long").alias("place"))
+
+
+@query("x11_body_said", """SELECT system_address, id, concat(printf('%.1f', arrival), ' Ls') AS distance, concat(format('{:,}', CAST(floor(radius / 1e3) AS BIGINT)), ' km') AS radius_said, concat(printf('%.2f', eccentricity * 20 / 9.80665), ' g') AS gravity,
+    CASE WHEN atmosphere IS NOT NULL AND pressure IS NOT NULL THEN concat(printf('%.3f', CAST(pressure AS DOUBLE) * 100 / 101325.0), ' atm') ELSE 'None' END AS surface, concat(printf('%.1f', inclination), '°') AS inclination_said FROM bodies""")
+def _(c):
+    surface = F.when(F.col("atmosphere").isNotNull() & F.col("pressure").isNotNull(), D.atmospheres(F.col("pressure").cast("double") * 100)).otherwise("None")
+    return c.bodies.select("system_address", "id", D.light_seconds_away(F.col("arrival")).alias("distance"), D.kilometres(F.col("radius")).alias("radius_said"), D.gravities(F.col("eccentricity") * 20).alias("gravity"), surface.alias("surface"), D.degrees(F.col("inclination")).alias("inclination_said"))
+
+
+@query("x12_star_said", """SELECT system_address, id, concat(star_class, subclass) AS class, concat(printf('%.3f', radius / 6.957e8), ' Sol') AS radius_said, concat(printf('%.3f', stellar_mass), ' Sol') AS mass,
+    concat(printf('%.0f', temperature), ' K') AS warmth, concat(format('{:,}', greatest(age_my, 0)::BIGINT), ' million years') AS age FROM stars""")
+def _(c):
+    said = D.star_said(c.stars)
+    return said.select("system_address", "id", "class", "radius_said", "mass", "warmth", "age")
+
+
 @query("x10_lumens", "SELECT p_partkey, round(4 * pi() * p_size * p_size * 5.670374419e-8 * p_retailprice * p_retailprice * p_retailprice * p_retailprice * 93 / 1e6, 3) AS megalumens FROM part")
 def _(c):
     return c.part.select("p_partkey", F.round(D.lumens(F.col("p_size"), F.col("p_retailprice")) / 1e6, 3).alias("megalumens"))

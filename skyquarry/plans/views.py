@@ -76,6 +76,17 @@ TEMPLATES = {
                CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'thin' END AS atmosphere, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_retailprice END AS pressure,
                CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(0.2 AS DOUBLE) END AS ice, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(0.3 AS DOUBLE) END AS rock, CASE WHEN p_partkey % 15 = 0 THEN NULL ELSE CAST(0.5 AS DOUBLE) END AS metal
         FROM part""",
+    "stars": f"""
+        SELECT p_partkey @div@ 10 AS system_address, CAST(0 AS INT) AS id, p_name AS name, {case("p_partkey % 7", tuple("OBAFGKM"))} AS star_class, CAST((p_partkey @div@ 10) % 10 AS INT) AS subclass,
+               CAST(p_size AS DOUBLE) / 16 AS stellar_mass, p_size * 2.5e7 AS radius, CAST(p_size * 211 AS DOUBLE) AS temperature, CAST(p_partkey % 13000 AS INT) AS age_my, CAST(p_partkey % 30 AS DOUBLE) - 10 AS absolute_magnitude,
+               CASE WHEN p_partkey % 3 = 0 THEN 'V' ELSE 'III' END AS luminosity, 0.0e0 AS arrival, CAST(1 AS INT) AS parent_id,
+               CASE WHEN p_partkey % 20 = 0 THEN NULL ELSE p_size * 1e10 END AS semi_major_axis, (p_partkey % 90) / 100 AS eccentricity, CAST((p_partkey * 7) % 180 AS DOUBLE) AS inclination, CAST((p_partkey * 11) % 360 AS DOUBLE) AS periapsis,
+               CAST((p_partkey * 13) % 360 AS DOUBLE) AS ascending_node, CAST((p_partkey * 17) % 360 AS DOUBLE) AS mean_anomaly, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_size * 1e6 END AS orbital_period
+        FROM part WHERE p_partkey % 10 = 0""",
+    "barycenters": """
+        SELECT p_partkey @div@ 10 AS system_address, CAST(p_partkey % 10 AS INT) AS id, CASE WHEN p_partkey % 4 = 1 THEN NULL ELSE p_size * 1e9 END AS semi_major_axis, (p_partkey % 80) / 100 AS eccentricity,
+               CAST((p_partkey * 7) % 180 AS DOUBLE) AS inclination, CAST((p_partkey * 11) % 360 AS DOUBLE) AS periapsis, CAST((p_partkey * 13) % 360 AS DOUBLE) AS ascending_node, CAST((p_partkey * 17) % 360 AS DOUBLE) AS mean_anomaly, p_size * 1e5 AS orbital_period
+        FROM part WHERE p_partkey % 10 IN (1, 2)""",
     "body_materials": """
         SELECT p_partkey @div@ 10 AS system_address, CAST(p_partkey % 10 AS INT) AS body_id, name, CAST((p_partkey + nth * 7) % 100 AS DOUBLE) AS percent
         FROM (SELECT p_partkey, @words(p_name)@ FROM part WHERE p_partkey % 3 > 0) AS words WHERE name <> ''""",
