@@ -22,6 +22,9 @@ MEMBERSHIP = "system_address bigint, faction_id int, influence double, updated_a
 JOURNAL_EVENT = (
     "event string, timestamp timestamp_ntz, SystemAddress bigint, StarSystem string, StarPos array<double>, Population bigint, SystemSecurity string, SystemGovernment string, SystemAllegiance string, SystemEconomy string, SystemSecondEconomy string, StarClass string, "
     "Factions array<struct<Name:string,Influence:double,Government:string,Allegiance:string,Happiness:string,FactionState:string,PendingStates:array<string>,ActiveStates:array<string>,RecoveringStates:array<string>>>, "
+    "Conflicts array<struct<WarType:string,Status:string,Faction1:struct<Name:string,Stake:string,WonDays:int>,Faction2:struct<Name:string,Stake:string,WonDays:int>>>, "
+    "Body string, BodyType string, StarType string, Subclass int, StellarMass double, AbsoluteMagnitude double, Age_MY int, Luminosity string, PlanetClass string, MassEM double, SurfaceGravity double, SurfaceTemperature double, Radius double, "
+    "DistanceFromArrivalLS double, SemiMajorAxis double, Eccentricity double, OrbitalInclination double, Periapsis double, AscendingNode double, MeanAnomaly double, OrbitalPeriod double, Materials array<struct<Name:string,Percent:double>>, "
     "StationName string, MarketID bigint, StationType string, BodyID int, BodyName string, Parents array<map<string,int>>, Route array<struct<StarSystem:string,SystemAddress:bigint,StarPos:array<double>,StarClass:string>>, "
     "Commodities array<struct<name:string,buyPrice:int,sellPrice:int,demand:int,stock:int>>"
 )

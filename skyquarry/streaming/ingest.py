@@ -3,11 +3,14 @@
 A batch's events are written to ``<base>/<table>/log/batch=<id>``, replacing what a failed attempt
 left, so every event counts once whatever is retried. A table is its snapshot with its log folded
 in by that table's own merge; ``compact`` folds a log into the next snapshot. Tables take their
-events independently: a failure in one is reported and the others go on.
+events independently: where one fails, its events are kept as they came in ``<base>/<table>/dead``, to
+be run again by ``replay``, and the others go on; if they can't be kept either, the batch fails and is
+retried whole. Lines that can't be read are kept in ``<base>/_unreadable``.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,29 +30,76 @@ class Handler:
 
 
 class Ingest:
-    def __init__(self, spark: SparkSession, base: str, handlers: list[Handler]):
-        self.spark, self.base, self.handlers = spark, base, handlers
-        self.failures: list[tuple[int, str, str]] = []
-
-    def batch(self, events: DataFrame, batch_id: int) -> None:
-        events = events.persist()
+    def __init__(self, spark: SparkSession, base: str, handlers: list[Handler], reader: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None):
+        """``reader``: makes events and unreadable rows of what the stream brings, where that is lines."""
+        self.spark, self.base, self.handlers, self.reader = spark, base, handlers, reader
+
+    def batch(self, came: DataFrame, batch_id: int) -> None:
+        if self.reader:
+            came, bad = self.reader(came)
+            bad.write.mode("overwrite").parquet(f"{self.base}/_unreadable/batch={batch_id}")
+        order = {"arrival": F.lit(batch_id).cast("long"), "event_id": F.monotonically_increasing_id()}  # of batches, and in them of rows
+        came = came.withColumns({k: v for k, v in order.items() if k not in came.columns})
+        came = came.persist()
         try:
             for h in self.handlers:
-                try:
-                    h.rows(events.filter(h.takes)).write.mode("overwrite").parquet(f"{self.base}/{h.table}/log/batch={batch_id}")
-                except Exception as e:  # one table's failure is logged, and the rest go on
-                    self.failures.append((batch_id, h.table, str(e)[:500]))
+                self._hand(h, came.filter(h.takes), f"batch={batch_id}")
         finally:
-            events.unpersist()
+            came.unpersist()
+
+    def _hand(self, h: Handler, events: DataFrame, part: str) -> None:
+        try:
+            h.rows(events).write.mode("overwrite").parquet(f"{self.base}/{h.table}/log/{part}")
+            self._delete(f"{self.base}/{h.table}/dead/{part}")
+        except Exception as e:  # one table's failure is kept, and the rest go on
+            events.withColumn("error", F.lit(str(e)[:500])).write.mode("overwrite").parquet(f"{self.base}/{h.table}/dead/{part}")
+            self._delete(f"{self.base}/{h.table}/log/{part}")
+
+    def _path(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _delete(self, path: str) -> None:
+        where, system = self._path(path)
+        system.delete(where, True)
+
+    def dead(self, name: str) -> DataFrame | None:
+        """Events of a table that failed, with ``error`` and ``batch``."""
+        where, system = self._path(f"{self.base}/{name}/dead")
+        return self.spark.read.parquet(str(where)) if system.exists(where) and system.listStatus(where) else None
+
+    def replay(self, name: str) -> None:
+        """Run the dead batches of a table again; the order of its log is that of arrival, whenever a row came in."""
+        h = next(h for h in self.handlers if h.table == name)
+        where, system = self._path(f"{self.base}/{name}/dead")
+        for part in [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []:
+            self._hand(h, self.spark.read.parquet(f"{self.base}/{name}/dead/{part}").drop("error"), part)
 
     def start(self, events: DataFrame, *, once: bool = False) -> StreamingQuery:
         writer = events.writeStream.foreachBatch(self.batch).option("checkpointLocation", f"{self.base}/_checkpoint")
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
+    def watch(self, connect: Callable[[], DataFrame], stall: float = 120.0, *, poll: float = 1.0, until: Callable[[], bool] = lambda: False) -> int:
+        """Keep a stream running: where no row has come for ``stall`` seconds (0: never asked), connect anew.
+        Returns how often it did, once ``until`` holds."""
+        again, query, heard = 0, self.start(connect()), time.monotonic()
+        seen = -1
+        try:
+            while not until():
+                time.sleep(poll)
+                last = query.lastProgress
+                if last and last["batchId"] != seen and last["numInputRows"]:
+                    seen, heard = last["batchId"], time.monotonic()
+                if query.exception() or (stall and time.monotonic() - heard > stall):
+                    query.stop()
+                    again, query, heard = again + 1, self.start(connect()), time.monotonic()
+        finally:
+            query.stop()
+        return again
+
     def _read(self, path: str) -> DataFrame | None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        there = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        where, system = self._path(path)
+        there = system.exists(where) and system.listStatus(where)
         return self.spark.read.parquet(path).drop("batch") if there else None
 
     def table(self, name: str) -> DataFrame | None:
@@ -70,8 +120,7 @@ class Ingest:
         if made is None:
             return
         made.write.mode("overwrite").parquet(f"{self.base}/{name}/snapshots/snapshot={number}")
-        log = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}/log")
-        log.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(log, True)
+        self._delete(f"{self.base}/{name}/log")
 
 
 def waypoints(events: DataFrame) -> DataFrame:

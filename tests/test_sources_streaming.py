@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyquarry import schemas as S
 from skyquarry.operators import merge
 from skyquarry.sources import readers, writers
-from skyquarry.streaming import ingest
+from skyquarry.streaming import ingest, journal
 
 
 def test_journal(spark, tmp_path):
@@ -59,13 +59,17 @@ def test_stream_equals_batch(spark, tmp_path):
     def failing(_):
         raise ValueError("broken table")
 
-    handlers = [ingest.Handler("changes", F.lit(True), shaped, fold), ingest.Handler("bad", F.lit(True), failing, fold), ingest.Handler("big", F.col("value") > 50, shaped, lambda s, log: log if s is None else s.unionByName(log))]
+    broken = [failing]
+    handlers = [ingest.Handler("changes", F.lit(True), shaped, fold), ingest.Handler("bad", F.lit(True), lambda df: broken[0](df), fold), ingest.Handler("big", F.col("value") > 50, shaped, lambda s, log: log if s is None else s.unionByName(log))]
     live = ingest.Ingest(spark, str(tmp_path / "base"), handlers)
     query = live.start(readers.stream(spark, str(tmp_path / "in"), S.EVENTS, pattern="*.parquet", files=2), once=True)
     query.awaitTermination()
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(live.table("changes")) == rows(merge.influence_changes(shaped(events)))
-    assert live.failures and all(t == "bad" for _, t, _ in live.failures)
+    assert live.table("bad") is None and live.dead("bad").filter("error LIKE '%broken table%'").count() == 1000 and live.dead("big") is None
+    broken[0] = shaped
+    live.replay("bad")  # no event of a failed table is lost
+    assert rows(live.table("bad")) == rows(live.table("changes")) and live.dead("bad") is None
     live.batch(events.limit(0), 0)  # a batch that is run again replaces what it wrote
     assert live.table("big").count() < shaped(events.filter("value > 50")).count()
     before = rows(live.table("big"))
@@ -79,6 +83,70 @@ def test_route_waypoints(spark):
     assert tuple(ingest.waypoints(events).first())[:6] == (1, "SOL", 1.0, 2.0, 3.0, "G")
 
 
+def _lines(spark, tmp_path, name, *events):
+    (tmp_path / "lines").mkdir(exist_ok=True)
+    (tmp_path / "lines" / name).write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in events) + "\n")
+
+
+def test_each_kind_of_event_reaches_its_tables(spark, tmp_path):
+    at = lambda minute: f"2024-01-01T00:{minute:02d}:00"
+    base = {"SystemAddress": 1, "StarSystem": "Sol", "StarPos": [0, 0, 0]}
+    faction = lambda name, influence, **more: {"Name": name, "Influence": influence, **more}
+    market = lambda minute, id_, system, *names: {"event": "Commodity", "timestamp": at(minute), "MarketID": id_, "StarSystem": system, "StationName": f"Port {id_}", "Commodities": [{"name": n, "buyPrice": i} for i, n in enumerate(names)]}
+    orbit = {"SemiMajorAxis": 1.0, "Eccentricity": 0.1, "OrbitalInclination": 2.0, "Periapsis": 3.0, "AscendingNode": 4.0, "MeanAnomaly": 5.0, "OrbitalPeriod": 6.0}
+    _lines(
+        spark, tmp_path, "1.log",
+        {"event": "Location", "timestamp": at(1), **base, "Population": 5, "SystemSecurity": "High", "SystemEconomy": "HighTech", "SystemSecondEconomy": "Service", "Body": "Earth", "BodyType": "Planet", "BodyID": 3, "StationName": "Galileo", "StationType": "Orbis", "MarketID": 9,
+         "Factions": [faction("Mother Gaia", 0.4, PendingStates=["Boom"]), faction("MOTHER GAIA", 0.3), faction("Sol Workers", 0.2, ActiveStates=["War"])],
+         "Conflicts": [{"WarType": "War", "Status": "Active", "Faction1": {"Name": "Mother Gaia", "Stake": "dock", "WonDays": 1}, "Faction2": {"Name": "sol workers", "Stake": None, "WonDays": 2}}, {"WarType": "War", "Status": "Active", "Faction1": {"Name": "Nobody"}, "Faction2": {"Name": "Mother Gaia"}}]},
+        {"event": "Docked", "timestamp": at(2), **base, "StarPos": None, "StationName": "Galileo", "StationType": "Coriolis", "MarketID": 9},
+        market(3, 7, "lave", "Tritium", "GOLD", "tritium"), market(3, 8, "sol"), market(3, 6, "nowhere", "Tea"),
+        "not json",
+    )
+    live = ingest.Ingest(spark, str(tmp_path / "base"), journal.handlers(), readers.parsed)
+    run = lambda: live.start(spark.readStream.text(str(tmp_path / "lines")), once=True).awaitTermination()
+    run()
+    _lines(
+        spark, tmp_path, "2.log",
+        {"event": "Scan", "timestamp": at(4), **base, "BodyID": 0, "BodyName": "Sol A", "StarType": "G", "Subclass": 2, "StellarMass": 1.0, "Radius": 7e8, "SurfaceTemperature": 5778.0, "Age_MY": 4600, "Luminosity": "V"},
+        {"event": "Scan", "timestamp": at(4), **base, "BodyID": 3, "BodyName": "Earth", "PlanetClass": "Earthlike body", "MassEM": 1.0, "Parents": [{"Null": 1}, {"Star": 0}], **orbit, "Materials": [{"Name": "iron", "Percent": 30.0}, {"Name": "iron", "Percent": 1.0}]},
+        {"event": "ScanBaryCentre", "timestamp": at(4), **base, "BodyID": 1, **orbit},
+        {"event": "FSDJump", "timestamp": at(0), **base, "Population": 6, "Factions": [faction("mother gaia", 0.9)]},
+        {"event": "NavRoute", "timestamp": at(0), "Route": [{"StarSystem": "Sol", "SystemAddress": 1, "StarPos": [9, 9, 9], "StarClass": "X"}, {"StarSystem": "Lave", "SystemAddress": 2, "StarPos": [1, 2, 3], "StarClass": "K"}]},
+        {"event": "NavRoute", "timestamp": at(1), "Route": [{"StarSystem": "Sol", "SystemAddress": 1, "StarPos": [0, 0, 1], "StarClass": "G"}]},
+        {"event": "Music", "timestamp": at(9)},
+    )
+    run()
+    made = journal.catalogue(live)
+    rows = lambda name, *columns: sorted(map(tuple, made[name].select(*columns).collect()), key=repr)
+    # the older jump applies as it came, and only what is newer than it changes it after that
+    assert rows("systems", "address", "name", "z", "population", "security", "secondary_economy", "primary_star_class") == [(1, "SOL", 1.0, 6, "High", "Service", "G"), (2, "LAVE", 3.0, None, None, None, "K")]
+    assert rows("factions", "id", "name") == [(1, "Mother Gaia"), (2, "Sol Workers")]
+    assert rows("memberships", "faction_id", "influence") == [(1, 0.4), (2, 0.2)]  # an older event and one of the same time come too late
+    assert rows("states", "faction_id", "state", "status") == [(1, "Boom", "Pending"), (2, "War", "Active")]
+    assert rows("conflicts", "type", "faction_1_stake", "faction_2_won_days") == [("War", "dock", 2)] and rows("conflict_errors", "error") == [("No faction named Nobody",)]
+    assert rows("stations", "system_address", "name", "ty") == sorted([(1, "Galileo", "Coriolis"), (1, "Port 8", None), (2, "Port 7", None)], key=repr)
+    assert rows("markets", "market_id", "system_address") == sorted([(7, 2), (8, 1), (6, None)], key=repr)
+    assert rows("commodities", "market_id", "name", "price") == sorted([(7, "tritium", 2), (7, "gold", 1), (6, "tea", 0)], key=repr)
+    assert rows("stars", "id", "star_class", "subclass", "age_my") == [(0, "G", 2, 4600)] and rows("barycenters", "id", "semi_major_axis") == [(1, 1.0)]
+    assert rows("bodies", "id", "name", "planet_class") == [(3, "Earth", "Earthlike body")] and [[tuple(p) for p in r[0]] for r in rows("bodies", "parents")] == [[("Null", 1), ("Star", 0)]]
+    assert rows("body_materials", "name", "percent") == [("iron", 30.0)]
+    assert [r.value for r in spark.read.parquet(str(tmp_path / "base" / "_unreadable")).collect()] == ["not json"]
+
+
+def test_a_silent_stream_is_connected_anew(spark, tmp_path):
+    _lines(spark, tmp_path, "1.log", {"event": "FSDJump", "SystemAddress": 1, "StarSystem": "Sol"})
+    live = ingest.Ingest(spark, str(tmp_path / "base"), journal.handlers()[:1], readers.parsed)
+    tries = []
+
+    def connect():
+        tries.append(1)
+        return spark.readStream.text(str(tmp_path / "lines"))
+
+    assert live.watch(connect, 3.0, poll=0.2, until=lambda: len(tries) > 1) == 1
+    assert live.table("systems").count() == 1
+
+
 def test_windows_bound_their_state(spark, tmp_path):
     stream = readers.stream(spark, "/root/testdata/sf0.001", S.EVENTS, pattern="events.parquet")
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
