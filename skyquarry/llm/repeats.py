@@ -12,6 +12,12 @@ sorting, a sample of the suffixes is sorted, and what the others need is induced
    are equal are equal windows, and the least document of each is found for all anchors at once.
 4. The windows with a smaller document go back to their text and are removed.
 
+A substring that very many documents have as an anchor would fill one bucket. Such ones are found first, as
+those that are frequent in some stretch of the input; there are few, as a document has few anchors. Their
+windows are dealt one by one instead, by the hash of all their bytes, with the least document of each
+group of texts, so that a window costs a tuple for each group, however many documents have it; what
+comes back is the least document of all, and the group compares its own with it.
+
 Tuples travel packed by the thousand in binary columns, so a bucket is sorted as arrays; buckets and
 groups of texts are of bounded size, as their number follows the input. Equal texts are one row: of
 a copy everything goes.
@@ -46,6 +52,8 @@ SIDE = SPAN - GRAM
 BUCKET_BYTES, GROUP_BYTES = 24 << 20, 12 << 20
 #: Bytes of a gram's hash that decide whether it may stand in two documents.
 PART = 6
+#: A gram is frequent if one in so many documents of a stretch, and in all, has it as an anchor, and that many at least.
+FREQUENT, LEAST_FREQUENT = 256, 1000
 _NO_DOC = np.iinfo(np.int64).max
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -122,7 +130,7 @@ def _per_bucket(batches: Iterator[pa.RecordBatch], columns: dict[str, object]) -
                 held = {k: [] for k in columns}
             now = bucket
             for k in columns:
-                held[k].append(b[k][i].as_py())
+                held[k].append(b[k][i].as_py() or b"")
     if now is not None:
         yield {k: _joined(held[k], t, k == "doc") for k, t in columns.items()}
 
@@ -135,11 +143,34 @@ def _groups(order: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.nda
     return np.cumsum(new) - 1, np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin)
 
 
-def sampled(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """gram and n: those that many texts of a stretch have as an anchor, and how many; ``least``: in all."""
+    for b in batches:
+        found, n = [np.zeros(0, dtype=np.uint64)], 0
+        for chunk in kernels.chunks(b["text"]):
+            at, gram, _, _ = anchors(chunk)
+            owner = np.searchsorted(chunk.offsets, at, "right") - 1
+            order = np.lexsort((owner, gram))
+            gram, owner = gram[order], owner[order]
+            found.append(gram[np.append(True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1]))[: len(gram)]])
+            n += chunk.last - chunk.first
+        grams, counts = np.unique(np.concatenate(found), return_counts=True)
+        often = counts > min(n // FREQUENT, least)
+        yield pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(counts[often], pa.int64())], names=["gram", "n"])
+
+
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``some``, which is sorted."""
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values if len(some) else np.zeros(len(values), dtype=bool)
+
+
+def sampled(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
         docs = b["doc"].to_numpy()
         for chunk in kernels.chunks(b["text"]):
             at, gram, _, _ = anchors(chunk)
+            cold = ~_among(gram, hot)
+            at, gram = at[cold], gram[cold]
             if len(at):
                 doc = docs[chunk.first + np.searchsorted(chunk.offsets, at, "right") - 1]
                 yield from _dealt(_bucket(gram, buckets), {"gram": gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PART], "doc": doc}, "bucket").to_batches()
@@ -183,8 +214,49 @@ def _nth(texts: pa.Table) -> np.ndarray:
     return out
 
 
-def surrounded(texts: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
-    """The shared anchors of a group of texts, with their sides."""
+def hot_windows(texts: pa.Table, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """text, start, hash and document of each window of a group of texts whose anchor is a frequent gram."""
+    parts = [tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.int64))]
+    docs = texts["doc"].to_numpy()
+    column = texts["text"].combine_chunks()
+    for chunk in kernels.chunks(column if isinstance(column, pa.Array) else column.chunk(0)) if len(hot) and len(texts) else ():
+        at, gram, low, high = anchors(chunk)
+        mine = np.flatnonzero(_among(gram, hot))
+        low, high = low[mine], high[mine]
+        n = high - low + 1
+        start = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        owner = np.searchsorted(chunk.offsets, start, "right") - 1
+        for first in range(0, len(start), 1 << 16):
+            some = slice(first, first + (1 << 16))
+            window = np.zeros((len(start[some]), -(-SPAN // 8) * 8), dtype=np.uint8)
+            window[:, :SPAN] = chunk.data[start[some, None] + np.arange(SPAN)]
+            parts.append((chunk.first + owner[some], start[some] - chunk.offsets[owner[some]], _lanes(window), docs[chunk.first + owner[some]]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _least(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the least document of each."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    first = np.append(True, key[1:] != key[:-1])[: len(key)]
+    return key[first], doc[first]
+
+
+def surrounded(texts: pa.Table, told: pa.Table, buckets: int, hot: np.ndarray, part: int) -> pa.Table:
+    """The shared anchors of a group of texts, with their sides; and after them, in buckets of their own, the windows of
+    frequent grams, with the least document of the group."""
+    _, _, key, doc = hot_windows(texts, hot)
+    key, doc = _least(key, doc)
+    windows = _dealt(_bucket(key, buckets) + buckets, {"window": key, "least": doc, "group": np.full(len(key), part, dtype=np.int32)}, "bucket")
+    return pa.concat_tables([_surrounded(texts, told, buckets), windows], promote_options="default").select(["bucket", *TUPLE, *WINDOW])
+
+
+#: Columns of a bucket of anchors, and of one of windows.
+TUPLE = {"gram": np.uint64, "again": np.uint32, "context": np.uint8, "doc": np.int64, "nth": np.int32, "at": np.int64}
+WINDOW = {"window": np.uint64, "least": np.int64, "group": np.int32}
+
+
+def _surrounded(texts: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     pairs = np.unique(_joined(told["pair"].to_pylist(), np.uint64))
     parts = []
     column = texts["text"].combine_chunks()
@@ -214,7 +286,14 @@ def surrounded(texts: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
 def induced(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
     """For each group of documents: the anchors with windows that a smaller document has, and which."""
     width = 2 * SIDE + 4
-    for t in _per_bucket(batches, {"gram": np.uint64, "again": np.uint32, "context": np.uint8, "doc": np.int64, "nth": np.int32, "at": np.int64}):
+    for t in _per_bucket(batches, TUPLE | WINDOW):
+        if len(t["window"]):
+            # which groups have a window whose least document is another's
+            key, least = _least(t["window"], t["least"])
+            least = least[np.searchsorted(key, t["window"])]
+            tell = np.flatnonzero(least < t["least"])
+            yield from _told({"window": t["window"][tell], "least": least[tell]}, t["group"][tell].astype(np.int64))
+            continue
         context, doc = t["context"].reshape(-1, width), t["doc"]
         same_gram = kernels.mix(t["gram"] * np.uint64(3) ^ t["again"])
         whole = kernels.mix(_lanes(context) ^ same_gram)
@@ -241,13 +320,28 @@ def induced(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Recor
             mask |= (smallest[of] < doc).astype(np.uint32) << np.uint32(back)
         hit = np.flatnonzero(mask)
         columns = {"doc": doc[hit], "nth": t["nth"][hit], "at": t["at"][hit], "mask": mask[hit]}
-        yield from _dealt(_group(doc[hit], groups), columns, "part").to_batches()
+        yield from _told(columns, _group(doc[hit], groups))
 
 
-def removed(texts: pa.Table, told: pa.Table) -> pa.Table:
+def _told(columns: dict[str, np.ndarray], part: np.ndarray) -> list[pa.RecordBatch]:
+    made = _dealt(part, columns, "part")
+    none = pa.nulls(len(made), pa.binary())
+    return pa.table({k: made[k] if k in made.column_names else none for k in TOLD}).to_batches()
+
+
+TOLD = ("part", "doc", "nth", "at", "mask", "window", "least")
+
+
+def removed(texts: pa.Table, told: pa.Table, hot: np.ndarray) -> pa.Table:
     """doc, row_key, n_removed, n_spans and kept_sha256 of the texts of a group that lose anything."""
-    doc, at = _joined(told["doc"].to_pylist(), np.int64, True), _joined(told["at"].to_pylist(), np.int64)
-    nth, mask = _joined(told["nth"].to_pylist(), np.int32), _joined(told["mask"].to_pylist(), np.uint32)
+    blobs = lambda name: [x for x in told[name].to_pylist() if x]
+    doc, at = _joined(blobs("doc"), np.int64, True), _joined(blobs("at"), np.int64)
+    nth, mask = _joined(blobs("nth"), np.int32), _joined(blobs("mask"), np.uint32)
+    text_of, start, key, owner = hot_windows(texts, hot)
+    keys, least = _least(np.concatenate([key, _joined(blobs("window"), np.uint64)]), np.concatenate([owner, _joined(blobs("least"), np.int64)]))
+    hit = np.flatnonzero(least[np.searchsorted(keys, key)] < owner) if len(key) else np.zeros(0, dtype=np.int64)
+    order = np.argsort(text_of[hit], kind="stable")
+    text_of, start = text_of[hit][order], start[hit][order]
     found: dict[tuple[int, int], slice] = {}
     order = np.lexsort((doc, nth))
     doc, nth, at, mask = doc[order], nth[order], at[order], mask[order]
@@ -255,16 +349,22 @@ def removed(texts: pa.Table, told: pa.Table) -> pa.Table:
     for x, y in zip(np.append(0, cut), np.append(cut, len(doc))):
         if y > x:
             found[int(doc[x]), int(nth[x])] = slice(x, y)
-    out = []
-    for d, r, k, text in zip(texts["doc"].to_pylist(), texts["row_key"].to_pylist(), _nth(texts).tolist(), texts["text"]):
-        mine = found.pop((d, k), None)
-        if mine is None:
+    out, done = [], set()
+    for i, (d, r, k, text) in enumerate(zip(texts["doc"].to_pylist(), texts["row_key"].to_pylist(), _nth(texts).tolist(), texts["text"])):
+        if (d, k) in done:  # equal rows are told once
+            continue
+        done.add((d, k))
+        mine = found.get((d, k), slice(0, 0))
+        windows = start[np.searchsorted(text_of, i) : np.searchsorted(text_of, i, "right")]
+        if mine.start == mine.stop and not len(windows):
             continue
         data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
         steps = np.zeros(len(data) + 1, dtype=np.int32)
         anchor, back = np.nonzero((mask[mine, None] >> np.arange(SIDE + 1, dtype=np.uint32)) & np.uint32(1))
         np.add.at(steps, at[mine][anchor] - back, 1)
         np.add.at(steps, at[mine][anchor] - back + SPAN, -1)
+        np.add.at(steps, windows, 1)
+        np.add.at(steps, windows + SPAN, -1)
         gone = np.cumsum(steps[:-1]) > 0
         spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
         out.append((d, r, int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
@@ -289,15 +389,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     firsts = rows.filter(F.octet_length("text") >= SPAN).join(bounded(later), ["doc", "same"], "left_anti").select("doc", row_key, "text")
 
     binary = lambda *names: ", ".join(f"{n} binary" for n in names)
-    tuples = firsts.select("doc", "text").mapInArrow(lambda it: sampled(it, buckets), "bucket int, " + binary("gram", "doc"))
+    least = max(LEAST_FREQUENT, digest.count() // FREQUENT)
+    often = firsts.select("text").mapInArrow(lambda it: frequent(it, least), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    # at most FREQUENT times the anchors of a document: a sorted array that goes with the code
+    hot = np.sort(np.array([r.gram for r in often.filter(F.col("n") > least).select("gram").toLocalIterator()], dtype=np.int64).view(np.uint64))
+    tuples = firsts.select("doc", "text").mapInArrow(lambda it: sampled(it, buckets, hot), "bucket int, " + binary("gram", "doc"))
     tuples = tuples.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     met = tuples.mapInArrow(lambda it: shared(it, groups), "part int, pair binary")
 
     texts = firsts.select(_group_column(groups).alias("part"), "*").groupBy("part")
-    sides = texts.cogroup(met.groupBy("part")).applyInArrow(lambda a, b: surrounded(a, b, buckets), "bucket int, " + binary("gram", "again", "context", "doc", "nth", "at"))
+    sides = texts.cogroup(met.groupBy("part")).applyInArrow(lambda key, a, b: surrounded(a, b, buckets, hot, key[0].as_py()), "bucket int, " + binary(*TUPLE, *WINDOW))
     sides = sides.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    told = sides.mapInArrow(lambda it: induced(it, groups), "part int, " + binary("doc", "nth", "at", "mask"))
-    lost = texts.cogroup(told.groupBy("part")).applyInArrow(removed, "doc long, row_key long, n_removed long, n_spans long, kept_sha256 string")
+    told = sides.mapInArrow(lambda it: induced(it, groups), "part int, " + binary(*TOLD[1:]))
+    lost = texts.cogroup(told.groupBy("part")).applyInArrow(lambda a, b: removed(a, b, hot), "doc long, row_key long, n_removed long, n_spans long, kept_sha256 string")
     lost = bounded(durable(lost).withColumnsRenamed({"doc": "lost_doc", "row_key": "lost_key"}))
     out = known.join(lost, (F.col("doc") == F.col("lost_doc")) & (F.col("row_key") == F.col("lost_key")), "left")
     copy = F.coalesce(F.col("doc") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= SPAN)
