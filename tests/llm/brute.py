@@ -154,3 +154,28 @@ def url(u):
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
     fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host[-len(h) - 1 :] == "." + h) and path[: len(p)] == p]
     return (host, path, *max(fits)[1:]) if fits else (host, path, None, None)
+
+
+def shards(rows, n, fine=64, cells=8192, weights=(4, 1, 1)):
+    """[(doc_id, text)] to the shard of each row by the dot-product rule, for groups that no shard is too small for."""
+    import xxhash
+
+    group = lambda t: b"null" if t is None else hashlib.md5(t.encode()).digest()
+    vector = lambda t: [len((t or "").encode()) + 16, len(WORD.findall(t or "")), 1]
+    sums = defaultdict(lambda: [0, 0, 0])
+    for _, t in rows:
+        sums[group(t)] = [a + b for a, b in zip(sums[group(t)], vector(t))]
+    total = [max(1, sum(v[i] for v in sums.values())) for i in range(3)]
+    packed = defaultdict(lambda: [0, 0, 0])
+    name = {}
+    for g, v in sums.items():
+        name[g] = (0, g, 0) if max(a / b for a, b in zip(v, total)) > 1 / (n * fine) else (1, b"", xxhash.xxh64_intdigest(g, seed=42) % cells)
+        packed[name[g]] = [a + b for a, b in zip(packed[name[g]], v)]
+    share = {k: [a / b for a, b in zip(v, total)] for k, v in packed.items()}
+    room, where = [[1 / n] * 3 for _ in range(n)], {}
+    for k in sorted(sorted(share), key=lambda k: -max(share[k])):
+        fit = [sum(r * v * w for r, v, w in zip(left, share[k], weights)) for left in room]
+        at = max(range(n), key=lambda i: (round(fit[i], 14), -i))
+        room[at] = [r - v for r, v in zip(room[at], share[k])]
+        where[k] = at
+    return [where[name[group(t)]] for _, t in rows]

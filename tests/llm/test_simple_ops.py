@@ -46,6 +46,16 @@ def test_sharding_balances_and_numbers(spark, real):
     assert {r.shard for r in out} <= set(range(8))
 
 
+def test_sharding_against_plain_packing(spark, real):
+    """Every row is on the shard that a plain packing gives it, but where two shards are equally good."""
+    rows = [(d, t) for d, t, _ in real] + [(1000 + i, f"text {i} " * (i % 40)) for i in range(3000)] + [(9000 + i, None) for i in range(5)] + [(9100, ""), (9101, "x" * 20_000)]
+    out = sharding.vector_shards(frame(spark, [(d, t, "s") for d, t in rows]), 8).collect()
+    got, want = {r.doc_id: r.shard for r in out}, dict(zip((d for d, _ in rows), brute.shards(rows, 8)))
+    assert sum(got[d] == want[d] for d in want) >= 0.99 * len(want)
+    load = lambda of: sorted(sum(len((t or "").encode()) + 16 for d, t in rows if of[d] == s) for s in range(8))
+    assert all(abs(a - b) <= 0.01 * b for a, b in zip(load(got), load(want)))
+
+
 def test_sharding_splits_only_what_no_shard_holds(spark):
     rows = [(i, "hot text", "a") for i in range(400)] + [(1000 + i, f"text {i:04d}", "a") for i in range(800)]
     out = sharding.vector_shards(frame(spark, rows), 40).collect()
