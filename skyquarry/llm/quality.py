@@ -22,7 +22,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -132,19 +131,24 @@ def consistency(share: float, p: int) -> float:
     return share / cdf(low, p + 2)
 
 
-def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Centre and inverse scatter from a group's sums; one row in, one row out."""
-    floor, scale = np.diag(np.square(list(PARTS.values()))), consistency(CORE, len(PARTS))
-    for batch in batches:
-        rows = []
-        for r in batch.itertuples(index=False):
-            centre = np.array([getattr(r, f"s_{i}") for i in range(len(PARTS))]) / r.n
-            scatter = np.empty((len(PARTS), len(PARTS)))
-            for i, j in _pairs():
-                scatter[i, j] = scatter[j, i] = getattr(r, f"q_{i}_{j}") / r.n - centre[i] * centre[j]
-            inverse = np.linalg.inv(scatter * scale + floor)
-            rows.append((r.group, centre.tolist(), [float(inverse[i, j]) for i, j in _pairs()]))
-        yield pd.DataFrame(rows, columns=["group", "centre", "inverse"])
+def solved(sums: DataFrame) -> DataFrame:
+    """group, centre and inverse scatter from each group's sums; the matrix is inverted by sweeping its diagonal."""
+    scale, p = consistency(CORE, len(PARTS)), range(len(PARTS))
+    out = sums.withColumns({f"c_{i}": F.col(f"s_{i}") / F.col("n") for i in p})
+    floors = [f * f for f in PARTS.values()]
+    out = out.withColumns({f"a_{i}_{j}": (F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"c_{i}") * F.col(f"c_{j}")) * scale + (floors[i] if i == j else 0.0) for i, j in _pairs()})
+    at = lambda i, j: F.col(f"a_{min(i, j)}_{max(i, j)}")
+    for k in p:
+        swept = {}
+        for i, j in _pairs():
+            if i == j == k:
+                swept[f"a_{i}_{j}"] = -1 / at(k, k)
+            elif k in (i, j):
+                swept[f"a_{i}_{j}"] = at(i, j) / at(k, k)
+            else:
+                swept[f"a_{i}_{j}"] = at(i, j) - at(i, k) * at(k, j) / at(k, k)
+        out = out.withColumns(swept)
+    return out.select("group", F.array(*[F.col(f"c_{i}") for i in p]).alias("centre"), F.array(*[-at(i, j) for i, j in _pairs()]).alias("inverse"))
 
 
 def distance() -> Column:
@@ -183,7 +187,7 @@ def estimates(stats: DataFrame) -> DataFrame:
         inner = F.coalesce(F.sum("n").over(by_ring.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         every = F.sum("n").over(Window.partitionBy("group"))
         core = rings.withColumn("core", (inner < every * CORE) & (every >= LEAST)).filter("core").groupBy("group").agg(*[F.sum(F.round(c, 6)).alias(c) if c != "n" else F.sum(c).alias(c) for c in ("n", *sums)])
-        found = core.mapInPandas(solved, "group string, centre array<double>, inverse array<double>")
+        found = solved(core)
     return hint(durable(found))
 
 
