@@ -776,8 +776,8 @@ def _(c):
 
 @query("l03_labels")
 def _(c):
-    boxes = c.positioned.selectExpr("address % 5 AS view", "address AS id", "-abs(x) AS score", "x AS left", "y AS top", "x + 20 AS right", "y + 6 AS bottom")
-    return labels.placed(boxes)
+    boxes = c.positioned.selectExpr("address AS id", "-abs(x) AS score", "x AS left", "y AS top", "x + 20 AS right", "y + 6 AS bottom")
+    return labels.placed(labels.screens(boxes, 60.0, 40.0))
 
 
 # Wording and classes

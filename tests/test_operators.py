@@ -222,3 +222,16 @@ def test_lookup_keeps_empty_arrays(spark):
     held = spark.createDataFrame([(1, 3), (1, 2)], "system_address long, faction_id int")
     got = {r.address: r.factions for r in lookup.with_factions(systems(spark, [(1, "A", 0.0, 0.0, 0.0), (2, "B", 0.0, 0.0, 0.0)]), held).collect()}
     assert got == {1: [2, 3], 2: []}
+
+
+def test_labels_stand_as_in_a_plain_layout(spark):
+    rng = random.Random(11)
+    rows = [(f"v{i % 3}", i, rng.choice([rng.random(), 0.5]), (x := rng.uniform(-50, 50)), (y := rng.uniform(-20, 20)), x + rng.uniform(0, 9), y + rng.uniform(0, 3)) for i in range(600)]
+    got = {(r.view, r.id) for r in labels.placed(spark.createDataFrame(rows, "view string, id int, score double, left double, top double, right double, bottom double")).collect()}
+    want = []
+    for v, i, s, *box in sorted(rows, key=lambda r: (-r[2], r[1])):
+        if all(v != w or box[2] <= b[0] or b[2] <= box[0] or box[3] <= b[1] or b[3] <= box[1] for w, _, b in want):
+            want.append((v, i, box))
+    assert got == {(v, i) for v, i, _ in want}
+    one = labels.screens(spark.createDataFrame([(1, 1.0, -1.0, 41.0, 3.0, 42.0)], "id int, score double, left double, top double, right double, bottom double"), 60.0, 40.0)
+    assert one.first().view == "-1:1"
