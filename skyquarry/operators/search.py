@@ -58,3 +58,19 @@ def jump_range(text: Column) -> Column:
     value = F.trim(text).try_cast("double")
     said = F.when(value.isNull(), RANGES[0]).when(~(value > 0) | F.isnan(value), RANGES[1])
     return F.struct(F.when(said.isNull(), value).alias("range"), said.alias("message"))
+
+
+def trigrams(df: DataFrame, key: str = "address") -> DataFrame:
+    """An index of names: gram, key, a row for each distinct run of three characters, in lower case."""
+    name = F.lower("name")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.substring(name, i, F.lit(3))))
+    return df.filter(F.length("name") >= 3).select(F.explode(grams).alias("gram"), F.col(key).alias("key"))
+
+
+def indexed(df: DataFrame, index: DataFrame, query: str, key: str = "address") -> DataFrame:
+    """Rows whose name has the query in it, by way of the index where the query has a run of three to ask for."""
+    wanted = sorted({query.lower()[i : i + 3] for i in range(len(query) - 2)})
+    if wanted:
+        met = index.filter(F.col("gram").isin(wanted)).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(wanted))
+        df = df.join(met.select(F.col("key").alias(key)), key, "left_semi")
+    return df.filter(F.ilike("name", F.lit(f"%{escaped(query)}%")))

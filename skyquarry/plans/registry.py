@@ -206,6 +206,16 @@ def _(c):
     return search.located(c.systems, ["customer#000000002", "customer#000000097", "nowhere"]).select("asked", "address", "reason")
 
 
+@query("t08_blank", "SELECT c_custkey, nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN '   ' ELSE concat(' ', c_name) END), '') AS typed FROM customer")
+def _(c):
+    return c.customer.select("c_custkey", search.blank_as_none(F.expr("CASE WHEN c_custkey % 3 = 0 THEN '   ' ELSE concat(' ', c_name) END")).alias("typed"))
+
+
+@query("t10_trigrams", "SELECT address, name FROM systems WHERE name ILIKE '%mer#00000004%'")
+def _(c):
+    return search.indexed(c.systems, search.trigrams(c.systems), "mer#00000004").select("address", "name")
+
+
 @query("t09_parsed_range", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey > 0 THEN CAST(c_custkey AS DOUBLE) / 2 END AS range, CASE WHEN c_custkey % 3 = 1 THEN 'Jump range must be a number of light years' WHEN c_custkey % 3 = 2 OR c_custkey = 0 THEN 'Jump range must be more than nothing' END AS message FROM customer""")
 def _(c):
     text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("  "), (F.col("c_custkey") / 2).cast("string"), F.lit(" "))).when(F.col("c_custkey") % 3 == 1, F.lit("far")).otherwise("-2")
@@ -682,6 +692,19 @@ def _(c):
     return route.message(route.route(c.systems, 1, 42, 10.0), HOME, "CUSTOMER#000000042", "10")
 
 
+_METRES = "SELECT government AS route, address AS hop, x * 9.4607304725808e15 AS x, y * 9.4607304725808e15 AS y, z * 9.4607304725808e15 AS z, address % 3 > 0 AS shown FROM systems WHERE x IS NOT NULL"
+
+
+@query("r04_drawn_legs", f"""WITH ahead AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz, lead(shown) OVER w AS next_shown FROM ({_METRES}) m WINDOW w AS (PARTITION BY route ORDER BY hop)),
+    legs AS (SELECT route, hop, shown, next_shown, sqrt((x - nx) * (x - nx) + (y - ny) * (y - ny) + (z - nz) * (z - nz)) AS leg FROM ahead WHERE next_shown IS NOT NULL AND (shown OR next_shown)),
+    dashes AS (SELECT *, greatest(CAST(floor((leg - 2 * 4.7303652362904e15 - (leg * 0.35 + 4.7303652362904e15)) / (2 * 4.7303652362904e15) + 1e-9) AS BIGINT) + 1, 0) AS n FROM legs WHERE leg > 0 OR shown = next_shown)
+    SELECT route, hop, 0 AS part, 0.0 AS start, CASE WHEN shown AND next_shown THEN 1.0 ELSE 0.35 END AS "end" FROM dashes
+    UNION ALL SELECT route, hop, i, round((leg * 0.35 + 4.7303652362904e15 + (i - 1) * 9.4607304725808e15) / leg, 6), round((leg * 0.35 + 2 * 4.7303652362904e15 + (i - 1) * 9.4607304725808e15) / leg, 6) FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM dashes WHERE NOT (shown AND next_shown)) d""")
+def _(c):
+    stops = c.positioned.select(F.col("government").alias("route"), F.col("address").alias("hop"), *[spatial.metres(F.col(k)).alias(k) for k in "xyz"], (F.col("address") % 3 > 0).alias("shown"))
+    return windows.drawn_legs(stops).select("route", "hop", F.col("part").cast("long").alias("part"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
 # Orbits
 
 _ELEMENTS = """SELECT system_address, id, parent_id, greatest(semi_major_axis, 0) AS a, least(greatest(eccentricity, 0), 0.99) AS e, radians(inclination) AS inc, radians(periapsis) AS peri, radians(ascending_node) AS node,

@@ -39,9 +39,17 @@ def dump_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.DUMP_CSV).option("header", True).option("mode", "DROPMALFORMED").csv(path).filter(F.col("address").isNotNull())
 
 
-def dump_json(spark: SparkSession, path: str) -> DataFrame:
-    """Systems of a JSON dump (one array); those without an id or coordinates are skipped."""
-    rows = spark.read.schema(S.DUMP_JSON).option("multiLine", True).json(path)
+def dump_json(spark: SparkSession, path: str, *, by_line: bool = False) -> DataFrame:
+    """Systems of a JSON dump (one array); those without an id or coordinates are skipped.
+
+    A file that is one value can't be split, so one task reads it whole. Where each entry of the array has a
+    line of its own, as in large dumps, ``by_line`` reads lines, and files are split as any text.
+    """
+    if by_line:
+        entry = F.regexp_replace(F.trim("value"), r"^\[\s*|\s*,$|\s*\]$", "")
+        rows = spark.read.text(path).select(F.from_json(entry, S.DUMP_JSON).alias("e")).select("e.*")
+    else:
+        rows = spark.read.schema(S.DUMP_JSON).option("multiLine", True).json(path)
     whole = F.col("id64").isNotNull() & F.col("coords.x").isNotNull() & F.col("coords.y").isNotNull() & F.col("coords.z").isNotNull()
     return rows.filter(whole).select(F.col("id64").alias("address"), F.upper("name").alias("name"), "coords.x", "coords.y", "coords.z", F.col("date").alias("updated_at"))
 
@@ -55,11 +63,11 @@ def api(systems: DataFrame, *, name: str | None = None, sphere: tuple | None = N
     return systems.filter(F.col("name") == (name or "").upper())
 
 
-def import_report(rows: DataFrame, error: Column, name: str = "name") -> tuple[DataFrame, DataFrame]:
-    """How many rows are good, and for each error how many and which, by name."""
+def import_report(rows: DataFrame, error: Column, name: str = "name") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """How many rows are good, how many there are for each error, and which these are, by name: a row for each."""
     checked = rows.withColumn("error", error)
-    bad = checked.filter("error IS NOT NULL").groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(name)).alias("names"))
-    return checked.agg(F.count_if(F.col("error").isNull()).alias("imported")), bad
+    bad = checked.filter("error IS NOT NULL")
+    return checked.agg(F.count_if(F.col("error").isNull()).alias("imported")), bad.groupBy("error").agg(F.count(F.lit(1)).alias("n")), bad.select("error", F.col(name).alias("name")).orderBy("error", "name")
 
 
 def stream(spark: SparkSession, path: str, schema: str, *, pattern: str = "*", files: int = 100) -> DataFrame:

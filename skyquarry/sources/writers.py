@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,17 @@ from ..functions.describe import or_dashes, thousands
 
 
 def save(df: DataFrame, path: str, *, bucket: str | None = None) -> None:
-    """Rewrite a table; sorted within files by ``bucket`` so that lookups by it skip row groups."""
-    (df.sortWithinPartitions(bucket) if bucket else df).write.mode("overwrite").parquet(path)
+    """Rewrite a table, which ``df`` may have been read from; sorted within files by ``bucket`` so that lookups by it
+    skip row groups. The new files are written beside the old ones, and take their place when all are there."""
+    spark = df.sparkSession
+    staged = f"{path}.{uuid.uuid4().hex}"
+    (df.sortWithinPartitions(bucket) if bucket else df).write.parquet(staged)
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path))
+    system = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(old, True)
+    if not system.rename(new, old):
+        raise OSError(f"{staged} can't take the place of {path}")
+    spark.catalog.refreshByPath(path)
 
 
 def dump(tables: dict[str, DataFrame], folder: str) -> None:
@@ -27,6 +38,11 @@ def route_table(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy("hop").select(F.col("origin").alias("Origin"), F.col("destination").alias("Destination"), F.format_string("%.2f Ly", "leg").alias("Distance"))
 
 
+def route_summary(report: DataFrame) -> DataFrame:
+    """The line under a route's table. ``report``: jumps, path, straight."""
+    return report.select(F.format_string("jumps: %.2f, path: %.2f Ly, distance: %.2f Ly", F.col("jumps").cast("double"), "path", "straight").alias("summary"))
+
+
 def record(systems: DataFrame) -> DataFrame:
     """Lines said of each system: only what is known, population only above none."""
     said = [

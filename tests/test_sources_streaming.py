@@ -24,14 +24,16 @@ def test_dumps(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps(rows))
     found = readers.dump_json(spark, str(tmp_path / "d.json"))
     assert [(r.address, r.name) for r in found.collect()] == [(1, "SOL")]
+    (tmp_path / "l.json").write_text("[\n" + ",\n".join("    " + json.dumps(r) for r in rows) + "\n]\n")
+    assert [(r.address, r.name) for r in readers.dump_json(spark, str(tmp_path / "l.json"), by_line=True).collect()] == [(1, "SOL")]
     assert readers.api(found, name="sol", sphere=((9.0, 9.0, 9.0), 1.0)).count() == 0 and readers.api(found, name="sol").count() == 1
     assert readers.api(found, cube=((0.0, 0.0, 0.0), 2.0), name="x").count() == 1
 
 
 def test_import_report(spark):
     rows = spark.createDataFrame([("a", 1), ("b", None), ("c", None)], "name string, id int")
-    good, bad = readers.import_report(rows, F.when(F.col("id").isNull(), "no id"))
-    assert good.first().imported == 1 and [(r.error, r.n, r.names) for r in bad.collect()] == [("no id", 2, ["b", "c"])]
+    good, bad, names = readers.import_report(rows, F.when(F.col("id").isNull(), "no id"))
+    assert good.first().imported == 1 and [tuple(r) for r in bad.collect()] == [("no id", 2)] and [tuple(r) for r in names.collect()] == [("no id", "b"), ("no id", "c")]
 
 
 def test_writers(spark, tmp_path):
@@ -44,7 +46,10 @@ def test_writers(spark, tmp_path):
     pairs = spark.createDataFrame([(0, "A", "B", 7.126)], "hop int, origin string, destination string, leg double")
     assert tuple(writers.route_table(pairs).first()) == ("A", "B", "7.13 Ly")
     writers.save(df, str(tmp_path / "t"), bucket="address")
-    assert readers.table(spark, str(tmp_path / "t")).count() == 2
+    writers.save(readers.table(spark, str(tmp_path / "t")).limit(1), str(tmp_path / "t"))  # over what is read
+    assert readers.table(spark, str(tmp_path / "t")).count() == 1
+    report = spark.createDataFrame([(3, 21.126, 20.0)], "jumps long, path double, straight double")
+    assert writers.route_summary(report).first().summary == "jumps: 3.00, path: 21.13 Ly, distance: 20.00 Ly"
 
 
 def test_stream_equals_batch(spark, tmp_path):
