@@ -12,8 +12,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of a table that may be one row group, and then all one task's.
+SMALL_TABLE = 24 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one so small that it may be a single row group is dealt out, as text costs far more to work on than
+    to move. Larger ones are read as they are split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
 
 
 def ascii_lower(text: Column) -> Column:
