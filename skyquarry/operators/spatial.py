@@ -60,7 +60,7 @@ def band_join(left: DataFrame, right: DataFrame, radius: float, *, prefix: tuple
         return a.join(b, [F.col(p + c) == F.col(q + c) for c in "xyz"]).withColumn("distance", F.lit(0.0))
     cell = lambda k: F.struct(*[F.floor(F.col(k + c) / radius).alias(c) for c in "xyz"])
     steps = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("xyz", (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    around = F.transform(steps, lambda s: F.struct(*[(F.col("_home")[c] + s[c]).alias(c) for c in "xyz"]))
+    around = F.transform(steps, lambda s: F.struct(*[F.try_add(F.col("_home")[c], s[c]).alias(c) for c in "xyz"]))
     looked = a.withColumn("_home", cell(p)).select("*", F.explode(around).alias("_cell"))
     d = distance(*[F.col(p + c) for c in "xyz"], *[F.col(q + c) for c in "xyz"])
     met = looked.join(b.withColumn("_of", cell(q)), F.col("_cell") == F.col("_of")).withColumn("distance", d).filter(F.col("distance") <= radius)

@@ -235,3 +235,8 @@ def test_labels_stand_as_in_a_plain_layout(spark):
     assert got == {(v, i) for v, i, _ in want}
     one = labels.screens(spark.createDataFrame([(1, 1.0, -1.0, 41.0, 3.0, 42.0)], "id int, score double, left double, top double, right double, bottom double"), 60.0, 40.0)
     assert one.first().view == "-1:1"
+
+
+def test_band_join_at_a_radius_near_nothing(spark):
+    df = systems(spark, [(1, "A", 10.0, 0.0, 0.0), (2, "A", 10.0, 0.0, 0.0), (3, "B", -2.0, 0.0, 0.0)])
+    assert {(r.a_address, r.b_address) for r in spatial.band_join(df, df, 1e-300).collect()} >= {(1, 1), (1, 2), (2, 1), (2, 2)}
