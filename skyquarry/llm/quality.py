@@ -5,7 +5,8 @@ covariance determinant estimate of centre and scatter is found by concentration
 into narrow bins of Mahalanobis distance, sums are made for each bin, and the bins nearest the
 centre that hold the share CORE of the rows give the next estimate. So a step is one aggregation
 whose rows are few, over all rows; no group is gathered in a task, and the bins make it exact and
-repeatable. A group of fewer than LEAST rows is judged with the other small groups of its
+repeatable. Texts are short or long, and a short one strays further by chance: in the last distance, and only
+there, each part's scatter is widened by what so many words leave to chance. A group of fewer than LEAST rows is judged with the other small groups of its
 language, and if these are too few as well, with those of all languages; where even they are too
 few the fixed rules decide alone.
 
@@ -34,6 +35,9 @@ from .common import durable, table
 #: mostly have no symbols and no repeated lines at all, so there the floor is what a text may have:
 #: at CUTOFF, alone, 18 symbols in 1,000 words or 45 % of the lines.
 PARTS = {"symbols": 0.02, "capitals": 0.005, "word_length": 0.005, "line_repeats": 0.1}
+#: What one word's chance adds to the variance of each part: a part of a text of n words may stray by this over n. By the
+#: delta method, for a share under a square root a quarter (a word has five letters), for word length its squared variation.
+CHANCE = {"symbols": 0.25, "capitals": 0.05, "word_length": 0.36, "line_repeats": 0.0}
 CORE = 0.6
 STEPS = 4
 LEAST = 40
@@ -151,9 +155,14 @@ def solved(sums: DataFrame) -> DataFrame:
     return out.select("group", F.array(*[F.col(f"c_{i}") for i in p]).alias("centre"), F.array(*[-at(i, j) for i, j in _pairs()]).alias("inverse"))
 
 
-def distance() -> Column:
-    """Squared Mahalanobis distance of a row that is joined with its group's estimate."""
+def distance(chance: bool = False) -> Column:
+    """Squared Mahalanobis distance of a row that is joined with its group's estimate; with ``chance``, each part's way from
+    the centre is measured against the scatter and what a text of ``n_words`` may stray by chance."""
     away = [F.col(p) - F.element_at("centre", i + 1) for i, p in enumerate(PARTS)]
+    if chance:
+        at = {i: k + 1 for k, (i, j) in enumerate(_pairs()) if i == j}
+        n = F.greatest(F.col("n_words"), F.lit(1))
+        away = [a / F.sqrt(1 + F.element_at("inverse", at[i]) * CHANCE[p] / n) if CHANCE[p] else a for i, (a, p) in enumerate(zip(away, PARTS))]
     terms = [away[i] * away[j] * F.element_at("inverse", k + 1) * (1 if i == j else 2) for k, (i, j) in enumerate(_pairs())]
     return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
 
@@ -194,7 +203,7 @@ def estimates(stats: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """``statistics`` with outlier distance and ``kept``."""
     stats = grouped(durable(statistics(docs)))
-    scored = stats.join(estimates(stats), "group", "left").withColumn("distance", distance())
+    scored = stats.join(estimates(stats), "group", "left").withColumn("distance", distance(chance=True))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
     return scored.withColumn("kept", kept)
 
