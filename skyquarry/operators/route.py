@@ -19,20 +19,22 @@ def levels(systems: DataFrame, start: int, range_ly: float, *, goal: int | None
     """address, hop, parent of every system reached from ``start``, until ``goal`` is among them."""
     places = systems.filter(F.col("x").isNotNull()).select("address", "x", "y", "z")
     end = places.filter(F.col("address") == goal).first() if goal is not None and max_jumps is not None else None
-    reached, hop = cut(places.filter(F.col("address") == start).withColumns({"hop": F.lit(0), "parent": F.lit(None).cast("long")})), 0
+    frontier = cut(places.filter(F.col("address") == start).withColumns({"hop": F.lit(0), "parent": F.lit(None).cast("long")}))
+    reached, hop = frontier, 0
     while goal != start and (max_jumps is None or hop < max_jumps):
         hop += 1
-        near = band_join(reached.filter(F.col("hop") == hop - 1).select("address", "x", "y", "z"), places, range_ly)
+        near = band_join(frontier.select("address", "x", "y", "z"), places, range_ly)
         if end is not None:
             left = distance(F.col("b_x"), F.col("b_y"), F.col("b_z"), F.lit(end.x), F.lit(end.y), F.lit(end.z))
             near = near.filter(left <= range_ly * (max_jumps - hop) + 1e-9)
         found = near.groupBy(F.col("b_address").alias("address")).agg(F.min("a_address").alias("parent"), *[F.first(f"b_{c}").alias(c) for c in "xyz"])
         fresh = found.join(reached.select("address"), "address", "left_anti").select("address", "x", "y", "z", F.lit(hop).alias("hop"), "parent")
-        # one table of all levels, written once a level: neither the union of levels nor the scan of places grows with them
-        reached = cut(reached.unionByName(fresh))
-        new = reached.filter(F.col("hop") == hop)
-        rows, met = new.agg(F.count(F.lit(1)), F.coalesce(F.count_if(F.col("address") == goal), F.lit(0)) if goal is not None else F.lit(0)).first()
-        if not rows or met:
+        frontier = cut(fresh)
+        rows, met = frontier.agg(F.count(F.lit(1)), F.count_if(F.col("address") == F.lit(goal))).first()
+        if not rows:
+            break
+        reached = reached.unionByName(frontier)
+        if met:
             break
     return reached.select("address", "hop", "parent", "x", "y", "z")
 
