@@ -1,42 +1,60 @@
 """Fewest jumps through the implicit graph of systems within range of each other.
 
-Level by level, all of a frontier at once: the frontier is band-joined with the systems, what was
-reached before is dropped, and each new system keeps the least address it was reached from. Levels
-are cut off from each other by reliable checkpoints. Where the number of jumps is bounded, systems
-too far from the goal for the jumps left are pruned.
+Level by level, all of a frontier at once: the systems that have any of the frontier within range, less what
+was reached before. Where that compares too many systems with each other, boxes around them are compared
+first. Levels are cut off from each other by reliable checkpoints. From which system each stop was reached
+is looked up on the way back alone. Where the number of jumps is bounded, systems too far from the goal for
+the jumps left are pruned.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cut import cut
-from .spatial import band_join, distance
+from .spatial import Boxed, boxed, near_any, near_any_boxed, tiled, to_point
+
+#: Pairs that a level compares at most without boxes.
+FEW = 100_000_000
 
 
 def levels(systems: DataFrame, start: int, range_ly: float, *, goal: int | None = None, max_jumps: int | None = None) -> DataFrame:
-    """address, hop, parent of every system reached from ``start``, until ``goal`` is among them."""
+    """address, hop, x, y, z of every system reached from ``start``; of the level that has ``goal``, the last, only the goal."""
     places = systems.filter(F.col("x").isNotNull()).select("address", "x", "y", "z")
-    end = places.filter(F.col("address") == goal).first() if goal is not None and max_jumps is not None else None
-    frontier = cut(places.filter(F.col("address") == start).withColumns({"hop": F.lit(0), "parent": F.lit(None).cast("long")}))
-    reached, hop = frontier, 0
-    while goal != start and (max_jumps is None or hop < max_jumps):
-        hop += 1
-        near = band_join(frontier.select("address", "x", "y", "z"), places, range_ly)
-        if end is not None:
-            left = distance(F.col("b_x"), F.col("b_y"), F.col("b_z"), F.lit(end.x), F.lit(end.y), F.lit(end.z))
-            near = near.filter(left <= range_ly * (max_jumps - hop) + 1e-9)
-        found = near.groupBy(F.col("b_address").alias("address")).agg(F.min("a_address").alias("parent"), *[F.first(f"b_{c}").alias(c) for c in "xyz"])
-        fresh = found.join(reached.select("address"), "address", "left_anti").select("address", "x", "y", "z", F.lit(hop).alias("hop"), "parent")
-        frontier = cut(fresh)
-        rows, met = frontier.agg(F.count(F.lit(1)), F.count_if(F.col("address") == F.lit(goal))).first()
+    # rows of one address
+    ends = places.filter(F.col("address") == goal).dropna().distinct().collect() if goal is not None else []
+    frontier = cut(places.filter(F.col("address") == start).distinct())
+    reached, hop = frontier.withColumn("hop", F.lit(0)), 0
+    if goal == start or (goal is not None and not ends):
+        return reached.select("address", "hop", "x", "y", "z")
+    away = [to_point(tuple(e)[1:]) for e in ends]
+    near_end = lambda reach: reduce(or_, [d <= reach for d in away], F.lit(False))
+    grid, boxes = cut(tiled(places.distinct(), range_ly)), None
+    crowd = grid.groupBy("block").count().agg(F.max("count")).first()[0] or 0
+    while max_jumps is None or hop < max_jumps:
+        rows, last = frontier.agg(F.count(F.lit(1)), F.count_if(near_end(range_ly))).first()
         if not rows:
             break
-        reached = reached.unionByName(frontier)
-        if met:
+        hop += 1
+        front = tiled(frontier, range_ly)
+        if last:
+            reached = reached.unionByName(near_any(grid.filter(F.col("address") == goal), front, range_ly).withColumn("hop", F.lit(hop)))
             break
-    return reached.select("address", "hop", "parent", "x", "y", "z")
+        if rows * 27 * crowd <= FEW:
+            found = near_any(grid, front, range_ly)
+        else:
+            boxes = boxes or Boxed(grid, *map(cut, boxed(grid)[1:]))
+            found = near_any_boxed(boxes, boxed(front), range_ly)
+        if ends and max_jumps is not None:
+            found = found.filter(near_end(range_ly * (max_jumps - hop) + 1e-9))
+        before = reached.select(F.col("address").alias("_before"))
+        frontier = cut(found.join(before, F.col("address").eqNullSafe(F.col("_before")), "left_anti"))
+        reached = reached.unionByName(frontier.withColumn("hop", F.lit(hop)))
+    return reached.select("address", "hop", "x", "y", "z")
 
 
 def route(systems: DataFrame, start: int, goal: int, range_ly: float, *, max_jumps: int | None = None) -> DataFrame:
@@ -44,18 +62,19 @@ def route(systems: DataFrame, start: int, goal: int, range_ly: float, *, max_jum
 
     Of the shortest routes the one that comes from least addresses. The walk back takes one row a jump.
     """
-    tree = cut(levels(systems, start, range_ly, goal=goal, max_jumps=max_jumps))
-    found = tree.filter(F.col("address") == goal)
-    path = step = found
-    while (row := step.select("parent").first()) is not None and row.parent is not None:
-        step = tree.filter(F.col("address") == row.parent)
-        path = path.unionByName(step)
+    tree = levels(systems, start, range_ly, goal=goal, max_jumps=max_jumps)
+    stops, step = [], tree.filter(F.col("address") == goal)
+    while (stop := step.orderBy("address", "x", "y", "z").first()) is not None:
+        stops.append(stop)
+        step = tree.filter((F.col("hop") == stop.hop - 1) & (to_point((stop.x, stop.y, stop.z)) <= range_ly))
+    path = tree.sparkSession.createDataFrame(stops, tree.schema)
     return path.select(F.lit(0).alias("route"), "hop", "address", "x", "y", "z")
 
 
 def hops(systems: DataFrame, start: int, goal: int, range_ly: float) -> DataFrame:
     """goal, jumps; no row if it can't be reached."""
-    return levels(systems, start, range_ly, goal=goal).filter(F.col("address") == goal).select(F.col("address").alias("goal"), F.col("hop").alias("jumps"))
+    found = levels(systems, start, range_ly, goal=goal).filter(F.col("address") == goal)
+    return found.groupBy(F.col("address").alias("goal")).agg(F.min("hop").alias("jumps"))
 
 
 def message(stops: DataFrame, start: str, goal: str, range_ly: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,84 @@ def band_join(left: DataFrame, right: DataFrame, radius: float, *, prefix: tuple
     return met.drop("_home", "_cell", "_of")
 
 
+def tiled(df: DataFrame, radius: float) -> DataFrame:
+    """Rows with the tile they lie in, a quarter of the radius wide, which of its eight parts, and its block of 125 tiles.
+
+    Rows without a position, or with one that isn't finite, are near nothing and left out.
+    """
+    at = df.filter(" AND ".join(f"abs({c}) < DOUBLE('Infinity')" for c in "xyz"))
+    side = max(radius / 4, 1e-6)
+    tile = F.struct(*[F.floor(F.col(c) / side).alias(c) for c in "xyz"])
+    part = sum((F.pmod(F.floor(F.col(c) / (side / 2)), F.lit(2)) * n for c, n in zip("xyz", (4, 2, 1))), F.lit(0)).cast("int")
+    # a point within the radius is at most five tiles away
+    block = F.struct(*[F.floor(F.col("tile")[c] / 5).alias(c) for c in "xyz"])
+    return at.withColumns({"tile": tile, "part": part}).withColumn("block", block)
+
+
+class Boxed(NamedTuple):
+    """Tiled rows, and the boxes around what rows each tile and each part has."""
+
+    rows: DataFrame
+    tiles: DataFrame
+    parts: DataFrame
+
+
+def boxed(rows: DataFrame) -> Boxed:
+    box = F.struct(*[f(c).alias(c + n) for c in "xyz" for f, n in ((F.min, "0"), (F.max, "1"))]).alias("box")
+    return Boxed(rows, rows.groupBy("block", "tile").agg(box), rows.groupBy("tile", "part").agg(box))
+
+
+def _around(block: Column) -> Column:
+    steps = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("xyz", (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    return F.explode(F.transform(steps, lambda s: F.struct(*[(block[c] + s[c]).alias(c) for c in "xyz"])))
+
+
+def _positions() -> list[Column]:
+    return [F.col(c).alias("_" + c) for c in "xyz"]
+
+
+def _off() -> Column:
+    return distance(*[F.col(c) for c in "xyz"], *[F.col("_" + c) for c in "xyz"])
+
+
+def near_any(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+    """The rows of ``left`` with any of ``right`` within the radius, which both were tiled for; rows are compared with rows."""
+    other = right.select(_around(F.col("block")).alias("_block"), *_positions())
+    return left.join(other, (F.col("block") == F.col("_block")) & (_off() <= radius), "left_semi").drop("tile", "part", "block")
+
+
+def _apart(a: Column, b: Column, most: bool) -> Column:
+    """Bounds on the distance of a row in box ``a`` from one in box ``b``; rounded as ``distance`` rounds, so they hold to the last bit."""
+    gaps = [(a[c + "0"] - b[c + "1"], b[c + "0"] - a[c + "1"]) for c in "xyz"]
+    dx, dy, dz = (F.greatest(-g, -h) if most else F.greatest(F.lit(0.0), g, h) for g, h in gaps)
+    return F.sqrt(dx * dx + dy * dy + dz * dz)
+
+
+def _needed(pairs: DataFrame, radius: float) -> DataFrame:
+    """Of the pairs of boxes (a, a_box; b, b_box) those to look into: all that may hold rows within the radius, or one where all are."""
+    pairs = pairs.filter(_apart(F.col("a_box"), F.col("b_box"), False) <= radius).withColumn("_most", _apart(F.col("a_box"), F.col("b_box"), True))
+    sure = F.min(F.struct("_most", "b"))
+    # a box meets at most 19 x 19 x 19 others
+    met = pairs.groupBy("a").agg(sure.alias("_sure"), F.collect_list("b").alias("_all"))
+    return met.select("a", F.explode(F.when(F.col("_sure._most") <= radius, F.array("_sure.b")).otherwise(F.col("_all"))).alias("b"))
+
+
+def near_any_boxed(left: Boxed, right: Boxed, radius: float) -> DataFrame:
+    """The same where rows are many, each once: boxes are compared before rows are, tiles first and then their parts.
+
+    Where a whole box is within reach of another, one such pair stands for all; rows are compared only where
+    boxes leave it open, so a dense crowd isn't multiplied out.
+    """
+    a = left.tiles.select(F.col("tile").alias("a"), F.col("box").alias("a_box"), "block")
+    b = right.tiles.select(F.col("tile").alias("b"), F.col("box").alias("b_box"), _around(F.col("block")).alias("block"))
+    tiles = _needed(a.join(b, "block"), radius)
+    a, b = (t.parts.select(F.col("tile").alias(k), F.struct("tile", "part").alias(k + "_part"), F.col("box").alias(k + "_box")) for t, k in ((left, "a"), (right, "b")))
+    parts = tiles.join(a, "a").join(b, "b").select(F.col("a_part").alias("a"), "a_box", F.col("b_part").alias("b"), "b_box")
+    looked = left.rows.withColumn("a", F.struct("tile", "part")).drop("tile", "part", "block").join(_needed(parts, radius), "a").drop("a")
+    other = right.rows.select(F.struct("tile", "part").alias("_of"), *_positions())
+    return looked.join(other, (F.col("b") == F.col("_of")) & (_off() <= radius), "left_semi").drop("b").distinct()
+
+
 def nearest(df: DataFrame, point: tuple[float, float, float], reach: float) -> DataFrame:
     """The one nearest row within reach; the least address on a tie."""
     return near_point(df, point, reach).withColumn("distance", to_point(point)).orderBy("distance", "address").limit(1)

@@ -99,6 +99,32 @@ def test_shortest_route(spark):
     assert route.message(route.route(df, 0, 99, 25.0), "A", "B", "25").first().message == "No route from A to B at 25 Ly"
 
 
+@pytest.mark.parametrize("radius", [0.0, 9.0, 40.0])
+def test_near_any_is_the_cross_join(spark, radius):
+    rng = random.Random(11)
+    crowd = [tuple(at + rng.uniform(-2, 2) for _ in range(3)) for at in (0, 15, 22) for _ in range(40)]
+    points = crowd + [tuple(rng.uniform(-60, 60) for _ in range(3)) for _ in range(60)] + [(0.0, 0.0, 0.0), (9.0, 0.0, 0.0), (-40.0, 0.0, 0.0), (float("nan"), 0.0, 0.0), (float("inf"), 0.0, 0.0), (1.0, None, 1.0)]
+    df = spatial.tiled(systems(spark, [(i, "s", *p) for i, p in enumerate(points)]).drop("name"), radius)
+    far = lambda p, q: math.sqrt(sum((a - b) * (a - b) for a, b in zip(p, q)))
+    known = {i for i, p in enumerate(points) if None not in p and all(map(math.isfinite, p))}
+    some = df.filter("address % 4 = 0")
+    want = [i for i in sorted(known) if any(far(points[i], points[j]) <= radius for j in known if j % 4 == 0)]
+    assert sorted(r.address for r in spatial.near_any(df, some, radius).collect()) == want
+    assert sorted(r.address for r in spatial.near_any_boxed(spatial.boxed(df), spatial.boxed(some), radius).collect()) == want
+
+
+def test_hops_through_crowds_are_not_multiplied_out(spark):
+    # ends of a line of three crowds, each within range of the next: 3.2e9 pairs
+    crowd = spark.range(1, 120_001).selectExpr("id AS address", "'s' AS name", "double(id % 3) * 30 + id % 100 / 100.0D AS x", "id % 89 / 100.0D AS y", "id % 97 / 100.0D AS z")
+    ends = systems(spark, [(0, "start", -39.5, 0.0, 0.0), (200_000, "goal", 100.5, 0.0, 0.0)])
+    seen = []
+    spatial_boxed = route.near_any_boxed
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(route, "near_any_boxed", lambda *a: seen.append(a) or spatial_boxed(*a))
+        assert [tuple(r) for r in route.hops(crowd.union(ends), 0, 200_000, 40.0).collect()] == [(200_000, 4)]
+    assert seen
+
+
 def test_drawn_legs(spark):
     ly = spatial.LIGHT_YEAR
     rows = [(0, i, x * ly, 0.0, 0.0, s) for i, (x, s) in enumerate([(0, True), (10, True), (20, False), (30, False)])]
