@@ -125,6 +125,13 @@ def test_hops_through_crowds_are_not_multiplied_out(spark):
     assert seen
 
 
+def test_route_by_boxes_comes_from_least_addresses(spark, monkeypatch):
+    monkeypatch.setattr(route, "FEW", 0)
+    rows = [(0, "s", 0.0, 0.0, 0.0), (9, "s", 10.0, 0.0, 0.0), (3, "s", 9.0, 1.0, 0.0), (5, "s", 9.0, -1.0, 0.0), (8, "s", 18.0, 0.0, 0.0), (7, "s", 18.0, 0.5, 0.0), (4, "s", 27.0, 0.0, 0.0), (None, "s", 1.0, 0.0, 0.0)]
+    assert [(r.hop, r.address) for r in route.route(systems(spark, rows), 0, 4, 10.0).orderBy("hop").collect()] == [(0, 0), (1, 3), (2, 7), (3, 4)]
+    assert "parent" not in route.levels(systems(spark, rows), 0, 10.0).columns
+
+
 def test_drawn_legs(spark):
     ly = spatial.LIGHT_YEAR
     rows = [(0, i, x * ly, 0.0, 0.0, s) for i, (x, s) in enumerate([(0, True), (10, True), (20, False), (30, False)])]
