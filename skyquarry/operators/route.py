@@ -35,6 +35,7 @@ def levels(systems: DataFrame, start: int, range_ly: float, *, goal: int | None
     near_end = lambda reach: reduce(or_, [d <= reach for d in away], F.lit(False))
     grid, boxes = cut(tiled(places.distinct(), range_ly)), None
     crowd = grid.groupBy("block").count().agg(F.max("count")).first()[0] or 0
+    last_two = frontier
     while max_jumps is None or hop < max_jumps:
         rows, last = frontier.agg(F.count(F.lit(1)), F.count_if(near_end(range_ly))).first()
         if not rows:
@@ -51,8 +52,10 @@ def levels(systems: DataFrame, start: int, range_ly: float, *, goal: int | None
             found = near_any_boxed(boxes, boxed(front), range_ly)
         if ends and max_jumps is not None:
             found = found.filter(near_end(range_ly * (max_jumps - hop) + 1e-9))
-        before = reached.select(F.col("address").alias("_before"))
-        frontier = cut(found.join(before, F.col("address").eqNullSafe(F.col("_before")), "left_anti"))
+        # what is near a level lies in it, the one before or the next
+        before = last_two.select([F.col(c).alias("_" + c) for c in last_two.columns])
+        last_two, frontier = frontier, cut(found.join(before, [F.col(c).eqNullSafe(F.col("_" + c)) for c in found.columns], "left_anti"))
+        last_two = last_two.unionByName(frontier)
         reached = reached.unionByName(frontier.withColumn("hop", F.lit(hop)))
     return reached.select("address", "hop", "x", "y", "z")
 
