@@ -76,11 +76,11 @@ def tiled(df: DataFrame, radius: float) -> DataFrame:
     """
     at = df.filter(" AND ".join(f"abs({c}) < DOUBLE('Infinity')" for c in "xyz"))
     side = max(radius / 4, 1e-6)
-    tile = F.struct(*[F.floor(F.col(c) / side).alias(c) for c in "xyz"])
-    part = sum((F.pmod(F.floor(F.col(c) / (side / 2)), F.lit(2)) * n for c, n in zip("xyz", (4, 2, 1))), F.lit(0)).cast("int")
+    tile = ", ".join(f"floor({c} / {side!r}D) AS {c}" for c in "xyz")
+    part = " + ".join(f"pmod(floor({c} / {side / 2!r}D), 2) * {n}" for c, n in zip("xyz", (4, 2, 1)))
     # a point within the radius is at most five tiles away
-    block = F.struct(*[F.floor(F.col("tile")[c] / 5).alias(c) for c in "xyz"])
-    return at.withColumns({"tile": tile, "part": part}).withColumn("block", block)
+    block = ", ".join(f"floor(tile.{c} / 5) AS {c}" for c in "xyz")
+    return at.selectExpr("*", f"struct({tile}) AS tile", f"CAST({part} AS INT) AS part").selectExpr("*", f"struct({block}) AS block")
 
 
 class Boxed(NamedTuple):
@@ -96,9 +96,10 @@ def boxed(rows: DataFrame) -> Boxed:
     return Boxed(rows, rows.groupBy("block", "tile").agg(box), rows.groupBy("tile", "part").agg(box))
 
 
-def _around(block: Column) -> Column:
-    steps = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("xyz", (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    return F.explode(F.transform(steps, lambda s: F.struct(*[(block[c] + s[c]).alias(c) for c in "xyz"])))
+def _around() -> Column:
+    """The block and the 26 beside it, a row each."""
+    steps = ", ".join(f"struct({i} AS x, {j} AS y, {k} AS z)" for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))
+    return F.expr(f"explode(transform(array({steps}), s -> struct(block.x + s.x AS x, block.y + s.y AS y, block.z + s.z AS z)))")
 
 
 def _positions() -> list[Column]:
@@ -111,7 +112,7 @@ def _off() -> Column:
 
 def near_any(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """The rows of ``left`` with any of ``right`` within the radius, which both were tiled for; rows are compared with rows."""
-    other = right.select(_around(F.col("block")).alias("_block"), *_positions())
+    other = right.select(_around().alias("_block"), *_positions())
     return left.join(other, (F.col("block") == F.col("_block")) & (_off() <= radius), "left_semi").drop("tile", "part", "block")
 
 
@@ -138,7 +139,7 @@ def near_any_boxed(left: Boxed, right: Boxed, radius: float) -> DataFrame:
     boxes leave it open, so a dense crowd isn't multiplied out.
     """
     a = left.tiles.select(F.col("tile").alias("a"), F.col("box").alias("a_box"), "block")
-    b = right.tiles.select(F.col("tile").alias("b"), F.col("box").alias("b_box"), _around(F.col("block")).alias("block"))
+    b = right.tiles.select(F.col("tile").alias("b"), F.col("box").alias("b_box"), _around().alias("block"))
     tiles = _needed(a.join(b, "block"), radius)
     a, b = (t.parts.select(F.col("tile").alias(k), F.struct("tile", "part").alias(k + "_part"), F.col("box").alias(k + "_box")) for t, k in ((left, "a"), (right, "b")))
     parts = tiles.join(a, "a").join(b, "b").select(F.col("a_part").alias("a"), "a_box", F.col("b_part").alias("b"), "b_box")

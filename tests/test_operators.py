@@ -132,6 +132,39 @@ def test_route_by_boxes_comes_from_least_addresses(spark, monkeypatch):
     assert "parent" not in route.levels(systems(spark, rows), 0, 10.0).columns
 
 
+def test_route_looks_only_between_its_ends(spark, monkeypatch):
+    crowd = [(100 + i, "s", -5.0 - i % 20, float(i % 7), i % 11 / 10) for i in range(300)]
+    line = [(i, "s", 9.0 * i, 0.0, 0.0) for i in range(5)]
+    seen, tiled = [], route.tiled
+    monkeypatch.setattr(route, "MANY", 0, raising=False)
+    monkeypatch.setattr(route, "tiled", lambda df, radius: seen.append(df.count()) or tiled(df, radius))
+    assert [r.address for r in route.route(systems(spark, crowd + line), 0, 4, 10.0).orderBy("hop").collect()] == [0, 1, 2, 3, 4]
+    assert seen and max(seen) <= len(line)
+
+
+def test_routes_with_detours_are_the_plain_search(spark, monkeypatch):
+    monkeypatch.setattr(route, "MANY", 0)
+    # a way around, far longer than the straight line; one jump more than that; positions not finite; one system at two places
+    rows = [(0, 0.0, 0.0, 0.0), (6, 12.0, 0.0, 0.0), (1, 0.0, 8.0, 0.0), (2, 0.0, 16.0, 0.0), (3, 9.0, 16.0, 0.0), (4, 12.0, 8.0, 0.0), (5, 19.0, 2.0, 0.0), (7, 19.0, -6.0, 0.0), (8, 25.0, 3.0, 0.0), (8, 90.0, 0.0, 0.0), (9, math.inf, 0.0, 0.0), (10, 50.0, 0.0, 0.0)]
+    df = systems(spark, [(a, "s", *p) for a, *p in rows])
+    far = lambda p, q: math.dist(p[1:], q[1:])
+
+    def plain(start, goal):
+        level = [[r for r in rows if r[0] == start]]
+        while level[-1] and not any(r[0] == goal for r in level[-1]):
+            known = {r for rs in level for r in rs}
+            level.append([r for r in rows if r not in known and any(far(r, q) <= 10 for q in level[-1])])
+        stops = [min(r for r in level.pop() if r[0] == goal)] if level[-1] else []
+        while stops and level:
+            stops.append(min(r for r in level.pop() if far(r, stops[-1]) <= 10))
+        return stops[::-1]
+
+    for start, goal in ((0, 6), (0, 8), (0, 10)):
+        want = plain(start, goal)
+        assert [(r.address, r.x, r.y, r.z) for r in route.route(df, start, goal, 10.0).orderBy("hop").collect()] == want, (start, goal)
+    assert route.route(df, 0, 6, 10.0, max_jumps=len(plain(0, 6)) - 2).collect() == []
+
+
 def test_drawn_legs(spark):
     ly = spatial.LIGHT_YEAR
     rows = [(0, i, x * ly, 0.0, 0.0, s) for i, (x, s) in enumerate([(0, True), (10, True), (20, False), (30, False)])]
