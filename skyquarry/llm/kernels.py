@@ -1,7 +1,7 @@
 """Array kernels over Arrow text columns: words, lines and their hashes, without a string per word.
 
-A batch is worked off in chunks of whole texts of about CHUNK bytes together, so memory follows the
-longest text, not the batch.
+A batch is worked off in chunks of whole texts of about CHUNK bytes together (or as many as the caller says),
+so memory follows the longest text, not the batch.
 """
 
 from __future__ import annotations
@@ -65,6 +65,8 @@ class Hasher:
 
 _BASE = np.uint64(0x9E6C63D0876A9A47)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Powers are made by so many at a time.
+_STEP = 1 << 16
 
 
 class _Kept(dict):
@@ -81,7 +83,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64; kept between chunks."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        size = max(n, CHUNK + 1)
+        size = -(-n // _STEP) * _STEP
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
@@ -125,8 +127,8 @@ class Chunk:
         return start, end, np.searchsorted(start, self.offsets)
 
 
-def chunks(column: pa.Array) -> Iterator[Chunk]:
-    """The texts of a string column, nulls as empty ones."""
+def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
+    """The texts of a string column, nulls as empty ones, in chunks of about ``size`` bytes."""
     if column.null_count:
         column = column.fill_null("")
     wide = pa.types.is_large_string(column.type)
@@ -134,6 +136,6 @@ def chunks(column: pa.Array) -> Iterator[Chunk]:
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if len(column) and column.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         yield Chunk(first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last

@@ -19,7 +19,9 @@ group of texts, so that a window costs a tuple for each group, however many docu
 comes back is the least document of all, and the group compares its own with it.
 
 Tuples travel packed by the thousand in binary columns, so a bucket is sorted as arrays; buckets and
-groups of texts are of bounded size, as their number follows the input. Equal texts are one row: of
+groups of texts are of bounded size, as their number follows the input. A bucket is one partition and is read
+where Arrow put it; it is sorted by RANGES of hashes one after another, and texts are hashed CHUNK bytes at a
+time, so that a worker holds little beside the bucket or the batch itself. Equal texts are one row: of
 a copy everything goes.
 
 The recursion of external induced sorting and its disk-backed priority queues are not used; the
@@ -50,6 +52,10 @@ GRAM = 32
 SIDE = SPAN - GRAM
 #: Bytes of text to one bucket of anchors and to one group of texts.
 BUCKET_BYTES, GROUP_BYTES = 24 << 20, 12 << 20
+#: Bytes of text that are hashed at once, and whose anchors are dealt together.
+CHUNK, DEALT_BYTES = 256 << 10, 2 << 20
+#: Into how many ranges of hashes, two to this power, a bucket is cut for its sorting.
+RANGES = 3
 #: Bytes of a gram's hash that decide whether it may stand in two documents.
 PART = 6
 #: A gram is frequent if one in so many documents of a stretch, and in all, has it as an anchor, and that many at least.
@@ -89,21 +95,42 @@ def _dealt(bucket: np.ndarray, columns: dict[str, np.ndarray], name: str) -> pa.
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-    begin, end = np.append(0, cut)[: len(bucket)], np.append(cut, len(bucket))[: len(cut) + 1 if len(bucket) else 0]
+    begin = np.append(0, cut)[: len(bucket)]
     arrays = {name: pa.array(bucket[begin].astype(np.int32))}
     for k, v in columns.items():
         v = np.ascontiguousarray(v[order])
         if k == "doc":  # tuples are in order of their texts: steps from one document to the next pack well
-            arrays[k] = pa.array([np.diff(v[x:y], prepend=np.int64(0)).tobytes() for x, y in zip(begin, end)], pa.binary())
+            steps = np.diff(v, prepend=np.int64(0))
+            steps[begin] = v[begin]
+            v = steps
+        each = v.nbytes // len(v) if len(v) else 0
+        ends = np.append(begin, len(v)).astype(np.int64) * each
+        if len(v) and ends[-1] > np.iinfo(np.int32).max:  # of a very long text: more than the offsets of one column reach
+            arrays[k] = pa.array([v[x:y].tobytes() for x, y in zip(begin, np.append(begin[1:], len(v)))], pa.binary())
         else:
-            arrays[k] = pa.array([v[x:y].tobytes() for x, y in zip(begin, end)], pa.binary())
+            arrays[k] = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends[: len(begin) + 1].astype(np.int32)), pa.py_buffer(v)])
     return pa.table(arrays)
 
 
-def _joined(blobs, dtype, steps: bool = False) -> np.ndarray:
-    if steps:
-        return np.concatenate([np.zeros(0, dtype), *(np.cumsum(np.frombuffer(b, dtype)) for b in blobs)])
-    return np.frombuffer(b"".join(blobs), dtype=dtype)
+def _values(columns: list[pa.Array], dtype, steps: bool = False) -> np.ndarray:
+    """The tuples' values in columns of packed rows, as they lie in memory if there is one column; ``steps``: summed
+    up again row by row."""
+    parts = []
+    for column in columns:
+        column = column.fill_null(b"") if column.null_count else column
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0, 0]
+        if offsets[0] == offsets[-1]:
+            continue
+        size = np.dtype(dtype).itemsize
+        part = np.frombuffer(column.buffers()[2], dtype=dtype, count=int(offsets[-1] - offsets[0]) // size, offset=int(offsets[0]))
+        if steps:
+            summed = np.empty(len(part), dtype=dtype)
+            cut = ((offsets - offsets[0]) // size).tolist()
+            for x, y in zip(cut, cut[1:]):
+                np.cumsum(part[x:y], out=summed[x:y])
+            part = summed
+        parts.append(part)
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, dtype=dtype), *parts])
 
 
 def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -122,17 +149,30 @@ def _group_column(n: int):
 
 def _per_bucket(batches: Iterator[pa.RecordBatch], columns: dict[str, object]) -> Iterator[dict[str, np.ndarray]]:
     """The tuples of one bucket after another, from rows sorted by bucket."""
-    now, held = None, {k: [] for k in columns}
+    now, held = None, []
+    of = lambda held: {k: _values([b[k] for b in held], t, k == "doc") for k, t in columns.items()}
     for b in batches:
-        for i, bucket in enumerate(b["bucket"].to_pylist()):
-            if bucket != now and now is not None:
-                yield {k: _joined(held[k], t, k == "doc") for k, t in columns.items()}
-                held = {k: [] for k in columns}
-            now = bucket
-            for k in columns:
-                held[k].append(b[k][i].as_py() or b"")
-    if now is not None:
-        yield {k: _joined(held[k], t, k == "doc") for k, t in columns.items()}
+        bucket = b["bucket"].to_numpy()
+        cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+        for x, y in zip(np.append(0, cut).tolist(), np.append(cut, len(bucket)).tolist()):
+            if x == y:
+                continue
+            if bucket[x] != now and held:
+                yield of(held)
+                held = []
+            now = bucket[x]
+            held.append(b.slice(x, y - x))
+    if held:
+        yield of(held)
+
+
+def _ranges(top: np.ndarray) -> Iterator[np.ndarray]:
+    """Which tuples are in each range of hashes, by the highest byte of each hash."""
+    of = top >> np.uint8(8 - RANGES)
+    for i in range(1 << RANGES):
+        some = np.flatnonzero(of == i)
+        if len(some):
+            yield some
 
 
 def _groups(order: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,16 +187,18 @@ def frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
     """gram and n: those that many texts of a stretch have as an anchor, and how many; ``least``: in all."""
     for b in batches:
         found, n = [np.zeros(0, dtype=np.uint64)], 0
-        for chunk in kernels.chunks(b["text"]):
+        for chunk in kernels.chunks(b["text"], CHUNK):
             at, gram, _, _ = anchors(chunk)
             owner = np.searchsorted(chunk.offsets, at, "right") - 1
             order = np.lexsort((owner, gram))
             gram, owner = gram[order], owner[order]
             found.append(gram[np.append(True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1]))[: len(gram)]])
             n += chunk.last - chunk.first
-        grams, counts = np.unique(np.concatenate(found), return_counts=True)
-        often = counts > min(n // FREQUENT, least)
-        yield pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(counts[often], pa.int64())], names=["gram", "n"])
+        for i in range(1 << RANGES):  # each chunk's grams are sorted
+            low, high = np.uint64(i << 64 - RANGES), np.uint64((i + 1 << 64 - RANGES) - 1)
+            grams, counts = np.unique(np.concatenate([f[np.searchsorted(f, low) : np.searchsorted(f, high, "right")] for f in found]), return_counts=True)
+            often = counts > min(n // FREQUENT, least)
+            yield pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(counts[often], pa.int64())], names=["gram", "n"])
 
 
 def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -167,12 +209,19 @@ def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
 def sampled(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
         docs = b["doc"].to_numpy()
-        for chunk in kernels.chunks(b["text"]):
+        grams, owners, size = [], [], 0
+        for chunk in kernels.chunks(b["text"], CHUNK):
             at, gram, _, _ = anchors(chunk)
             cold = ~_among(gram, hot)
             at, gram = at[cold], gram[cold]
-            if len(at):
-                doc = docs[chunk.first + np.searchsorted(chunk.offsets, at, "right") - 1]
+            grams.append(gram)
+            owners.append(docs[chunk.first + np.searchsorted(chunk.offsets, at, "right") - 1])
+            size += len(chunk.data)
+            if size < DEALT_BYTES and chunk.last < len(b):
+                continue
+            gram, doc = np.concatenate(grams), np.concatenate(owners)
+            grams, owners, size = [], [], 0
+            if len(gram):
                 yield from _dealt(_bucket(gram, buckets), {"gram": gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PART], "doc": doc}, "bucket").to_batches()
 
 
@@ -184,14 +233,19 @@ def _pair(gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def shared(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
     """For each group of documents, which (gram, document) have the gram in another document too."""
     for t in _per_bucket(batches, {"gram": np.uint8, "doc": np.int64}):
-        whole = np.zeros((len(t["doc"]), 8), dtype=np.uint8)
-        whole[:, :PART] = t["gram"].reshape(-1, PART)
-        gram = whole.view("<u8").ravel()
-        order = np.argsort(gram)
-        group, low, high = _groups(order, gram, t["doc"])
-        order = order[(low != high)[group]]
-        gram, doc = gram[order], t["doc"][order]
-        yield from _dealt(_group(doc, groups), {"pair": _pair(gram, doc)}, "part").to_batches()
+        part_of_gram = t["gram"].reshape(-1, PART)
+        pairs, parts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int32)]
+        for some in _ranges(part_of_gram[:, PART - 1]):
+            whole = np.zeros((len(some), 8), dtype=np.uint8)
+            whole[:, :PART] = part_of_gram[some]
+            gram, doc = whole.view("<u8").ravel(), t["doc"][some]
+            order = np.argsort(gram)
+            group, low, high = _groups(order, gram, doc)
+            order = order[(low != high)[group]]
+            gram, doc = gram[order], doc[order]
+            pairs.append(_pair(gram, doc))
+            parts.append(_group(doc, groups).astype(np.int32))
+        yield from _dealt(np.concatenate(parts), {"pair": np.concatenate(pairs)}, "part").to_batches()
 
 
 def _lanes(rows: np.ndarray) -> np.ndarray:
@@ -219,7 +273,7 @@ def hot_windows(texts: pa.Table, hot: np.ndarray) -> tuple[np.ndarray, ...]:
     parts = [tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.int64))]
     docs = texts["doc"].to_numpy()
     column = texts["text"].combine_chunks()
-    for chunk in kernels.chunks(column if isinstance(column, pa.Array) else column.chunk(0)) if len(hot) and len(texts) else ():
+    for chunk in kernels.chunks(column if isinstance(column, pa.Array) else column.chunk(0), CHUNK) if len(hot) and len(texts) else ():
         at, gram, low, high = anchors(chunk)
         mine = np.flatnonzero(_among(gram, hot))
         low, high = low[mine], high[mine]
@@ -257,12 +311,12 @@ WINDOW = {"window": np.uint64, "least": np.int64, "group": np.int32}
 
 
 def _surrounded(texts: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
-    pairs = np.unique(_joined(told["pair"].to_pylist(), np.uint64))
+    pairs = np.unique(_values(told["pair"].chunks, np.uint64))
     parts = []
     column = texts["text"].combine_chunks()
     docs, nth = texts["doc"].to_numpy(), _nth(texts)
     side = np.arange(SIDE)
-    for chunk in kernels.chunks(column if isinstance(column, pa.Array) else column.chunk(0)) if len(pairs) and len(texts) else ():
+    for chunk in kernels.chunks(column if isinstance(column, pa.Array) else column.chunk(0), CHUNK) if len(pairs) and len(texts) else ():
         at, gram, low, high = anchors(chunk)
         owner = np.searchsorted(chunk.offsets, at, "right") - 1
         doc = docs[chunk.first + owner]
@@ -280,6 +334,7 @@ def _surrounded(texts: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     if not parts:
         return _dealt(np.zeros(0, dtype=np.int64), {k: np.zeros(0) for k in ("gram", "again", "context", "doc", "nth", "at")}, "bucket")
     gram, again, context, doc, nth, at = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
     return _dealt(_bucket(gram, buckets), {"gram": gram, "again": again, "context": context, "doc": doc, "nth": nth, "at": at}, "bucket")
 
 
@@ -295,34 +350,42 @@ def induced(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Recor
             yield from _told({"window": t["window"][tell], "least": least[tell]}, t["group"][tell].astype(np.int64))
             continue
         context, doc = t["context"].reshape(-1, width), t["doc"]
-        same_gram = kernels.mix(t["gram"] * np.uint64(3) ^ t["again"])
-        whole = kernels.mix(_lanes(context) ^ same_gram)
-        order = np.argsort(whole)
-        group, low, _ = _groups(order, whole, doc)
-        of = np.empty(len(doc), dtype=np.int64)
-        of[order] = group
-        head = np.empty(len(low), dtype=np.int64)
-        head[group] = order
-        context, same_gram = context[head], same_gram[head]
-        left, more = context[:, 2 * SIDE].astype(np.int64), context[:, 2 * SIDE + 1].astype(np.int64)
         mask = np.zeros(len(doc), dtype=np.uint32)
-        for back in range(SIDE + 1):  # the window that starts so many bytes before the anchor
-            has = np.flatnonzero((left - more <= back) & (back <= left))
-            if not len(has):
-                continue
-            window = np.zeros((len(has), -(-SIDE // 8) * 8), dtype=np.uint8)
-            window[:, :SIDE] = context[has, SIDE - back : 2 * SIDE - back]
-            key = kernels.mix(_lanes(window) ^ same_gram[has])
-            order = np.argsort(key)
-            group, least, _ = _groups(order, key, low[has])
-            smallest = np.full(len(low), _NO_DOC)
-            smallest[has[order]] = least[group]
-            mask |= (smallest[of] < doc).astype(np.uint32) << np.uint32(back)
+        for some in _ranges((t["gram"] >> np.uint64(56)).astype(np.uint8)):
+            mask[some] = _smaller(t["gram"][some], t["again"][some], context[some], doc[some])
         hit = np.flatnonzero(mask)
         columns = {"doc": doc[hit], "nth": t["nth"][hit], "at": t["at"][hit], "mask": mask[hit]}
         yield from _told(columns, _group(doc[hit], groups))
 
 
+def _smaller(gram: np.ndarray, again: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of all anchors of some grams: which windows a smaller document has, a bit for each byte they start before it."""
+    same_gram = kernels.mix(gram * np.uint64(3) ^ again)
+    whole = kernels.mix(_lanes(context) ^ same_gram)
+    order = np.argsort(whole)
+    group, low, _ = _groups(order, whole, doc)
+    of = np.empty(len(doc), dtype=np.int64)
+    of[order] = group
+    head = np.empty(len(low), dtype=np.int64)
+    head[group] = order
+    context, same_gram = context[head], same_gram[head]
+    left, more = context[:, 2 * SIDE].astype(np.int64), context[:, 2 * SIDE + 1].astype(np.int64)
+    mask = np.zeros(len(doc), dtype=np.uint32)
+    for back in range(SIDE + 1):  # the window that starts so many bytes before the anchor
+        has = np.flatnonzero((left - more <= back) & (back <= left))
+        if not len(has):
+            continue
+        window = np.zeros((len(has), -(-SIDE // 8) * 8), dtype=np.uint8)
+        window[:, :SIDE] = context[has, SIDE - back : 2 * SIDE - back]
+        key = kernels.mix(_lanes(window) ^ same_gram[has])
+        order = np.argsort(key)
+        group, least, _ = _groups(order, key, low[has])
+        smallest = np.full(len(low), _NO_DOC)
+        smallest[has[order]] = least[group]
+        mask |= (smallest[of] < doc).astype(np.uint32) << np.uint32(back)
+    return mask
+
+
 def _told(columns: dict[str, np.ndarray], part: np.ndarray) -> list[pa.RecordBatch]:
     made = _dealt(part, columns, "part")
     none = pa.nulls(len(made), pa.binary())
@@ -334,11 +397,10 @@ TOLD = ("part", "doc", "nth", "at", "mask", "window", "least")
 
 def removed(texts: pa.Table, told: pa.Table, hot: np.ndarray) -> pa.Table:
     """doc, row_key, n_removed, n_spans and kept_sha256 of the texts of a group that lose anything."""
-    blobs = lambda name: [x for x in told[name].to_pylist() if x]
-    doc, at = _joined(blobs("doc"), np.int64, True), _joined(blobs("at"), np.int64)
-    nth, mask = _joined(blobs("nth"), np.int32), _joined(blobs("mask"), np.uint32)
+    doc, at = _values(told["doc"].chunks, np.int64, True), _values(told["at"].chunks, np.int64)
+    nth, mask = _values(told["nth"].chunks, np.int32), _values(told["mask"].chunks, np.uint32)
     text_of, start, key, owner = hot_windows(texts, hot)
-    keys, least = _least(np.concatenate([key, _joined(blobs("window"), np.uint64)]), np.concatenate([owner, _joined(blobs("least"), np.int64)]))
+    keys, least = _least(np.concatenate([key, _values(told["window"].chunks, np.uint64)]), np.concatenate([owner, _values(told["least"].chunks, np.int64)]))
     hit = np.flatnonzero(least[np.searchsorted(keys, key)] < owner) if len(key) else np.zeros(0, dtype=np.int64)
     order = np.argsort(text_of[hit], kind="stable")
     text_of, start = text_of[hit][order], start[hit][order]
@@ -394,12 +456,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # at most FREQUENT times the anchors of a document: a sorted array that goes with the code
     hot = np.sort(np.array([r.gram for r in often.filter(F.col("n") > least).select("gram").toLocalIterator()], dtype=np.int64).view(np.uint64))
     tuples = firsts.select("doc", "text").mapInArrow(lambda it: sampled(it, buckets, hot), "bucket int, " + binary("gram", "doc"))
-    tuples = tuples.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    tuples = tuples.repartitionById(buckets, "bucket")
     met = tuples.mapInArrow(lambda it: shared(it, groups), "part int, pair binary")
 
     texts = firsts.select(_group_column(groups).alias("part"), "*").groupBy("part")
     sides = texts.cogroup(met.groupBy("part")).applyInArrow(lambda key, a, b: surrounded(a, b, buckets, hot, key[0].as_py()), "bucket int, " + binary(*TUPLE, *WINDOW))
-    sides = sides.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    # a bucket of anchors and the one of windows beside it
+    sides = sides.repartitionById(buckets, F.col("bucket") % buckets).sortWithinPartitions("bucket")
     told = sides.mapInArrow(lambda it: induced(it, groups), "part int, " + binary(*TOLD[1:]))
     lost = texts.cogroup(told.groupBy("part")).applyInArrow(lambda a, b: removed(a, b, hot), "doc long, row_key long, n_removed long, n_spans long, kept_sha256 string")
     lost = bounded(durable(lost).withColumnsRenamed({"doc": "lost_doc", "row_key": "lost_key"}))

@@ -1,8 +1,12 @@
 """Operator 9 against a plain version."""
 
 import random
+import tracemalloc
 import unittest.mock as m
 
+import numpy as np
+import pyarrow as pa
+
 from tests.llm import brute
 
 from skyquarry.llm import repeats
@@ -64,3 +68,48 @@ def test_frequent_lines(spark, monkeypatch):
         docs.append((rng.randrange(10**9), " ".join(parts)))
     docs += docs[:20]
     held(spark, docs)
+
+
+def test_packed_tuples_come_back():
+    """Buckets that lie in several batches, or several in one, with rows that have none of a column."""
+    rng = np.random.default_rng(3)
+    bucket, doc = rng.integers(0, 5, 1000), rng.integers(-(2**62), 2**62, 1000)
+    columns = {"gram": rng.integers(0, 256, (1000, repeats.PART), dtype=np.uint8), "doc": doc, "nth": rng.integers(0, 9, 1000).astype(np.int32)}
+    rows = pa.concat_tables([repeats._dealt(bucket[x:y], {k: v[x:y] for k, v in columns.items()}, "bucket") for x, y in ((0, 300), (300, 310), (310, 1000))])
+    rows = pa.concat_tables([rows, pa.table({"bucket": pa.array([2, 5], pa.int32()), "doc": pa.array([None, np.int64(7).tobytes()])})], promote_options="default").sort_by("bucket")
+    n = len(rows)
+    for cuts in ((0, n), (0, 4, n), tuple(range(n + 1))):
+        batches = [b for x, y in zip(cuts, cuts[1:]) for b in rows.slice(x, y - x).combine_chunks().to_batches()]
+        found = list(repeats._per_bucket(iter(batches), {"gram": np.uint8, "doc": np.int64, "nth": np.int32}))
+        assert len(found) == 6 and found[5]["doc"].tolist() == [7] and not len(found[5]["gram"])
+        for b in range(5):
+            assert sorted(zip(found[b]["doc"].tolist(), found[b]["nth"].tolist(), map(bytes, found[b]["gram"].reshape(-1, repeats.PART)))) == sorted(zip(doc[bucket == b].tolist(), columns["nth"][bucket == b].tolist(), map(bytes, columns["gram"][bucket == b])))
+
+
+def peak(work) -> float:
+    """MB that Python and numpy hold at most while ``work`` runs."""
+    work()  # what is kept between chunks is there already
+    tracemalloc.start()
+    work()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most / 1e6
+
+
+def test_memory_of_a_worker():
+    """Two workers share with their JVM what an executor has; a batch of texts and a bucket of each kind (of a sixth of
+    BUCKET_BYTES here) need little beside themselves."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(map(chr, rng.integers(97, 123, 4000))) for _ in range(500)]
+    texts += [t[:3000] + "x" + t[3000:] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc", "text"])
+    none = np.zeros(0, dtype=np.uint64)
+    run = lambda made: sum(len(b) for b in made)
+    assert peak(lambda: run(repeats.frequent(iter([batch]), 1000))) < 25
+    assert peak(lambda: run(repeats.sampled(iter([batch]), 3, none))) < 25
+    bucket = pa.Table.from_batches(repeats.sampled(iter([batch]), 1, none)).combine_chunks().to_batches()
+    assert peak(lambda: run(repeats.shared(iter(bucket), 2))) < 5 * bucket[0].nbytes / 1e6
+    met = pa.concat_tables([pa.Table.from_batches([b]) for b in repeats.shared(iter(bucket), 1)])
+    group = pa.table({"doc": batch["doc"], "row_key": batch["doc"], "text": batch["text"]})
+    sides = repeats.surrounded(group, met, 1, none, 0).combine_chunks().to_batches()
+    assert peak(lambda: run(repeats.induced(iter(sides), 2))) < 2.3 * sides[0].nbytes / 1e6
